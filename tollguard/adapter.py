@@ -120,3 +120,46 @@ def status_requests(master: DataFrame) -> DataFrame:
         ),
         (F.col("_digit") * 10 + (F.col("_turn") * 7) % 3).alias("seq"),
     )
+
+
+PREDICTED_AT = "2024-02-02 00:00:00"
+
+
+def rule_predictions(gold: DataFrame) -> DataFrame:
+    """Predictions without a model, for checks in SQL: the driver z-score as the score."""
+    score = -F.coalesce("driver_amount_modified_z_score", F.lit(0.0))
+    return gold.withColumns({
+        "ml_anomaly_score": score,
+        "is_anomaly": F.when(F.col("anomaly_score") >= 80, 1).otherwise(0),
+        "prediction_timestamp": F.lit(PREDICTED_AT).cast("timestamp"),
+    })
+
+
+def file_names(source: DataFrame) -> DataFrame:
+    """A statement file name per event, in the spellings that occur."""
+    event = F.col("event_id")
+    month = _cycle(
+        ["January", "feb", "MARCH", "apr", "may", "June", "jul", "August", "sept", "Oct", "nov",
+         "December", "Smarch"],
+        event % 13,
+    )
+    named = F.concat(F.lit("Transactions "), month, F.lit(" "), F.year("ts").cast("string"))
+    spelling = [
+        F.date_format("ts", "'transaction_'yyyy_MM'.csv'"),
+        F.date_format("ts", "'statement-'yyyy-MM'-final.csv'"),
+        F.date_format("ts", "'st'yyyyMM'.csv'"),
+        F.concat(named, F.lit(".csv")),
+        F.lit("statement.csv"),
+    ]
+    return source.select(
+        "event_id", F.get(F.array(*spelling), (event % 5).cast("int")).alias("source_file")
+    )
+
+
+def order_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` as one toll per order: years of history for calendar windows."""
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_custkey").cast("string").alias("tag_plate_number"),
+        F.col("o_orderdate").cast("date").alias("transaction_date"),
+        F.col("o_totalprice").alias("amount"),
+    )

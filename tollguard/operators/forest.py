@@ -101,6 +101,8 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[t
             return node
         feature = int(rng.choice(varying))
         threshold = float(rng.uniform(low[feature], high[feature]))
+        if threshold >= high[feature]:  # rounding, for values one bit apart
+            threshold = float(low[feature])
         goes_left = x[rows, feature] <= threshold
         left = grow(rows[goes_left], depth + 1)
         right = grow(rows[~goes_left], depth + 1)

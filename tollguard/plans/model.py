@@ -44,17 +44,27 @@ def impute_median(matrix: DataFrame) -> tuple[DataFrame, list[str]]:
     return matrix.select(ID, *filled), empty
 
 
+EPSILON = 2.0**-52
+
+
+def _scale(n: int, mean: float, std: float) -> float:
+    """The divisor: 1 for a column whose spread is within rounding error of its mean."""
+    constant = std * std <= n * EPSILON * std * std + (n * mean * EPSILON) ** 2
+    return 1.0 if constant else std
+
+
 def standard_scale(matrix: DataFrame) -> DataFrame:
     """Centre and divide by the population standard deviation, a constant column by 1."""
     columns = [c for c in matrix.columns if c != ID]
     stats = matrix.agg(
-        *[F.avg(c).alias(f"m_{c}") for c in columns],
-        *[F.stddev_pop(c).alias(f"s_{c}") for c in columns],
+        F.count(F.lit(1)).alias("n"),
+        *[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in columns],
     ).first()
-    return matrix.select(
-        ID,
-        *[((F.col(c) - stats[f"m_{c}"]) / (stats[f"s_{c}"] or 1.0)).alias(c) for c in columns],
-    )
+    if not stats["n"]:
+        return matrix
+    return matrix.select(ID, *[
+        ((F.col(c) - stats[c]["mean"]) / _scale(stats["n"], *stats[c])).alias(c) for c in columns
+    ])
 
 
 @dataclass(frozen=True)
