@@ -28,7 +28,7 @@ def parse_second(column: str) -> Column:
 def parse_time_midnight_null(column: str) -> Column:
     """As :func:`parse_second`; exactly midnight is a placeholder and becomes NULL."""
     time = parse_second(column)
-    return F.when(F.date_format(time, "HH:mm:ss") != "00:00:00", time)
+    return F.when(time != F.date_trunc("day", time), time)
 
 
 def parse_number(column: str) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tollguard import lookups
-from tollguard.functions.cleaning import DAY, SECOND
 from tollguard.functions.money import cents
 
 # Last hour of each band and its label; later hours and NULL are "Late Night".
@@ -26,9 +25,9 @@ REST_OF_DAY = "Late Night"
 def transaction_id() -> Column:
     """Hex MD5 over seven fields; NULL reads ``NULL``, amount is whole cents."""
     fields = [
-        F.date_format("transaction_date", DAY),
-        F.date_format("entry_time", SECOND),
-        F.date_format("exit_time", SECOND),
+        F.col("transaction_date").cast("string"),
+        F.col("entry_time").cast("string"),
+        F.col("exit_time").cast("string"),
         F.col("tag_plate_number"),
         F.col("entry_plaza"),
         F.col("exit_plaza"),

@@ -26,13 +26,20 @@ ID_SPACE = 1 << 24
 class Lookback:
     """Window columns that read at most ``reach`` preceding rows.
 
-    ``position`` is a non-null bigint, the first sort key; ties go by ``TIES``.
+    ``position`` is a non-null bigint, the first sort key; ties go by ``TIES``. ``derived``
+    columns are made from the window columns; those starting with ``_`` are dropped after.
     """
 
     position: Callable[[], Column]
     reach: int
     reads: list[str]
     columns: Callable[[WindowSpec], dict[str, Column]]
+    derived: Callable[[], dict[str, Column]] = dict
+
+    def add(self, df: DataFrame, window: WindowSpec) -> DataFrame:
+        columns = self.columns(window)
+        helpers = [name for name in columns if name.startswith("_")]
+        return df.withColumns(columns).withColumns(self.derived()).drop(*helpers)
 
 
 def split_hot(
@@ -57,7 +64,7 @@ def plain(df: DataFrame, key: str, lookback: Lookback) -> DataFrame:
     """One window per key."""
     window = Window.partitionBy(key).orderBy("_at", *TIES)
     placed = df.withColumn("_at", lookback.position())
-    return placed.withColumns(lookback.columns(window)).drop("_at")
+    return lookback.add(placed, window).drop("_at")
 
 
 def _edges(hot: DataFrame, key: str, hot_rows: int) -> list[Row]:
@@ -124,13 +131,9 @@ def in_pieces(hot: DataFrame, key: str, lookback: Lookback, hot_rows: int = HOT_
     )
 
     window = Window.partitionBy(key, "_piece").orderBy("_at", *TIES)
-    return (
-        pieced.withColumn("_halo", F.lit(False))
-        .unionByName(halo, allowMissingColumns=True)
-        .withColumns(lookback.columns(window))
-        .filter(~F.col("_halo"))
-        .drop("_halo", "_piece", "_at")
-    )
+    rows = pieced.withColumn("_halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
+    done = lookback.add(rows, window)
+    return done.filter(~F.col("_halo")).drop("_halo", "_piece", "_at")
 
 
 def add_lookback(

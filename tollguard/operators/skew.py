@@ -30,28 +30,45 @@ def matching(left: DataFrame, names: dict[str, str], null_safe: bool) -> Column:
 
 
 def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """``df`` as a local, broadcast-ready table if it has at most ``max_rows`` rows, else None."""
+    """``df`` as a local table if it has at most ``max_rows`` rows, else None."""
     rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return None
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return None if rows.num_rows > max_rows else df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def _left_join(
+    df: DataFrame, table: DataFrame, on: Sequence[str], null_safe: bool, hint: bool = False
+) -> DataFrame:
+    keys = {name: f"_key_{name}" for name in on}
+    right = table.withColumnsRenamed(keys)
+    if hint:
+        right = F.broadcast(right)
+    return df.join(right, matching(df, keys, null_safe), "left").drop(*keys.values())
 
 
 def attach(
+    df: DataFrame, table: DataFrame, on: Sequence[str], null_safe: bool = False
+) -> DataFrame:
+    """Left-join a per-key ``table`` (unique on ``on``) that grows with the data.
+
+    No hint and no check: adaptive execution sees the real size of ``table`` after its shuffle,
+    broadcasts it if small, and splits the partitions of hot keys if not.
+    """
+    return _left_join(df, table, on, null_safe)
+
+
+def attach_small(
     df: DataFrame,
     table: DataFrame,
     on: Sequence[str],
     null_safe: bool = False,
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Left-join a per-key ``table`` (unique on ``on``) to ``df``.
+    """Left-join a per-key ``table`` that should be small, such as codes or routes.
 
-    The table's size is checked first. A small one is broadcast, so ``df`` is not shuffled; a
-    larger one is joined by shuffle, where adaptive execution splits skewed partitions.
+    Its rows are counted first. Up to ``max_rows`` it is broadcast, so ``df``, however large, is
+    not shuffled at all; beyond that it is joined as in :func:`attach`.
     """
     small = bounded(table, max_rows)
-    keys = {name: f"_key_{name}" for name in on}
-    right = (table if small is None else small).withColumnsRenamed(keys)
-    if small is not None:
-        right = F.broadcast(right)
-    return df.join(right, matching(df, keys, null_safe), "left").drop(*keys.values())
+    if small is None:
+        return _left_join(df, table, on, null_safe)
+    return _left_join(df, small, on, null_safe, hint=True)

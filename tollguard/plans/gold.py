@@ -67,7 +67,7 @@ def daily_spend_join(silver: DataFrame) -> DataFrame:
 def driver_spending(silver: DataFrame) -> DataFrame:
     """Median, daily spend and 30-day mean in one join on tag and date.
 
-    The median is put on the per-day table first (both are already grouped by tag), so the
+    The median is put on the per-day table first (both are grouped by tag already), so the
     transactions are shuffled once instead of twice.
     """
     days = daily_spend_30d_avg(daily_spend(silver))

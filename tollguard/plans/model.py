@@ -57,13 +57,13 @@ def standard_scale(matrix: DataFrame) -> DataFrame:
     """Centre and divide by the population standard deviation, a constant column by 1."""
     columns = [c for c in matrix.columns if c != ID]
     stats = matrix.agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1)).alias("_rows"),
         *[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in columns],
     ).first()
-    if not stats["n"]:
+    if not stats["_rows"]:
         return matrix
     return matrix.select(ID, *[
-        ((F.col(c) - stats[c]["mean"]) / _scale(stats["n"], *stats[c])).alias(c) for c in columns
+        ((F.col(c) - stats[c]["mean"]) / _scale(stats["_rows"], *stats[c])).alias(c) for c in columns
     ])
 
 

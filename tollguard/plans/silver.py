@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tollguard import lookups
 from tollguard.functions import cleaning, money, travel, trip
 from tollguard.operators.preceding import Lookback, add_lookback, in_pieces, plain, split_hot
-from tollguard.operators.skew import HOT_ROWS, attach
+from tollguard.operators.skew import HOT_ROWS, attach_small
 from tollguard.schemas import SILVER_COLUMNS
 
 TAG = "tag_plate_number"
@@ -136,19 +136,28 @@ def _previous_columns(window: WindowSpec) -> dict[str, Column]:
 def _rolling_columns(window: WindowSpec) -> dict[str, Column]:
     recent = window.rowsBetween(-ROLLING_ROWS, -1)
     amount, cents = F.col("amount"), money.cents(F.col("amount"))
-    total, squares = F.sum(cents).over(recent), F.sum(cents * cents).over(recent)
-    priced = F.count(amount).over(recent)
     return {
-        "driver_amount_last_30txn_avg": money.mean_dollars(total, priced),
-        "driver_amount_last_30txn_std": money.sample_std_dollars(total, squares, priced),
+        "_priced": F.count(amount).over(recent),
+        "_cents": F.sum(cents).over(recent),
+        "_squares": F.sum(cents * cents).over(recent),
         "driver_amount_last_30txn_min": F.min(amount).over(recent),
         "driver_amount_last_30txn_max": F.max(amount).over(recent),
         "driver_amount_last_30txn_count": F.count(F.lit(1)).over(recent),
     }
 
 
+def _rolling_moments() -> dict[str, Column]:
+    priced, cents, squares = F.col("_priced"), F.col("_cents"), F.col("_squares")
+    return {
+        "driver_amount_last_30txn_avg": money.mean_dollars(cents, priced),
+        "driver_amount_last_30txn_std": money.sample_std_dollars(cents, squares, priced),
+    }
+
+
 PREVIOUS_TRIP = Lookback(_exit_position, 1, PREVIOUS, _previous_columns)
-ROLLING = Lookback(_entry_position, ROLLING_ROWS, ["amount"], _rolling_columns)
+ROLLING = Lookback(
+    _entry_position, ROLLING_ROWS, ["amount"], _rolling_columns, _rolling_moments
+)
 
 
 def previous_trip(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -177,16 +186,17 @@ def _daily_txn_count_joined(hot: DataFrame) -> DataFrame:
     per_day = hot.groupBy(TAG, "transaction_date").agg(
         F.count(F.lit(1)).alias("driver_daily_txn_count")
     )
-    return attach(hot, per_day, [TAG, "transaction_date"], null_safe=True)
+    return attach_small(hot, per_day, [TAG, "transaction_date"], null_safe=True)
 
 
 def driver_history(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Daily count, previous passage and rolling statistics.
 
-    All three windows of ordinary tags share one shuffle on the tag.
+    All three windows of ordinary tags share one shuffle on the tag; the one on tag and date
+    comes last, because rows grouped by tag are grouped by both, but not the other way round.
     """
     cold, hot, _ = split_hot(df, TAG, hot_rows)
-    done = plain(plain(daily_txn_count_window(cold), TAG, PREVIOUS_TRIP), TAG, ROLLING)
+    done = daily_txn_count_window(plain(plain(cold, TAG, PREVIOUS_TRIP), TAG, ROLLING))
     if hot is None:
         return done
     counted = _daily_txn_count_joined(hot)
@@ -213,7 +223,7 @@ def route_distance(df: DataFrame, distances: DataFrame | None = None) -> DataFra
         F.col("destination_plaza").alias("exit_plaza"),
         F.col("miles").cast("double").alias("distance_miles"),
     )
-    return attach(df, miles, ["exit_plaza_previous", "exit_plaza"])
+    return attach_small(df, miles, ["exit_plaza_previous", "exit_plaza"])
 
 
 def route_instate(df: DataFrame, distances: DataFrame | None = None) -> DataFrame:
@@ -225,7 +235,7 @@ def route_instate(df: DataFrame, distances: DataFrame | None = None) -> DataFram
         known = origins.select(
             F.col("origin_plaza").alias(column), F.lit(True).alias(f"_known_{column}")
         )
-        df = attach(df, known, [column])
+        df = attach_small(df, known, [column])
     both = (
         F.col("_known_exit_plaza_previous") & F.col("_known_exit_plaza")
         & (F.col("exit_plaza") != "Unknown") & (F.col("exit_plaza_previous") != "Unknown")
@@ -284,7 +294,7 @@ def route_stats(df: DataFrame) -> DataFrame:
 
 def add_route_stats(df: DataFrame) -> DataFrame:
     """Route statistics on every row; a missing route or code is a group of its own."""
-    return attach(df, route_stats(df), ROUTE_KEY, null_safe=True)
+    return attach_small(df, route_stats(df), ROUTE_KEY, null_safe=True)
 
 
 # Flags and table ----------------------------------------------------------------------------
@@ -294,7 +304,7 @@ def flag_is_holiday(df: DataFrame, holidays: DataFrame) -> DataFrame:
     days = holidays.select(
         F.col("holiday_date").alias("transaction_date"), F.lit(True).alias("_holiday")
     ).dropna().distinct()
-    found = attach(df, days, ["transaction_date"])
+    found = attach_small(df, days, ["transaction_date"])
     return found.withColumn("flag_is_holiday", F.col("_holiday").isNotNull()).drop("_holiday")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollguard.operators.skew import attach, bounded
+from tollguard.operators.skew import attach_small, bounded
 from tollguard.schemas import FREQUENCY_FEATURES, TRAIN_COLUMNS
 
 
@@ -37,7 +37,7 @@ def frequency_encode(
             F.col("value").alias(column), F.col("rows").alias(feature)
         )
         if small is None:
-            df = attach(df, table, [column])
+            df = attach_small(df, table, [column])
         else:
             df = df.join(F.broadcast(table), column, "left")
         df = df.withColumn(feature, F.coalesce(F.col(feature), F.lit(0).cast("bigint")))

@@ -33,18 +33,25 @@ def statement_schema(headers: Sequence[str] = RAW_COLUMNS) -> T.StructType:
 
 
 def is_bad_row(headers: Sequence[str] = RAW_COLUMNS) -> Column:
-    """More fields than headers. Short rows are fine, their missing fields are NULL."""
-    fields = F.size(F.split(F.col(CORRUPT_COLUMN), COMMA_OUTSIDE_QUOTES))
+    """More fields than headers. Short rows are fine, their missing fields are NULL.
+
+    The test names a data column too, as Spark refuses to read the record column alone.
+    """
+    record = F.coalesce(F.col(CORRUPT_COLUMN), F.col(f"`{headers[0]}`"))
+    fields = F.size(F.split(record, COMMA_OUTSIDE_QUOTES))
     return F.col(CORRUPT_COLUMN).isNotNull() & (fields > len(headers))
 
 
-def scan_statements(spark: SparkSession, path: str, headers: Sequence[str]) -> DataFrame:
+def scan_statements(
+    spark: SparkSession, path: str, headers: Sequence[str], quoted_newlines: bool = True
+) -> DataFrame:
     """Statement rows as text with ``source_name``, the file they came from.
 
-    Quoted newlines are kept. A file is read whole by one task, because a quoted newline cannot
-    be told from a row end in the middle of a file; the parallelism is over files.
+    Quoted newlines are kept. That means one task per file, because a quoted newline cannot be
+    told from a row end in the middle of a file; without them, large files are split.
     """
-    rows = spark.read.schema(statement_schema(headers)).options(**CSV_OPTIONS).csv(path)
+    options = CSV_OPTIONS | {"multiLine": quoted_newlines}
+    rows = spark.read.schema(statement_schema(headers)).options(**options).csv(path)
     return rows.withColumn("source_name", F.col("_metadata.file_name"))
 
 
@@ -53,6 +60,7 @@ def read_statements(
     path: str,
     headers: Sequence[str] | None = None,
     max_bad_rows: int = MAX_BAD_ROWS,
+    quoted_newlines: bool = True,
 ) -> DataFrame:
     """Statement rows without the bad ones; more than ``max_bad_rows`` of them is an error.
 
@@ -60,9 +68,9 @@ def read_statements(
     the read instead of filling the wrong columns.
     """
     headers = headers or spark.read.option("header", True).csv(path).columns
-    rows = scan_statements(spark, path, headers)
+    rows = scan_statements(spark, path, headers, quoted_newlines)
     bad = is_bad_row(headers)
-    found = rows.agg(F.count_if(bad).alias("bad"), F.count(f"`{headers[0]}`")).first()["bad"]
+    found = rows.filter(bad).count()
     if found > max_bad_rows:
         raise ValueError(f"{found} bad rows in {path}, allowed are {max_bad_rows}")
     return rows.filter(~bad).drop(CORRUPT_COLUMN)

@@ -135,7 +135,8 @@ cleaned AS (
 agencies(agency, agency_name, state_name) AS (VALUES {_values(lookups.AGENCIES)}),
 plazas(plaza, plaza_name) AS (VALUES {_values(lookups.PLAZAS)}),
 holidays AS (SELECT unnest(['2024-01-01', '2024-01-15'])::DATE AS holiday_date),
-distances(origin_plaza, destination_plaza, miles) AS (VALUES {_values(_miles)}),
+distances(origin_plaza, destination_plaza, miles) AS (
+  SELECT * REPLACE (col2::DOUBLE AS col2) FROM (VALUES {_values(_miles)})),
 hours AS (
   SELECT c.*, a.agency_name, a.state_name, n.plaza_name AS entry_plaza_name,
     x.plaza_name AS exit_plaza_name, hour(entry_time) AS entry_hour, hour(exit_time) AS exit_hour,
@@ -278,12 +279,13 @@ flagged AS (
         OR driver_today_spend = driver_amount_last_30txn_max)
       AND amount >= 50 THEN TRUE ELSE FALSE END AS flag_driver_spend_spike
   FROM deviated),
-gold AS (
+scored AS (
   SELECT *, CASE WHEN flag_driver_amount_outlier THEN 80 ELSE 0 END
     + CASE WHEN flag_route_amount_outlier THEN 10 ELSE 0 END
     + CASE WHEN flag_amount_unusually_high THEN 5 ELSE 0 END
-    + CASE WHEN flag_driver_spend_spike THEN 5 ELSE 0 END AS anomaly_score
+    + CASE WHEN flag_driver_spend_spike THEN 5 ELSE 0 END AS points
   FROM flagged),
+gold AS (SELECT *, points::BIGINT AS anomaly_score FROM scored),
 encoded AS (
   SELECT g.*,
     CASE WHEN route_name IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY route_name) END
@@ -398,9 +400,9 @@ SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(ts, 'transaction_%Y_%m.c
     WHEN 3 THEN 'Transactions ' || month_word || ' ' || year(ts) || '.csv'
     ELSE 'statement.csv' END AS source_file,
   CASE WHEN event_id % 5 < 3 OR (event_id % 5 = 3 AND month_word <> 'Smarch') THEN year(ts)
-    ELSE 2024 END AS statement_year,
+    ELSE 2024 END::INT AS statement_year,
   CASE WHEN event_id % 5 < 3 THEN month(ts) WHEN event_id % 5 = 3 AND month_word <> 'Smarch'
-    THEN event_id % 13 + 1 ELSE 2 END AS statement_month
+    THEN event_id % 13 + 1 ELSE 2 END::INT AS statement_month
 FROM names"""
 ORACLES["new_files_only"] = """SELECT DISTINCT strftime(ts, 'transaction_%Y-%m-%d.csv') AS name
   FROM events WHERE day(ts) % 2 = 1"""
