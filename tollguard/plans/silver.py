@@ -90,14 +90,18 @@ def enrich_plaza(df: DataFrame) -> DataFrame:
     return df
 
 
-def enrich(cleaned: DataFrame) -> DataFrame:
-    return enrich_plaza(enrich_agency(map_fare_type(filter_tolls(cleaned))))
+def enrich(tolls_: DataFrame) -> DataFrame:
+    return enrich_plaza(enrich_agency(map_fare_type(tolls_)))
+
+
+def tolls(bronze: DataFrame) -> DataFrame:
+    """Bronze to one clean, identified row per toll passage: what driver history needs."""
+    return filter_tolls(clean(bronze)).withColumn("transaction_id", trip.transaction_id())
 
 
 def trip_features(enriched: DataFrame) -> DataFrame:
     """Everything that a single row tells."""
     return enriched.withColumns({
-        "transaction_id": trip.transaction_id(),
         "weekend_or_weekday": trip.weekend_or_weekday(),
         "flag_is_weekend": trip.is_weekend(),
         "travel_time_of_day": trip.travel_time_of_day(),
@@ -111,8 +115,8 @@ def trip_features(enriched: DataFrame) -> DataFrame:
 
 
 def trips(bronze: DataFrame) -> DataFrame:
-    """Bronze to one typed, enriched, identified row per toll passage."""
-    return trip_features(enrich(clean(bronze)))
+    """Toll passages with names and row-level features."""
+    return trip_features(enrich(tolls(bronze)))
 
 
 # Driver history -----------------------------------------------------------------------------
@@ -315,7 +319,7 @@ def silver_select(df: DataFrame) -> DataFrame:
 def routes(
     df: DataFrame, distances: DataFrame | None = None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Trips with driver history, route and travel features."""
+    """Toll passages with driver history, route and travel features."""
     named = route_name(driver_history(df, hot_rows))
     return travel_features(route_instate(route_distance(named, distances), distances))
 
@@ -326,6 +330,10 @@ def silver(
     distances: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """The silver table from bronze text."""
-    rows = routes(trips(bronze), distances, hot_rows)
-    return silver_select(flag_is_holiday(add_route_stats(rows), holidays))
+    """The silver table from bronze text.
+
+    Names and row-level features are added after the windows, so the shuffle on the tag and the
+    passes that look for hot tags and count routes carry only what they need.
+    """
+    rows = add_route_stats(routes(tolls(bronze), distances, hot_rows))
+    return silver_select(flag_is_holiday(trip_features(enrich(rows)), holidays))

@@ -1,13 +1,19 @@
-"""Session helpers: the shared scratch folder and lineage cuts."""
+"""The shared scratch folder and lineage cuts."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _local_dir(application_id: str) -> str:
+    return tempfile.mkdtemp(prefix=f"tollguard-{application_id}-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, as the cluster names it in ``spark.checkpoint.dir``.
 
@@ -17,9 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="tollguard-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
+        return _local_dir(spark.sparkContext.applicationId)
     raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
@@ -29,9 +33,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint, so that several readers do not recompute ``df``
-    and a lost executor costs one read."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """Cut lineage by a written table in the shared folder.
+
+    Several readers then do not recompute ``df``, each reads only its columns, and a lost
+    executor costs one read.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

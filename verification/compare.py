@@ -42,7 +42,7 @@ def difference(df: DataFrame, connection: duckdb.DuckDBPyConnection, sql: str) -
     """Empty if both results have the same columns and rows in any order."""
     columns = sorted(df.columns)
     ours = df.select(*[f"`{c}`" for c in columns]).toArrow()
-    theirs = connection.execute(sql).to_arrow_table()
+    theirs = connection.sql(sql).to_arrow_table()
     if sorted(theirs.column_names) != columns:
         return f"columns differ: {set(columns) ^ set(theirs.column_names)}"
     a, b = _rows(ours), _rows(theirs.select(columns))

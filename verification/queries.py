@@ -51,8 +51,12 @@ def _trips(spark, sf):
     return silver.trips(_bronze(spark, sf))
 
 
+def _tolls(spark, sf):
+    return silver.tolls(_bronze(spark, sf))
+
+
 def _routes(spark, sf):
-    return silver.routes(_trips(spark, sf), adapter.distances(spark))
+    return silver.routes(_tolls(spark, sf), adapter.distances(spark))
 
 
 def _silver(spark, sf):
@@ -60,11 +64,12 @@ def _silver(spark, sf):
 
 
 def _gold(spark, sf):
-    return gold.gold(_silver(spark, sf))
+    """Silver is a stored table between the stages, so gold's three reads of it are scans."""
+    return gold.gold(materialize(_silver(spark, sf)))
 
 
 def _train(spark, sf):
-    return training.gold_train(_gold(spark, sf))
+    return training.gold_train(materialize(_gold(spark, sf)))
 
 
 def _predictions(spark, sf):
@@ -245,12 +250,14 @@ def map_fare_type(spark, sf):
 
 @query
 def enrich_agency(spark, sf):
-    return _trips(spark, sf).select(ID, "agency", "agency_name", "state_name")
+    return silver.enrich_agency(_tolls(spark, sf)).select(
+        ID, "agency", "agency_name", "state_name"
+    )
 
 
 @query
 def enrich_plaza(spark, sf):
-    return _trips(spark, sf).select(
+    return silver.enrich_plaza(_tolls(spark, sf)).select(
         ID, "entry_plaza", "entry_plaza_name", "exit_plaza", "exit_plaza_name"
     )
 
@@ -317,7 +324,7 @@ def master_viz(spark, sf):
 
 @query
 def flag_is_holiday(spark, sf):
-    return silver.flag_is_holiday(_trips(spark, sf), adapter.holidays(spark)).select(
+    return silver.flag_is_holiday(_tolls(spark, sf), adapter.holidays(spark)).select(
         ID, "transaction_date", "flag_is_holiday"
     )
 
@@ -334,14 +341,14 @@ def route_instate(spark, sf):
 
 @query
 def driver_median_join(spark, sf):
-    return gold.driver_median_join(_trips(spark, sf)).select(
+    return gold.driver_median_join(_tolls(spark, sf)).select(
         ID, "tag_plate_number", "amount", "driver_amount_median"
     )
 
 
 @query
 def daily_spend_join(spark, sf):
-    return gold.daily_spend_join(_trips(spark, sf)).select(
+    return gold.daily_spend_join(_tolls(spark, sf)).select(
         ID, "driver_today_spend", "driver_avg_daily_spend_30d"
     )
 
@@ -368,17 +375,17 @@ def master_join(spark, sf):
 
 @query
 def driver_amount_median(spark, sf):
-    return gold.driver_amount_median(_trips(spark, sf))
+    return gold.driver_amount_median(_tolls(spark, sf))
 
 
 @query
 def daily_spend(spark, sf):
-    return gold.daily_spend(_trips(spark, sf))
+    return gold.daily_spend(_tolls(spark, sf))
 
 
 @query
 def frequency_encode(spark, sf):
-    rows = silver.route_name(silver.previous_trip(_trips(spark, sf)))
+    rows = materialize(silver.route_name(silver.previous_trip(_trips(spark, sf))))
     encoded = training.frequency_encode(rows)
     return encoded.select(ID, *training.FREQUENCY_FEATURES.values())
 
@@ -430,24 +437,24 @@ def training_metrics(spark, sf):
 
 @query
 def driver_daily_txn_count(spark, sf):
-    return silver.driver_daily_txn_count(_trips(spark, sf)).select(ID, "driver_daily_txn_count")
+    return silver.driver_daily_txn_count(_tolls(spark, sf)).select(ID, "driver_daily_txn_count")
 
 
 @query
 def previous_trip(spark, sf):
-    return silver.previous_trip(_trips(spark, sf)).select(
+    return silver.previous_trip(_tolls(spark, sf)).select(
         ID, *[f"{c}_previous" for c in silver.PREVIOUS]
     )
 
 
 @query
 def route_name(spark, sf):
-    return silver.route_name(silver.previous_trip(_trips(spark, sf))).select(ID, "route_name")
+    return silver.route_name(silver.previous_trip(_tolls(spark, sf))).select(ID, "route_name")
 
 
 @query
 def driver_rolling_30txn(spark, sf):
-    return silver.driver_rolling_30txn(_trips(spark, sf)).select(
+    return silver.driver_rolling_30txn(_tolls(spark, sf)).select(
         ID, *[f"driver_amount_last_30txn_{s}" for s in ("avg", "std", "min", "max", "count")]
     )
 
@@ -455,7 +462,7 @@ def driver_rolling_30txn(spark, sf):
 @query
 def driver_rolling_30txn_in_pieces(spark, sf):
     """The same columns with every tag above 100 rows cut into pieces, as a hot tag is."""
-    rows = add_lookback(_trips(spark, sf), silver.TAG, silver.ROLLING, hot_rows=100)
+    rows = add_lookback(_tolls(spark, sf), silver.TAG, silver.ROLLING, hot_rows=100)
     return rows.select(
         ID, *[f"driver_amount_last_30txn_{s}" for s in ("avg", "std", "min", "max", "count")]
     )
@@ -463,13 +470,13 @@ def driver_rolling_30txn_in_pieces(spark, sf):
 
 @query
 def route_stats(spark, sf):
-    rows = silver.route_name(silver.previous_trip(_trips(spark, sf)))
+    rows = silver.route_name(silver.previous_trip(_tolls(spark, sf)))
     return silver.route_stats(rows).drop("route_amount_med")
 
 
 @query
 def route_median_min30(spark, sf):
-    rows = silver.route_name(silver.previous_trip(_trips(spark, sf)))
+    rows = silver.route_name(silver.previous_trip(_tolls(spark, sf)))
     return silver.route_stats(rows).select(
         *silver.ROUTE_KEY, "route_transaction_count", "route_amount_med"
     )
@@ -651,15 +658,15 @@ def order_by_severity(spark, sf):
 
 @query
 def check_not_null(spark, sf):
-    return quality.check_not_null(_trips(spark, sf), quality.NOT_NULL["silver"])
+    return quality.check_not_null(_tolls(spark, sf), quality.NOT_NULL["silver"])
 
 
 @query
 def check_unique(spark, sf):
-    trips = _trips(spark, sf).select(ID, "entry_lane")
+    trips = _tolls(spark, sf).select(ID, "entry_lane")
     return quality.check_unique(trips.unionByName(trips.filter(F.col("entry_lane") == "2")))
 
 
 @query
 def check_accepted_values(spark, sf):
-    return quality.check_accepted_values(_trips(spark, sf))
+    return quality.check_accepted_values(_tolls(spark, sf))
