@@ -47,6 +47,21 @@ def test_pieces_equal_one_window_when_copies_share_an_id(spark):
     assert rows(silver.driver_history(df, 20)) == rows(silver.driver_history(df))
 
 
+@pytest.mark.parametrize("block_rows", [1_000_000, 7])
+def test_many_equal_rows_are_folded(spark, monkeypatch, block_rows):
+    """A third of all rows are copies of one passage: the result is still that of one window."""
+    monkeypatch.setattr(preceding, "BLOCK_ROWS", block_rows)
+    df = trips(spark, 300, 2, 0.5)
+    one = df.filter("tag_plate_number = 'HOT' and amount is not null").orderBy("exit_time").limit(1)
+    df = df.unionByName(one.crossJoin(spark.range(150)).drop("id")).persist()
+    assert df.count() == 450
+    plain = silver.driver_history(df)
+    got = silver.driver_history(df, 40).select(*plain.columns)
+    assert rows(got) == rows(plain)
+    folded, has_copies = preceding.fold_copies(df.filter("tag_plate_number = 'HOT'"), 30, 40)
+    assert has_copies and folded.groupBy("transaction_id").count().agg(F.max("count")).first()[0] == 31
+
+
 def test_pieces_are_bounded(spark):
     """Equal times are cut along the id, so no piece keeps the whole tag."""
     df = trips(spark, 1200, 7, 1.0).filter("tag_plate_number = 'HOT'").withColumn(

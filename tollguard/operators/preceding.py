@@ -20,6 +20,7 @@ from tollguard.operators.skew import HOT_ROWS, hot_keys, matching
 TIES = ["transaction_id", "source_file"]
 GRID = 4096
 ID_SPACE = 1 << 24
+BLOCK_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -88,10 +89,46 @@ def _spread_ties(cuts: list[int]) -> list[tuple[int, int]]:
     return edges
 
 
+def fold_copies(hot: DataFrame, reach: int, hot_rows: int) -> tuple[DataFrame, bool]:
+    """Replace very many equal rows by ``reach + 1`` of them, the last one counting the rest.
+
+    Behind ``reach`` copies every further copy sees only copies, so they all get the same window
+    values, and so does any later row that looks back. ``_more`` is the number of rows left out,
+    ``_same`` keeps equal rows next to each other in the order.
+    """
+    none = {"_more": F.lit(0).cast("bigint"), "_same": F.lit(0).cast("bigint")}
+    ids = hot_keys(hot, "transaction_id", hot_rows)
+    if not ids:
+        return hot.withColumns(none), False
+    keys = F.broadcast(
+        hot.sparkSession.createDataFrame([(row["transaction_id"],) for row in ids], "_hot_id string")
+    )
+    on = matching(hot, {"transaction_id": "_hot_id"}, null_safe=True)
+    rows = hot.join(keys, on, "left_semi").groupBy(*hot.columns).agg(F.count(F.lit(1)).alias("_n"))
+    kept = F.explode(F.sequence(F.lit(1), F.least("_n", F.lit(reach + 1)))).alias("_copy")
+    rest = F.when(F.col("_copy") == reach + 1, F.col("_n") - F.col("_copy")).otherwise(0)
+    copies = rows.select("*", kept).withColumns({
+        "_more": rest.cast("bigint"), "_same": F.xxhash64(*hot.columns),
+    })
+    others = hot.join(keys, on, "left_anti").withColumns(none)
+    return others.unionByName(copies.drop("_n", "_copy")), True
+
+
+def unfold_copies(df: DataFrame) -> DataFrame:
+    """Undo :func:`fold_copies`, a million rows per block, blocks spread over tasks."""
+    block = F.explode(F.sequence(F.lit(0), F.floor(F.col("_more") / BLOCK_ROWS).cast("int")))
+    spread = df.withColumn("_block", block).repartition("transaction_id", "_block")
+    size = F.least(F.lit(BLOCK_ROWS), F.col("_more") + 1 - F.col("_block") * BLOCK_ROWS)
+    row = F.explode(F.sequence(F.lit(1), size.cast("int")))
+    return spread.withColumn("_row", row).drop("_block", "_row")
+
+
 def in_pieces(hot: DataFrame, key: str, lookback: Lookback, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The same columns as :func:`plain`, for keys too large for one task."""
     spark = hot.sparkSession
-    placed = hot.withColumn("_at", lookback.position())
+    folded, has_copies = fold_copies(hot, lookback.reach, hot_rows)
+    placed = folded.withColumn("_at", lookback.position())
+    ties = [*TIES, "_same"]
     edges = [(row[key], _spread_ties(row["cuts"])) for row in _edges(placed, key, hot_rows)]
     table = spark.createDataFrame(
         edges,
@@ -109,8 +146,8 @@ def in_pieces(hot: DataFrame, key: str, lookback: Lookback, hot_rows: int = HOT_
 
     # The last `reach` rows of every piece, and from them the last `reach` rows before each
     # next piece, also when the pieces in between are shorter than `reach`.
-    seen = list(dict.fromkeys([key, "_at", *TIES, *lookback.reads]))
-    latest = Window.partitionBy(key, "_piece").orderBy(F.desc("_at"), *map(F.desc, TIES))
+    seen = list(dict.fromkeys([key, "_at", *ties, *lookback.reads]))
+    latest = Window.partitionBy(key, "_piece").orderBy(F.desc("_at"), *map(F.desc, ties))
     tails = (
         pieced.select("_piece", *seen)
         .withColumn("_rank", F.row_number().over(latest))
@@ -130,10 +167,10 @@ def in_pieces(hot: DataFrame, key: str, lookback: Lookback, hot_rows: int = HOT_
         .select("_piece", F.inline("_before"), F.lit(True).alias("_halo"))
     )
 
-    window = Window.partitionBy(key, "_piece").orderBy("_at", *TIES)
+    window = Window.partitionBy(key, "_piece").orderBy("_at", *ties)
     rows = pieced.withColumn("_halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
-    done = lookback.add(rows, window)
-    return done.filter(~F.col("_halo")).drop("_halo", "_piece", "_at")
+    done = lookback.add(rows, window).filter(~F.col("_halo")).drop("_halo", "_piece", "_at")
+    return (unfold_copies(done) if has_copies else done).drop("_more", "_same")
 
 
 def add_lookback(
