@@ -37,19 +37,18 @@ def bronze(source: DataFrame) -> DataFrame:
     leave = F.date_trunc("second", F.col("ts"))
     enter = leave - F.make_dt_interval(mins=(event % 45).cast("int"))
     midnight = F.date_trunc("day", F.col("ts"))
-    second = "yyyy-MM-dd HH:mm:ss"
     return source.select(
-        F.date_format(F.date_add("ts", 2), "yyyy-MM-dd").alias("posting_date"),
-        F.date_format("ts", "yyyy-MM-dd").alias("transaction_date"),
+        F.date_add("ts", 2).cast("string").alias("posting_date"),
+        F.to_date("ts").cast("string").alias("transaction_date"),
         _every(97, "-", F.concat(F.lit(" t"), F.col("user_id").cast("string"))).alias(
             "tag_plate_number"
         ),
         _cycle(AGENCY_CYCLE, k % 6).alias("agency"),
         F.when(F.col("event_type") == "error", "FEE").otherwise("TOLL").alias("description"),
-        _every(50, "-", F.date_format(enter, second)).alias("entry_time"),
+        _every(50, "-", enter.cast("string")).alias("entry_time"),
         _cycle(PLAZA_CYCLE, k % 5).alias("entry_plaza"),
         (event % 9).cast("string").alias("entry_lane"),
-        _every(89, F.date_format(midnight, second), F.date_format(leave, second)).alias("exit_time"),
+        _every(89, midnight, leave).cast("string").alias("exit_time"),
         _cycle(PLAZA_CYCLE, k % 7).alias("exit_plaza"),
         F.lit("-").alias("exit_lane"),
         _cycle(VEHICLE_CYCLE, event % 4).alias("vehicle_type_code"),

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DAY = "yyyy-MM-dd"
-SECOND = "yyyy-MM-dd HH:mm:ss"
-
 
 def clean_text(column: str, upper: bool = False) -> Column:
     """Trim, optionally upper-case; the placeholder ``-`` becomes NULL."""
@@ -41,7 +38,7 @@ def statement_date(column: str) -> Column:
     parsed = F.coalesce(
         F.try_to_timestamp(text, F.lit("M/d/yyyy")), F.try_to_timestamp(text, F.lit("yyyy-M-d"))
     )
-    return F.date_format(parsed, DAY)
+    return parsed.cast("date").cast("string")
 
 
 def statement_time(date_column: str, time_column: str) -> Column:
@@ -50,7 +47,7 @@ def statement_time(date_column: str, time_column: str) -> Column:
     parsed = F.try_to_timestamp(
         F.concat(F.col(date_column), F.lit(" "), text), F.lit("yyyy-MM-dd H:m:s")
     )
-    return F.date_format(parsed, SECOND)
+    return parsed.cast("string")
 
 
 def statement_money(column: str) -> Column:

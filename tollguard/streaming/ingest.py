@@ -15,7 +15,7 @@ def stream_statements(
     """Load every statement file in ``source`` not loaded before, then stop.
 
     The checkpoint remembers finished files and the file sink commits a batch as a whole, so a
-    restart neither loses nor repeats a file.
+    restart neither loses nor repeats a file. Rows with too many fields are left out.
     """
     rows = (
         spark.readStream.schema(statement_schema()).options(**CSV_OPTIONS).csv(source)

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from tollguard import adapter, lookups
+from tollguard import adapter, lookups, schemas
 
 ORACLES: dict[str, str] = {}
 
@@ -457,8 +457,6 @@ def _table(name: str, columns: list[str], source: str, *parts: str) -> None:
     _add(name, f"SELECT {', '.join(columns)} FROM {source}", *parts)
 
 
-from tollguard import schemas  # noqa: E402
-
 _table("silver_select", schemas.SILVER_COLUMNS, "silver_wide")
 _table("gold_select", schemas.GOLD_COLUMNS, "gold", *ALL)
 _table("gold_rulebased", schemas.GOLD_RULEBASED_COLUMNS, "gold", *ALL)
