@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollguard.llm.base import n_words, ranked
@@ -44,6 +44,7 @@ def plan_mix(
     share: float = 1.5,
     max_copies: int = 2,
     seed: int = 10,
+    size: Column | None = None,
 ) -> DataFrame:
     """How often the mix takes each row of ``docs``: columns ``row`` (the whole input row as a
     struct, so no name can clash), ``size``, ``source_size``, ``target``, ``copies``, ``taken``.
@@ -56,6 +57,8 @@ def plan_mix(
     integer crossed, so it gets the floor or the ceiling of its expectation. As sizes rise along
     the order, the words taken miss the target by about one longest document at most.
 
+    ``size`` replaces the count of words by an expression of ``docs``, a long that is never NULL.
+
     Any column may be NULL: a NULL text has size 0, NULL sources are one source, NULL ids sort
     first. A source without words has target 0 and gives no copies. An empty table gives no rows.
     Equal rows share the copies that fall to their places. Nothing depends on the partitioning, so
@@ -65,7 +68,7 @@ def plan_mix(
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(f"`{source}`").cast("string").alias("_source"),
-        n_words(F.col(f"`{text}`")).alias("size"),
+        (n_words(F.col(f"`{text}`")) if size is None else size).alias("size"),
         F.md5(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))).alias("_mixed"),
         F.col(f"`{doc_id}`").alias("_id"),
     )

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollguard.llm import language, mixing, tokens
+from tollguard.llm import language, linededup, mixing, quality, tokens
+from tollguard.llm.base import n_words
 
 #: The rank file and pattern of the byte-level tokenizer in production.
 BPE = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -21,6 +22,14 @@ def _held_out():
     return F.coalesce(remainder == 1, F.lit(False))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "kept", "votes", "quality",
+    )
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", _held_out().alias("held_out"))
     prototypes = language.learn(docs.filter(~F.col("held_out")))
@@ -32,11 +41,59 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(docs, *BPE, keep_ids=False).drop("text")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = linededup.dedupe_lines(docs, n_lines="n_lines", n_removed="n_removed")
+    return left.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     # only the size of a text is asked for, so the text itself does not travel
-    return mixing.plan_mix(docs).select("row.doc_id", "size", "source_size", "target", "taken")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("words"))
+    return mixing.plan_mix(docs, size=F.col("words")).select("row.doc_id", "size", "source_size", "target", "taken")
+
 
+OP8 = r"""
+WITH parts AS (
+  SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) AS no,
+    unnest(string_split(text, chr(10))) AS raw
+  FROM documents),
+trimmed AS (
+  SELECT *, trim(raw, chr(32) || chr(9) || chr(13) || chr(12) || chr(11)) AS line FROM parts),
+lines AS (
+  SELECT line, length(line) AS n, min((doc_id, no)) AS first_at
+  FROM trimmed WHERE length(line) >= 20 GROUP BY line),
+pairs AS (
+  SELECT a.line AS a, b.line AS b, b.n, a.first_at AS a_at, b.first_at AS b_at
+  FROM lines a JOIN lines b ON a.n = b.n AND a.line < b.line
+  WHERE left(a.line, b.n // 2) = left(b.line, b.n // 2)
+    OR right(a.line, b.n - b.n // 2) = right(b.line, b.n - b.n // 2)
+  UNION ALL
+  SELECT a.line, b.line, b.n, a.first_at, b.first_at
+  FROM lines a JOIN lines b ON a.n = b.n + 1
+  WHERE left(a.line, b.n // 2) = left(b.line, b.n // 2)
+    OR right(a.line, b.n - b.n // 2) = right(b.line, b.n - b.n // 2)),
+same AS (
+  SELECT *, coalesce(list_position(
+      list_transform(range(1, n + 1), lambda i: substr(a, i, 1) = substr(b, i, 1)), false), n + 1) AS differs
+  FROM pairs),
+near AS (
+  SELECT CASE WHEN a_at < b_at THEN b ELSE a END AS line FROM same
+  WHERE substr(a, differs + 1) = substr(b, differs + CASE WHEN length(a) = n THEN 1 ELSE 0 END)),
+kept AS (
+  SELECT t.doc_id, t.no, t.raw
+  FROM trimmed t LEFT JOIN lines l ON t.line = l.line
+  WHERE l.line IS NULL
+    OR (l.first_at = (t.doc_id, t.no) AND l.line NOT IN (SELECT line FROM near))),
+rebuilt AS (
+  SELECT doc_id, count(*) AS n_kept, string_agg(raw, chr(10) ORDER BY no) AS left_text
+  FROM kept GROUP BY doc_id)
+SELECT doc_id,
+  CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines,
+  CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) - coalesce(n_kept, 0) END::BIGINT AS n_removed,
+  CASE WHEN text IS NOT NULL THEN md5(coalesce(left_text, '')) END AS kept_md5
+FROM documents LEFT JOIN rebuilt USING (doc_id)
+"""
 
 OP10 = r"""
 WITH docs AS (
@@ -74,11 +131,14 @@ FROM each
 """
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op5_byte_bpe": op5_byte_bpe,
+    "op8_line_dedup": op8_line_dedup,
     "op10_mixing": op10_mixing,
 }
 
 ORACLES = {
+    "op8_line_dedup": OP8,
     "op10_mixing": OP10,
 }
