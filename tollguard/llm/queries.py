@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollguard.llm import language, linededup, mixing, quality, tokens
+import corpus_pipeline
+from tollguard.llm import jaccard, language, linededup, mixing, quality, tokens
 from tollguard.llm.base import n_words
 
 #: The rank file and pattern of the byte-level tokenizer in production.
@@ -36,6 +37,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.drop("lang"), prototypes).drop("text")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "class_id", "n_links", "n_texts")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.encode_documents(docs, *BPE, keep_ids=False).drop("text")
@@ -53,6 +59,33 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(docs, size=F.col("words")).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+OP4 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE
+    list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM words WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 5 * c >= 4 * (x.n + y.n - c)),
+reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+classes AS (SELECT a, min(b) AS least FROM reach GROUP BY a),
+joined AS (SELECT array_to_string(w, ' ') AS whole, doc_id FROM words),
+counts AS (
+  SELECT a, count(*) AS n_links,
+    count(DISTINCT y.whole) FILTER (WHERE y.whole <> x.whole) AS n_texts
+  FROM links JOIN joined x ON x.doc_id = a JOIN joined y ON y.doc_id = b GROUP BY a)
+SELECT d.doc_id, least(d.doc_id, coalesce(least, d.doc_id)) AS class_id,
+  coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_texts, 0)::BIGINT AS n_texts
+FROM documents d LEFT JOIN classes ON classes.a = d.doc_id LEFT JOIN counts ON counts.a = d.doc_id
+"""
+
 OP8 = r"""
 WITH parts AS (
   SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) AS no,
@@ -133,12 +166,15 @@ FROM each
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_line_dedup": op8_line_dedup,
     "op10_mixing": op10_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
+    "op4_ngram_jaccard": OP4,
     "op8_line_dedup": OP8,
     "op10_mixing": OP10,
 }
