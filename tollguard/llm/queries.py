@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tollguard.llm import jaccard, language, linededup, mixing, quality, tokens
+from tollguard.llm import jaccard, language, linededup, mixing, quality, tokens, topk, warc
 from tollguard.llm.base import n_words
+from tollguard.session import scratch_path
 
 #: The rank file and pattern of the byte-level tokenizer in production.
 BPE = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -47,6 +48,19 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(docs, *BPE, keep_ids=False).drop("text")
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.filter(F.col("_id") % 50 == 0))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write_archives(_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return warc.read_archives(spark, folder).select(
+        F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     left = linededup.dedupe_lines(docs, n_lines="n_lines", n_removed="n_removed")
@@ -86,6 +100,34 @@ SELECT d.doc_id, least(d.doc_id, coalesce(least, d.doc_id)) AS class_id,
 FROM documents d LEFT JOIN classes ON classes.a = d.doc_id LEFT JOIN counts ON counts.a = d.doc_id
 """
 
+OP6 = r"""
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM sound q JOIN sound c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM placed WHERE rank <= 5
+"""
+
+OP7 = r"""
+WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages),
+answered AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest)
+    ELSE page_id END AS response
+  FROM payloads)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> response THEN response END AS refers_to
+FROM answered
+"""
+
 OP8 = r"""
 WITH parts AS (
   SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) AS no,
@@ -168,6 +210,8 @@ QUERIES = {
     "op2_language": op2_language,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_exact_top_k": op6_exact_top_k,
+    "op7_warc": op7_warc,
     "op8_line_dedup": op8_line_dedup,
     "op10_mixing": op10_mixing,
     "pipeline": corpus_pipeline.run,
@@ -175,6 +219,8 @@ QUERIES = {
 
 ORACLES = {
     "op4_ngram_jaccard": OP4,
+    "op6_exact_top_k": OP6,
+    "op7_warc": OP7,
     "op8_line_dedup": OP8,
     "op10_mixing": OP10,
 }
