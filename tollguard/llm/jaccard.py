@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tollguard.llm.rolling import Rolling, mixed, odd_numbers
 from tollguard.session import materialize
 
 #: Words of a shingle, and the least similarity of a link as a fraction.
@@ -40,42 +41,19 @@ def prefix_length(similarity: float, trees: int = TREES, depth: int = DEPTH, rec
 
 @cache
 def _constants() -> dict[str, np.ndarray]:
-    draw = np.random.Generator(np.random.PCG64(4))
-    odd = lambda n: draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     blank = np.zeros(256, dtype=bool)
     blank[[0x20, *range(0x09, 0x0E)]] = True
-    base = odd(1)[0]
-    return {"byte": odd(256), "base": base, "inverse": np.uint64(pow(int(base), -1, 1 << 64)),
-            "join": odd(SHINGLE), "minhash": odd(TREES * DEPTH), "label": odd(DEPTH), "blank": blank}
-
-
-@cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers of the base and of its inverse modulo 2^64."""
-    c = _constants()
-    up, down = np.full(size, c["base"]), np.full(size, c["inverse"])
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return {"join": odd_numbers(SHINGLE, 41), "minhash": odd_numbers(TREES * DEPTH, 42),
+            "label": odd_numbers(DEPTH, 43), "blank": blank}
 
 
 def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of every word of a buffer: differences of a running polynomial."""
-    c = _constants()
+    """Hash and first byte of every word of a buffer."""
     data = np.frombuffer(raw, dtype=np.uint8)
-    inside = np.concatenate([[False], ~c["blank"][data], [False]])
+    inside = np.concatenate([[False], ~_constants()["blank"][data], [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
-    size = 1 << max(20, int(len(data)).bit_length())
-    up, down = _powers(size)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(c["byte"][data] * up[: len(data)], out=total[1:])
-    return _mixed((total[end] - total[start]) * down[start]), start
+    return Rolling(data).ranges(start, end), start
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +77,7 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         own = words[first[i] : upto[i]]
         joined[first[i]] = (own * c["join"][: len(own)]).sum(dtype=np.uint64) + np.uint64(len(own))
     keep = np.arange(len(words)) < np.repeat(first + counts, n)
-    return _mixed(joined[keep]), counts
+    return mixed(joined[keep]), counts
 
 
 def _groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -124,7 +102,7 @@ def _labels(values: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
         label = np.full(len(some), tree, dtype=np.uint64)
         for k in range(length):
             least = np.minimum.reduceat((values * c["minhash"][tree * DEPTH + k]) >> np.uint64(32), starts)
-            label = _mixed(label * c["label"][k] + least)
+            label = mixed(label * c["label"][k] + least)
         out[:, tree] = label
     return out
 

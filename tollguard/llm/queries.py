@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tollguard.llm import jaccard, language, linededup, mixing, quality, tokens, topk, warc
+from tollguard.llm import jaccard, language, linededup, mixing, quality, repeats, tokens, topk, warc, wrappers
 from tollguard.llm.base import n_words
 from tollguard.session import scratch_path
 
@@ -38,6 +38,15 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.drop("lang"), prototypes).drop("text")
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return left.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
     return joined.select("doc_id", "class_id", "n_links", "n_texts")
@@ -67,6 +76,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = wrappers.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", F.col("main_text").alias("text"), "n_chars")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # only the size of a text is asked for, so the text itself does not travel
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("words"))
@@ -208,11 +222,13 @@ FROM each
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
+    "op3_repeats": op3_repeats,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_warc": op7_warc,
     "op8_line_dedup": op8_line_dedup,
+    "op9_main_text": op9_main_text,
     "op10_mixing": op10_mixing,
     "pipeline": corpus_pipeline.run,
 }
