@@ -120,3 +120,14 @@ def test_frequency_counts_values_and_zeroes_null(spark, monkeypatch):
 def test_dates_stay_dates(spark):
     df = spend(spark, [("T", "2024-01-01", 1.0)])
     assert gold.daily_spend(df).first()["transaction_date"] == date(2024, 1, 1)
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 50_000, 50_001])
+def test_driver_median_is_exact_at_every_size(spark, n):
+    tags = spark.range(n).select(
+        F.lit(None).cast("string").alias("tag_plate_number"), (F.col("id") * 7 % n).cast("double").alias("amount")
+    )
+    tags = tags.unionByName(tags.limit(1).select(F.lit("t").alias("tag_plate_number"), F.lit(None).cast("double").alias("amount")))
+    found = {r[0]: r[1] for r in gold.driver_amount_median(tags).collect()}
+    values = sorted(float(i * 7 % n) for i in range(n))
+    assert found == {None: values[(n - 1) // 2], "t": None}

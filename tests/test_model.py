@@ -124,17 +124,27 @@ def test_forest_depends_on_seed_and_data_not_on_partitions(spark):
     assert not np.array_equal(first.threshold, other.threshold)
 
 
-def test_samples_come_from_a_bounded_pool(spark):
+def test_non_finite_values_count_as_missing(spark):
+    values = [1.0, 2.0, 9.0, *[float("nan")] * 40, float("inf"), -float("inf"), None]
+    for fetch_rows in (10_000, 2):
+        assert exact_medians(numbers(spark, values), ["x"], fetch_rows) == {"x": 2.0}
+    df = numbers(spark, values).selectExpr("'a' as transaction_id", "x")
+    filled, dropped = model.impute_median(df)
+    assert dropped == [] and filled.filter("x = 2.0").count() == 44
+
+
+def test_samples_are_drawn_by_one_rule(spark):
     df = spark.range(20_000).select(
         F.md5(F.col("id").cast("string")).alias("transaction_id"), F.col("id").cast("double").alias("x")
     )
     drawn, taken = forest.draw_samples(
-        df, "transaction_id", ["x"], trees=4, sample_rows=64, pool_rows=1000
+        df, "transaction_id", ["x"], trees=4, sample_rows=64
     )
     trees = drawn.groupBy("tree").agg(F.count(F.lit(1)), F.countDistinct("_id"), F.avg("x")).collect()
     assert taken == 64 and [(r[1], r[2]) for r in trees] == [(64, 64)] * 4
     assert all(6000 < r[3] < 14000 for r in trees)
-    assert drawn.select("_id").distinct().count() < 4 * 64 + 1
+    few, taken = forest.draw_samples(df.limit(50), "transaction_id", ["x"], trees=4, sample_rows=64)
+    assert taken == 50 and few.count() == 200
 
 
 def test_planted_outlier_scores_lowest_and_one_percent_is_flagged(spark):

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from conftest import rows
 from tollguard.schemas import BRONZE_COLUMNS, BRONZE_SCHEMA, RAW_COLUMNS
 from tollguard.sources import bronze as bronze_table
-from tollguard.sources import sinks, statements
+from tollguard.functions import cleaning
+from tollguard.session import require_utc
+from tollguard.sources import load, sinks, statements
 from tollguard.streaming.ingest import stream_statements
 
 HEADER = ",".join(RAW_COLUMNS)
@@ -123,6 +125,60 @@ def test_dedupe_keeps_latest_load_and_null_keys(spark):
     assert rows(kept.select("agency", "entry_lane")) == [("x", "new"), ("y", "other")]
 
 
+@pytest.mark.parametrize("text, expected", [
+    ("60d", None), ("1f", None), ("0x1p3", None), ("NaN", None), ("Infinity", None), ("-inf", None),
+    ("1e999", None), ("1e2", 100.0), (" -5. ", -5.0), (".5", 0.5), ("-", None), ("1 2", None),
+])
+def test_only_plain_finite_numbers_are_numbers(spark, text, expected):
+    df = spark.createDataFrame([(text,)], "amount string")
+    assert df.select(cleaning.parse_number("amount")).first()[0] == expected
+
+
+def test_equal_loads_go_by_the_smallest_file_name(spark):
+    rows_ = [{"source_file": s, "loaded_at": t, "entry_lane": f"{s}{t}"} for s in "ab" for t in ("2024-01-02", "2024-01-10", None)]
+    assert bronze_table.dedupe_bronze(bronze_rows(spark, *rows_)).first()["entry_lane"] == "a2024-01-10"
+
+
+def test_another_time_zone_is_refused(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        with pytest.raises(ValueError, match="timeZone"):
+            require_utc(spark)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    require_utc(spark)
+
+
+def test_batch_stream_batch_in_one_folder(spark, tmp_path):
+    out, source = str(tmp_path / "bronze"), tmp_path / "in"
+    bronze_table.append_bronze(bronze_rows(spark, {"source_file": "x.csv"}), out)
+    write(source, "a.csv", LINE, LINE + ",extra")
+    rejects = str(tmp_path / "rejects")
+    stream_statements(spark, str(source), out, str(tmp_path / "s"), "2024-04-01 00:00:00", rejects).awaitTermination()
+    assert bronze_table.read_bronze(spark, out).count() == 2
+    bronze_table.append_bronze(bronze_rows(spark, {"source_file": "y.csv"}), out)
+    assert bronze_table.read_bronze(spark, out).count() == 3
+    kept = spark.read.option("recursiveFileLookup", True).parquet(rejects).collect()
+    assert [(r["source_file"], r["record"]) for r in kept] == [("a.csv", LINE + ",extra")]
+    write(source, "b.csv", LINE + ",1", LINE + ",2")
+    with pytest.raises(Exception, match="bad rows"):
+        stream_statements(
+            spark, str(source), out, str(tmp_path / "s"), "2024-04-01 00:00:00", rejects, max_bad_rows=1
+        ).awaitTermination()
+    assert bronze_table.read_bronze(spark, out).count() == 3
+
+
+def test_load_takes_new_files_only_and_keeps_bad_rows(spark, tmp_path):
+    out, rejects, source = str(tmp_path / "bronze"), str(tmp_path / "rejects"), tmp_path / "in"
+    write(source, "a.csv", LINE, LINE + ",extra")
+    assert load.load_statements(spark, str(source), out, rejects, "2024-04-01 00:00:00").first()["total_rows"] == 1
+    write(source, "b.csv", LINE)
+    for _ in range(2):
+        found = load.load_statements(spark, str(source), out, rejects, "2024-04-02 00:00:00").first()
+        assert (found["total_rows"], found["unique_files"]) == (2, 2)
+    assert spark.read.parquet(rejects).count() == 1
+
+
 def test_write_partitioned_round_trip_and_pruning(spark, tmp_path):
     df = spark.range(1000).select(
         F.concat(F.lit("t"), F.col("id") % 7).alias("tag_plate_number"),
@@ -148,7 +204,7 @@ def test_write_predictions_reports_missing_columns(spark, tmp_path):
     sinks.write_predictions(df, path)
     back = spark.read.parquet(path)
     assert "amount" in missing and "is_anomaly" not in missing
-    assert back.count() == 2 and "unknown" not in back.columns
+    assert back.count() == 1 and "unknown" not in back.columns
     assert str(back.first()["prediction_date"]) == "2024-02-03"
 
 

@@ -17,6 +17,10 @@ STATUS_CYCLE = [
 HOLIDAYS = ["2024-01-01", "2024-01-15"]
 
 
+#: Texts that are no amounts, though some engines read most of them as numbers.
+BAD_AMOUNTS = ["bad", "60d", "1f", "NaN", "Infinity", "0x1p3"]
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
@@ -37,6 +41,7 @@ def bronze(source: DataFrame) -> DataFrame:
     leave = F.date_trunc("second", F.col("ts"))
     enter = leave - F.make_dt_interval(mins=(event % 45).cast("int"))
     midnight = F.date_trunc("day", F.col("ts"))
+    bad = F.floor(event / 101) % len(BAD_AMOUNTS)
     return source.select(
         F.date_add("ts", 2).cast("string").alias("posting_date"),
         F.to_date("ts").cast("string").alias("transaction_date"),
@@ -52,7 +57,8 @@ def bronze(source: DataFrame) -> DataFrame:
         _cycle(PLAZA_CYCLE, k % 7).alias("exit_plaza"),
         F.lit("-").alias("exit_lane"),
         _cycle(VEHICLE_CYCLE, event % 4).alias("vehicle_type_code"),
-        _every(101, "bad", F.concat(F.lit("-"), F.col("value").cast("string"))).alias("amount"),
+        _every(101, _cycle(BAD_AMOUNTS, bad), F.concat(F.lit("-"), F.col("value").cast("string")))
+        .alias("amount"),
         F.lit("Y").alias("prepaid"),
         F.lit("STANDARD").alias("plan_rate"),
         _cycle(FARE_CYCLE, event % 3).alias("fare_type"),
@@ -84,7 +90,7 @@ def statements(source: DataFrame) -> DataFrame:
         F.lit("-").alias("EXIT LANE"),
         _cycle(VEHICLE_CYCLE, event % 4).alias("VEHICLE TYPE CODE"),
         _every(
-            101, "bad",
+            101, _cycle(BAD_AMOUNTS, F.floor(event / 101) % len(BAD_AMOUNTS)),
             _every(2, F.concat(F.lit("($"), value, F.lit(")")), F.concat(F.lit(" $"), value)),
         ).alias("AMOUNT"),
         F.lit("Y").alias("PREPAID"),

@@ -28,8 +28,18 @@ def parse_time_midnight_null(column: str) -> Column:
     return F.when(time != F.date_trunc("day", time), time)
 
 
+#: Fixed value: what counts as a number. Type letters, hexadecimal digits and words do not.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def plain_number(text: Column) -> Column:
+    """A finite decimal number; any other text, such as ``60d``, ``NaN`` or ``Infinity``, is NULL."""
+    number = F.when(text.rlike(NUMBER), text).try_cast("double")
+    return F.when(F.abs(number) < float("inf"), number)
+
+
 def parse_number(column: str) -> Column:
-    return F.col(column).try_cast("double")
+    return plain_number(F.col(column))
 
 
 def statement_date(column: str) -> Column:
@@ -55,4 +65,4 @@ def statement_money(column: str) -> Column:
     text = F.regexp_replace(F.trim(F.col(column)), r"[$,]", "")
     bare = F.regexp_replace(text, r"[()]", "")
     signed = F.when(text.rlike(r"\(.*\)"), F.concat(F.lit("-"), bare)).otherwise(text)
-    return signed.try_cast("double").cast("string")
+    return plain_number(signed).cast("string")

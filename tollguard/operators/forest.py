@@ -16,12 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tollguard.session import materialize
-
 TREES = 100
 SAMPLE_ROWS = 256
 SEED = 42
-POOL_ROWS = 65_536
 HASH_SPACE = 1 << 32
 EULER_GAMMA = 0.5772156649015329
 
@@ -62,29 +59,23 @@ def draw_samples(
     trees: int = TREES,
     sample_rows: int = SAMPLE_ROWS,
     seed: int = SEED,
-    pool_rows: int = POOL_ROWS,
 ) -> tuple[DataFrame, int]:
-    """``sample_rows`` distinct rows per tree (fewer if there are fewer), and that number.
+    """``sample_rows`` rows per tree (fewer if there are fewer), and that number. Ids are unique.
 
-    A hash threshold cuts the data to a pool of about ``pool_rows`` in one map-only pass; each
-    tree then takes its own smallest hashes from the pool.
+    One rule at every size: a row may enter the trees whose hash of (id, tree, seed) is below a
+    limit that lets about four times the wanted rows through, and each tree takes its smallest
+    hashes. The pass over the data is map-only; about ``4 * sample_rows`` rows per tree travel.
     """
     total = df.count()
-    pool = df.select(F.col(id_column).alias("_id"), *[F.col(f).cast("double") for f in features])
-    if total > 2 * pool_rows:
-        share = int(HASH_SPACE * pool_rows / total)
-        pool = pool.filter(_hash(F.col("_id"), F.lit(seed)) < share)
-    pool = materialize(pool.dropDuplicates(["_id"]))
-    pooled = pool.count()
-    taken = min(sample_rows, pooled)
-    near = int(HASH_SPACE * min(1.0, 4 * sample_rows / max(pooled, 1)))
-    draws = pool.select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    ).withColumn("_draw", F.xxhash64("_id", "tree", F.lit(seed)))
-    near_draws = draws.filter(F.pmod("_draw", F.lit(HASH_SPACE)) < near)
-    order = Window.partitionBy("tree").orderBy(F.pmod("_draw", F.lit(HASH_SPACE)), "_id")
-    picked = near_draws.withColumn("_rank", F.row_number().over(order))
-    return picked.filter(F.col("_rank") <= taken).drop("_draw"), taken
+    taken = min(sample_rows, total)
+    near = int(HASH_SPACE * min(1.0, 4 * sample_rows / max(total, 1)))
+    draw = lambda tree: _hash(F.col("_id"), tree, F.lit(seed))
+    rows = df.select(F.col(id_column).alias("_id"), *[F.col(f).cast("double") for f in features])
+    entered = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: draw(tree) < near)
+    drawn = rows.select("*", F.explode(entered).alias("tree"))
+    order = Window.partitionBy("tree").orderBy(draw(F.col("tree")), "_id")
+    picked = drawn.withColumn("_rank", F.row_number().over(order))
+    return picked.filter(F.col("_rank") <= taken), taken
 
 
 def grow_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple]:

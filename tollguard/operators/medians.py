@@ -29,7 +29,7 @@ class _Rank:
     value: float | None = None
 
     def values(self) -> Column:
-        x = F.col(self.column).cast("double")
+        x = present(self.column)
         return F.when((x > self.low) & (x < self.high), x)
 
     def settle(self, low: float, high: float, counts: tuple[int, int, int]) -> None:
@@ -49,13 +49,22 @@ class _Rank:
             self.below, self.inside = under_low + at_low, under_high - under_low - at_low
 
 
+def present(column: str) -> Column:
+    """A finite value; NaN and infinite ones count as missing."""
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < inf), x)
+
+
 def exact_medians(
     df: DataFrame, columns: list[str], fetch_rows: int = FETCH_ROWS
 ) -> dict[str, float | None]:
-    """Median per column (mean of the middle two if even), None if a column has no values."""
+    """Median per column (mean of the middle two if even), None if a column has no values.
+
+    NaN and infinite values count as missing.
+    """
     if not columns:
         return {}
-    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
+    counts = df.agg(*[F.count(present(c)).alias(c) for c in columns]).first().asDict()
     ranks = [
         _Rank(c, rank, counts[c])
         for c in columns if counts[c]
@@ -67,6 +76,8 @@ def exact_medians(
             lists = [F.sort_array(F.collect_list(r.values())) for r in few]
             picks = [F.get(a, F.lit(r.rank - r.below)) for a, r in zip(lists, few)]
             for r, value in zip(few, df.agg(*[p.alias(f"p{i}") for i, p in enumerate(picks)]).first()):
+                if value is None:
+                    raise ValueError(f"rank {r.rank} of {r.column} cannot be read; did the rows change?")
                 r.value = value
         many = [r for r in open_ranks if r.inside > fetch_rows]
         if many:
@@ -75,7 +86,7 @@ def exact_medians(
                 for i, r in enumerate(many)
             ]).first()
             tallies = df.agg(*[
-                F.struct(*_tally(F.col(r.column).cast("double"), *span)).alias(f"t{i}")
+                F.struct(*_tally(present(r.column), *span)).alias(f"t{i}")
                 for i, (r, span) in enumerate(zip(many, spans))
             ]).first()
             for r, span, tally in zip(many, spans, tallies):

@@ -11,8 +11,6 @@ from tollguard.schemas import GOLD_COLUMNS, GOLD_RULEBASED_COLUMNS
 
 TAG, DAY = "tag_plate_number", "transaction_date"
 SPEND_DAYS = 30
-# Rank error of a median is at most rows / this; a driver below it gets the exact element.
-MEDIAN_ACCURACY = 10_000
 
 # Outlier limits and score weights.
 OUTLIER_Z = 1
@@ -28,9 +26,18 @@ SCORE_WEIGHTS = {
 
 
 def driver_amount_median(silver: DataFrame) -> DataFrame:
-    """All-time median amount per tag, an amount that occurs."""
-    median = F.percentile_approx("amount", 0.5, MEDIAN_ACCURACY)
-    return silver.groupBy(TAG).agg(median.alias("driver_amount_median"))
+    """All-time median amount per tag: the middle amount in order, of two middles the smaller.
+
+    Exact at every size. Amounts are counted per tag and price first, combined map-side, so a hot
+    tag arrives at its window as one row per price.
+    """
+    prices = silver.groupBy(TAG, "amount").agg(F.count("amount").alias("_n"))
+    upto = Window.partitionBy(TAG).orderBy("amount").rowsBetween(Window.unboundedPreceding, 0)
+    prices = prices.withColumns({
+        "_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(Window.partitionBy(TAG)),
+    })
+    reached = (F.col("_n") > 0) & (2 * F.col("_upto") >= F.col("_all"))
+    return prices.groupBy(TAG).agg(F.min(F.when(reached, F.col("amount"))).alias("driver_amount_median"))
 
 
 def driver_median_join(silver: DataFrame) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import time
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tollguard.plans import gold, model, quality, report, risk, silver, training
 from tollguard.sources import bronze as bronze_table
 from tollguard.sources import sinks
+from tollguard.session import require_utc
 
 
 def build(
@@ -21,31 +26,57 @@ def build(
     """Write every table below ``folder`` and return them by name.
 
     ``dedupe`` drops passages loaded twice, as bronze is documented to; without it, copies
-    share an id and the unique check on the training table fails.
+    share an id and the unique check on the training table fails. Building again into the same
+    folder replaces what the first run wrote; predictions of other days and metrics of other
+    runs stay, and only this run's predictions are joined. ``checks`` has a row for each data
+    test of each table.
     """
+    require_utc(spark)
 
     def stored(name: str, df: DataFrame, cluster: list[str] = sinks.SILVER_CLUSTER) -> DataFrame:
         path = f"{folder}/{name}"
         sinks.write_partitioned(df, path, cluster)
         return spark.read.parquet(path).select(*df.columns)
 
+    def kept_by(name: str, df: DataFrame, run: str) -> DataFrame:
+        path = f"{folder}/{name}"
+        df.withColumn("run", F.lit(run)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("run").parquet(path)
+        return spark.read.parquet(path).select(*df.columns)
+
     rows = bronze_table.dedupe_bronze(bronze) if dedupe else bronze
     tables = {"silver": stored("silver", silver.silver(rows, holidays, distances))}
     tables["gold"] = stored("gold", gold.gold(tables["silver"]))
     tables["gold_rulebased"] = stored("gold_rulebased", gold.gold_rulebased(tables["gold"]))
     tables["gold_train"] = stored("gold_train", training.gold_train(tables["gold"]))
-    if quality.check_unique(tables["gold_train"]).limit(1).count():
-        raise ValueError("transaction_id is not unique in the training table")
+    _require_unique("gold_train", tables["gold_train"])
 
-    path = f"{folder}/pred_raw"
+    path, started = f"{folder}/pred_raw", time.monotonic()
     sinks.write_predictions(model.predict(tables["gold_train"], run_time), path)
-    tables["pred_raw"] = spark.read.parquet(path).drop("prediction_date")
+    seconds = time.monotonic() - started
+    this_run = F.col("prediction_timestamp") == F.lit(run_time).cast("timestamp")
+    predictions = spark.read.parquet(path).filter(this_run).drop("prediction_date")
+    tables["pred_raw"] = predictions
+    _require_unique("pred_raw", predictions)
+    n_features = len(model.feature_names(tables["gold_train"]))
+    metrics = model.training_metrics(predictions, f"isolation_forest_{run_time}", run_time, seconds, n_features)
+    tables["metrics_training"] = kept_by("metrics_training", metrics, run_time)
     viz = risk.pred_viz(tables["pred_raw"])
     viz.write.mode("overwrite").parquet(f"{folder}/pred_viz")
     tables["pred_viz"] = spark.read.parquet(f"{folder}/pred_viz")
     master = risk.master_viz(tables["gold"], tables["pred_viz"])
     tables["master_viz"] = stored("master_viz", master, sinks.MASTER_CLUSTER)
     as_of = run_time[:10]
-    tables["stats"] = report.stats_summary(tables["master_viz"], as_of)
-    tables["stats_month"] = report.stats_month(tables["master_viz"], as_of)
+    for name, rollup in (("stats", report.stats_summary), ("stats_month", report.stats_month)):
+        rollup(tables["master_viz"], as_of).write.mode("overwrite").parquet(f"{folder}/{name}")
+        tables[name] = spark.read.parquet(f"{folder}/{name}")
+    checks = [quality.check_table(name, tables[name]) for name in quality.CHECKED]
+    reduce(DataFrame.unionByName, checks).write.mode("overwrite").parquet(f"{folder}/checks")
+    tables["checks"] = spark.read.parquet(f"{folder}/checks")
     return tables
+
+
+def _require_unique(name: str, table: DataFrame) -> None:
+    if quality.check_unique(table).limit(1).count():
+        raise ValueError(f"transaction_id is not unique in {name}")

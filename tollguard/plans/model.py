@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tollguard.operators.forest import SEED, TREES, Forest, fit_forest, score_forest
-from tollguard.operators.medians import exact_medians
+from tollguard.operators.medians import exact_medians, present
 from tollguard.operators.ranks import rank_values
 from tollguard.schemas import METRICS_SCHEMA, PREDICTION_COLUMNS
 from tollguard.session import materialize
@@ -35,12 +35,12 @@ def feature_matrix(train: DataFrame) -> DataFrame:
 
 
 def impute_median(matrix: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Missing values become the column's median. Columns without any value have none: they are
+    """Missing values, NaN and infinite ones too, become the column's median. Columns without any value have none: they are
     dropped and named."""
     columns = [c for c in matrix.columns if c != ID]
     medians = exact_medians(matrix, columns)
     empty = [c for c in columns if medians[c] is None]
-    filled = [F.coalesce(c, F.lit(medians[c])).alias(c) for c in columns if c not in empty]
+    filled = [F.coalesce(present(c), F.lit(medians[c])).alias(c) for c in columns if c not in empty]
     return matrix.select(ID, *filled), empty
 
 

@@ -13,7 +13,12 @@ NOT_NULL = {
     "gold": ["transaction_id", "transaction_date", "tag_plate_number", "agency", "amount"],
     "gold_train": ["transaction_id", "transaction_date", "tag_plate_number", "amount"],
     "master_viz": ["transaction_id"],
+    "pred_raw": ["transaction_id"],
 }
+# Tables whose ids are unique, and tables whose agency codes are listed.
+UNIQUE = ["gold_train", "pred_raw", "master_viz"]
+ACCEPTED = ["silver", "gold"]
+CHECKED = ["silver", "gold", "gold_train", "pred_raw", "master_viz"]
 
 
 def check_not_null(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -21,6 +26,24 @@ def check_not_null(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
 
 
+def check_table(name: str, df: DataFrame) -> DataFrame:
+    """All data tests of a table: ``table_name, test, column_name, failures`` (rows for NULLs,
+    values for the other tests)."""
+    columns = NOT_NULL[name]
+    nulls = check_not_null(df, columns).select(F.inline(F.array(*[
+        F.struct(F.lit("not_null").alias("test"), F.lit(c).alias("column_name"), F.col(c).alias("failures"))
+        for c in columns
+    ])))
+    others = [("unique", "transaction_id", check_unique)] if name in UNIQUE else []
+    others += [("accepted_values", "agency", check_accepted_values)] if name in ACCEPTED else []
+    for test, column, check in others:
+        found = check(df).agg(F.count(F.lit(1)).alias("failures"))
+        nulls = nulls.unionByName(
+            found.withColumns({"test": F.lit(test), "column_name": F.lit(column)})
+        )
+    return nulls.select(F.lit(name).alias("table_name"), "test", "column_name", "failures")
+
+
 def check_unique(df: DataFrame, column: str = "transaction_id") -> DataFrame:
     """Values that occur more than once, with their count."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(

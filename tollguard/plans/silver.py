@@ -9,6 +9,7 @@ from tollguard import lookups
 from tollguard.functions import cleaning, money, travel, trip
 from tollguard.operators.preceding import Lookback, add_lookback, in_pieces, plain, split_hot
 from tollguard.operators.skew import HOT_ROWS, attach_small
+from tollguard.session import require_utc
 from tollguard.schemas import SILVER_COLUMNS
 
 TAG = "tag_plate_number"
@@ -335,5 +336,6 @@ def silver(
     Names and row-level features are added after the windows, so the shuffle on the tag and the
     passes that look for hot tags and count routes carry only what they need.
     """
+    require_utc(bronze.sparkSession)
     rows = add_route_stats(routes(tolls(bronze), distances, hot_rows))
     return silver_select(flag_is_holiday(trip_features(enrich(rows)), holidays))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from datetime import datetime
 from functools import cache
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tollguard/{name}-{uuid.uuid4().hex}"
 
 
+def require_utc(spark: SparkSession) -> None:
+    """Refuse a session time zone other than UTC, where wall times of statements would shift."""
+    name = spark.conf.get("spark.sql.session.timeZone")
+    dates = [datetime(2024, month, 1) for month in (1, 4, 7, 10)]
+    try:
+        zone = ZoneInfo(name)
+        shifted = any(zone.utcoffset(d) for d in dates)
+    except (ValueError, ZoneInfoNotFoundError):
+        shifted = name not in ("Z", "+00:00", "UTC", "GMT")
+    if shifted:
+        raise ValueError(f"set spark.sql.session.timeZone to UTC, it is {name}")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage by a written table in the shared folder.
 

@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tollguard.functions.cleaning import plain_number
 from tollguard.functions.money import sum_dollars
 from tollguard.schemas import BRONZE_COLUMNS, BRONZE_SCHEMA, DEDUPE_KEYS
 
 
 def read_bronze(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(BRONZE_SCHEMA).parquet(path)
+    """All loads: files of batches, and the folder that each streamed batch has of its own."""
+    return spark.read.schema(BRONZE_SCHEMA).option("recursiveFileLookup", True).parquet(path)
+
+
+def bronze_columns(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("string").alias(c) for c in BRONZE_COLUMNS])
 
 
 def append_bronze(df: DataFrame, path: str) -> None:
     """Append rows as the 19 text columns. History is kept, unlike a drop and reload."""
-    df.select(*[F.col(c).cast("string").alias(c) for c in BRONZE_COLUMNS]).write.mode(
-        "append"
-    ).parquet(path)
+    bronze_columns(df).write.mode("append").parquet(path)
 
 
 def new_files_only(listing: DataFrame, bronze: DataFrame, name_column: str = "name") -> DataFrame:
@@ -33,18 +37,22 @@ def verify_load(bronze: DataFrame) -> DataFrame:
         F.countDistinct("source_file").alias("unique_files"),
         F.min("transaction_date").alias("earliest_transaction"),
         F.max("transaction_date").alias("latest_transaction"),
-        sum_dollars(F.col("amount").try_cast("double")).alias("total_amount"),
+        sum_dollars(plain_number(F.col("amount"))).alias("total_amount"),
     )
 
 
 def dedupe_bronze(bronze: DataFrame) -> DataFrame:
-    """Keep the latest load of every passage; equal loads go by file name, then by the rest.
+    """Keep the latest load of every passage; of equal loads the one whose file name, then whose
+    other columns, are smallest. A load without a time counts as the oldest, a missing file name
+    or column as the smallest.
 
     An aggregate, not a window: copies are combined before the shuffle, so a passage with very
-    many copies is no hot key.
+    many copies is no hot key. Complemented digits make the latest load time the smallest text.
     """
     rest = [c for c in bronze.columns if c not in DEDUPE_KEYS]
-    ranked = ["loaded_at", "source_file"]
-    rest = ranked + [c for c in rest if c not in ranked]
-    latest = bronze.groupBy(*DEDUPE_KEYS).agg(F.max(F.struct(*rest)).alias("_latest"))
+    rest = ["source_file", *(c for c in rest if c != "source_file")]
+    newest = F.coalesce(F.translate("loaded_at", "0123456789", "9876543210"), F.lit("~"))
+    latest = bronze.groupBy(*DEDUPE_KEYS).agg(
+        F.min(F.struct(newest.alias("_newest"), *rest)).alias("_latest")
+    )
     return latest.select(*DEDUPE_KEYS, "_latest.*").select(*bronze.columns)

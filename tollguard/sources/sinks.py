@@ -19,6 +19,7 @@ def write_partitioned(
     cluster_by: Sequence[str] = tuple(SILVER_CLUSTER),
     partition_by: str = "transaction_date",
     mode: str = "overwrite",
+    partition_overwrite: str = "static",
 ) -> None:
     """One directory per date, rows sorted by ``cluster_by`` inside each file.
 
@@ -29,13 +30,20 @@ def write_partitioned(
     (
         df.hint("rebalance", partition_by)
         .sortWithinPartitions(*order)
-        .write.mode(mode).partitionBy(partition_by).parquet(path)
+        .write.mode(mode).option("partitionOverwriteMode", partition_overwrite)
+        .partitionBy(partition_by).parquet(path)
     )
 
 
 def write_predictions(df: DataFrame, path: str) -> list[str]:
-    """Append predictions by day of prediction; returns the expected columns ``df`` lacks."""
+    """Write predictions by day of prediction; returns the expected columns ``df`` lacks.
+
+    A day that is written again is replaced, so running a training twice does not double it;
+    other days stay.
+    """
     known = [c for c in PREDICTION_COLUMNS if c in df.columns]
     dated = df.select(*known).withColumn("prediction_date", F.to_date("prediction_timestamp"))
-    write_partitioned(dated, path, ["transaction_id"], "prediction_date", mode="append")
+    write_partitioned(
+        dated, path, ["transaction_id"], "prediction_date", partition_overwrite="dynamic"
+    )
     return [c for c in PREDICTION_COLUMNS if c not in df.columns]

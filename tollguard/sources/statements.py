@@ -55,6 +55,37 @@ def scan_statements(
     return rows.withColumn("source_name", F.col("_metadata.file_name"))
 
 
+def within_budget(bad: DataFrame, path: str, max_bad_rows: int) -> None:
+    """Raise if there are more bad rows than allowed."""
+    found = bad.count()
+    if found > max_bad_rows:
+        raise ValueError(f"{found} bad rows in {path}, allowed are {max_bad_rows}")
+
+
+def rejected(
+    bad: DataFrame, loaded_at: str, headers: Sequence[str] = RAW_COLUMNS
+) -> DataFrame:
+    """Bad rows as ``source_file``, ``record`` (the line as it stands) and ``loaded_at``."""
+    first = F.coalesce(F.col(CORRUPT_COLUMN), F.col(f"`{headers[0]}`"))
+    return bad.select(
+        F.col("source_name").alias("source_file"), first.alias("record"),
+        F.lit(loaded_at).alias("loaded_at"),
+    )
+
+
+def read_rejected(
+    spark: SparkSession,
+    path: str,
+    loaded_at: str,
+    headers: Sequence[str] | None = None,
+    quoted_newlines: bool = True,
+) -> DataFrame:
+    """The rows that :func:`read_statements` leaves out."""
+    headers = headers or spark.read.option("header", True).csv(path).columns
+    rows = scan_statements(spark, path, headers, quoted_newlines)
+    return rejected(rows.filter(is_bad_row(headers)), loaded_at, headers)
+
+
 def read_statements(
     spark: SparkSession,
     path: str,
@@ -70,9 +101,7 @@ def read_statements(
     headers = headers or spark.read.option("header", True).csv(path).columns
     rows = scan_statements(spark, path, headers, quoted_newlines)
     bad = is_bad_row(headers)
-    found = rows.filter(bad).count()
-    if found > max_bad_rows:
-        raise ValueError(f"{found} bad rows in {path}, allowed are {max_bad_rows}")
+    within_budget(rows.filter(bad), path, max_bad_rows)
     return rows.filter(~bad).drop(CORRUPT_COLUMN)
 
 

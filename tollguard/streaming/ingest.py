@@ -2,30 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tollguard.sources.statements import CSV_OPTIONS, is_bad_row, normalize, statement_schema
+from tollguard.sources.bronze import bronze_columns
+from tollguard.sources.statements import (
+    CSV_OPTIONS, MAX_BAD_ROWS, is_bad_row, normalize, rejected, statement_schema, within_budget,
+)
 
 
 def stream_statements(
-    spark: SparkSession, source: str, bronze: str, checkpoint: str, loaded_at: str
+    spark: SparkSession,
+    source: str,
+    bronze: str,
+    checkpoint: str,
+    loaded_at: str,
+    rejects: str | None = None,
+    max_bad_rows: int = MAX_BAD_ROWS,
+    quoted_newlines: bool = True,
 ) -> StreamingQuery:
     """Load every statement file in ``source`` not loaded before, then stop.
 
-    The checkpoint remembers finished files and the file sink commits a batch as a whole, so a
-    restart neither loses nor repeats a file. Rows with too many fields are left out.
+    The checkpoint remembers finished files. A batch writes a folder of its own below ``bronze``,
+    named by checkpoint and batch, and writes it over if the batch runs again, so a restart
+    neither loses nor repeats a file and batch loads into the same table stay visible. Bad rows
+    follow the batch read: more than ``max_bad_rows`` of them stop the batch, and they go to
+    ``rejects`` if that is given.
     """
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
     rows = (
-        spark.readStream.schema(statement_schema()).options(**CSV_OPTIONS).csv(source)
+        spark.readStream.schema(statement_schema())
+        .options(**CSV_OPTIONS | {"multiLine": quoted_newlines}).csv(source)
         .withColumn("source_name", F.col("_metadata.file_name"))
     )
+
+    def load(batch: DataFrame, number: int) -> None:
+        bad = is_bad_row()
+        within_budget(batch.filter(bad), source, max_bad_rows)
+        name = f"stream-{stream}-{number}"
+        if rejects:
+            rejected(batch.filter(bad), loaded_at).write.mode("overwrite").parquet(f"{rejects}/{name}")
+        good = normalize(batch.filter(~bad), loaded_at)
+        bronze_columns(good).write.mode("overwrite").parquet(f"{bronze}/{name}")
+
     return (
-        normalize(rows.filter(~is_bad_row()), loaded_at)
-        .writeStream.format("parquet")
-        .option("path", bronze)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+        rows.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )

@@ -48,6 +48,13 @@ LEAVE = "date_trunc('second', ts)"
 ENTER = f"({LEAVE} - to_minutes(event_id % 45))"
 SECOND = "'%Y-%m-%d %H:%M:%S'"
 CENTS = "round(amount * 100)"
+BAD = _pick(adapter.BAD_AMOUNTS, f"event_id // 101 % {len(adapter.BAD_AMOUNTS)}")
+
+
+def _number(column: str) -> str:
+    return f"CASE WHEN regexp_full_match({column}, '[+-]?[0-9]+([.][0-9]*)?') THEN {column}::DOUBLE END"
+
+
 
 _known = list(enumerate(adapter.PLAZA_CYCLE[:-1]))
 _miles = [(a, b, 5.0 * abs(i - j)) for i, a in _known for j, b in _known if i != j]
@@ -67,7 +74,7 @@ bronze AS (
     {_pick(adapter.PLAZA_CYCLE, f'{K} % 7')} AS exit_plaza,
     '-' AS exit_lane,
     {_pick(adapter.VEHICLE_CYCLE, 'event_id % 4')} AS vehicle_type_code,
-    CASE WHEN event_id % 101 = 0 THEN 'bad' ELSE '-' || value END AS amount,
+    CASE WHEN event_id % 101 = 0 THEN {BAD} ELSE '-' || value END AS amount,
     'Y' AS prepaid, 'STANDARD' AS plan_rate,
     {_pick(adapter.FARE_CYCLE, 'event_id % 3')} AS fare_type,
     '100.00' AS balance, '2024-02-01 00:00:00' AS loaded_at,
@@ -89,7 +96,7 @@ statements AS (
     (event_id % 9)::VARCHAR AS "ENTRY LANE", leave_clock AS "EXIT TIME",
     {_pick(adapter.PLAZA_CYCLE, f'{K} % 7')} AS "EXIT PLAZA", '-' AS "EXIT LANE",
     {_pick(adapter.VEHICLE_CYCLE, 'event_id % 4')} AS "VEHICLE TYPE CODE",
-    CASE WHEN event_id % 101 = 0 THEN 'bad' WHEN event_id % 2 = 0 THEN '($' || money || ')'
+    CASE WHEN event_id % 101 = 0 THEN {BAD} WHEN event_id % 2 = 0 THEN '($' || money || ')'
       ELSE ' $' || money END AS "AMOUNT",
     'Y' AS "PREPAID", 'STANDARD' AS "PLAN/RATE",
     {_pick(adapter.FARE_CYCLE, 'event_id % 3')} AS "FARE TYPE", '$1,000.50' AS "BALANCE"
@@ -129,7 +136,7 @@ cleaned AS (
     nullif(trim(fare_type), '-') AS fare_code,
     CASE nullif(trim(fare_type), '-') WHEN 'N' THEN 'Normal' WHEN 'M' THEN 'Medium'
       ELSE nullif(trim(fare_type), '-') END AS fare_type,
-    abs(try_cast(amount AS DOUBLE)) AS amount, try_cast(balance AS DOUBLE) AS balance,
+    abs({_number('amount')}) AS amount, {_number('balance')} AS balance,
     {_parsed('loaded_at', SECOND.strip("'"))} AS loaded_at, source_file
   FROM bronze WHERE transaction_date IS NOT NULL),
 agencies(agency, agency_name, state_name) AS (VALUES {_values(lookups.AGENCIES)}),
@@ -385,8 +392,8 @@ _add("normalize_headers", """SELECT "POSTING DATE" AS posting_date, "TRANSACTION
   "VEHICLE TYPE CODE" AS vehicle_type_code, "AMOUNT" AS amount, "PREPAID" AS prepaid,
   "PLAN/RATE" AS plan_rate, "FARE TYPE" AS fare_type, "BALANCE" AS balance, 'kept' AS "Extra"
   FROM statements""", BRONZE)
-_add("normalize_dates", """SELECT n.posting_date, n.transaction_date, CASE WHEN event_id % 101 = 0
-  THEN 'bad' WHEN event_id % 2 = 0 THEN '($' || money || ')' ELSE ' $' || money END AS amount
+_add("normalize_dates", f"""SELECT n.posting_date, n.transaction_date, CASE WHEN event_id % 101 = 0
+  THEN {BAD} WHEN event_id % 2 = 0 THEN '($' || money || ')' ELSE ' $' || money END AS amount
   FROM normalized n JOIN day_text USING (event_id)""", BRONZE)
 _add("normalize_times", "SELECT transaction_date, entry_time, exit_time FROM normalized", BRONZE)
 _add("normalize_money", "SELECT tag_plate_number, amount, balance FROM normalized", BRONZE)
@@ -407,9 +414,9 @@ FROM names"""
 ORACLES["new_files_only"] = """SELECT DISTINCT strftime(ts, 'transaction_%Y-%m-%d.csv') AS name
   FROM events WHERE day(ts) % 2 = 1"""
 _add("append_bronze", "SELECT * FROM bronze", BRONZE)
-_add("verify_load", """SELECT count(*) AS total_rows, count(DISTINCT source_file) AS unique_files,
+_add("verify_load", f"""SELECT count(*) AS total_rows, count(DISTINCT source_file) AS unique_files,
   min(transaction_date) AS earliest_transaction, max(transaction_date) AS latest_transaction,
-  sum(round(try_cast(amount AS DOUBLE) * 100)::BIGINT)::DOUBLE / 100 AS total_amount FROM bronze""",
+  sum(round({_number('amount')} * 100)::BIGINT)::DOUBLE / 100 AS total_amount FROM bronze""",
      BRONZE)
 _add("write_partitioned", "SELECT transaction_id, transaction_date, tag_plate_number, amount FROM trips")
 _add("write_predictions", """SELECT transaction_id, amount, exit_hour, vehicle_type_code,
@@ -422,10 +429,17 @@ _add("dedupe_bronze", """, loads AS (
   UNION ALL BY NAME SELECT * REPLACE ('older.csv' AS source_file) FROM bronze WHERE entry_lane = '1')
 SELECT * FROM loads QUALIFY row_number() OVER (PARTITION BY transaction_date, tag_plate_number,
   entry_time, entry_plaza, exit_time, exit_plaza, amount, agency
-  ORDER BY loaded_at DESC, source_file DESC, posting_date DESC, description DESC, entry_lane DESC,
-    exit_lane DESC, vehicle_type_code DESC, prepaid DESC, plan_rate DESC, fare_type DESC,
-    balance DESC) = 1""", BRONZE)
+  ORDER BY loaded_at DESC, source_file, posting_date, description, entry_lane, exit_lane,
+    vehicle_type_code, prepaid, plan_rate, fare_type, balance) = 1""", BRONZE)
 _add("stream_ingest", "SELECT * EXCLUDE (event_id) FROM normalized", BRONZE)
+_add("stream_after_batch", """SELECT * EXCLUDE (source_file) FROM bronze
+  UNION ALL BY NAME SELECT * EXCLUDE (event_id) FROM normalized
+  UNION ALL BY NAME SELECT * EXCLUDE (source_file) FROM bronze WHERE entry_lane = '1'""", BRONZE)
+ORACLES["rejected_rows"] = """SELECT event_id || repeat(',', 17) AS record,
+  '2024-02-01 00:00:00' AS loaded_at FROM events WHERE event_id % 997 = 0"""
+_add("load_statements", f"""SELECT count(*) AS total_rows, min(transaction_date) AS earliest_transaction,
+  max(transaction_date) AS latest_transaction,
+  sum(round({_number('amount')} * 100)::BIGINT)::DOUBLE / 100 AS total_amount FROM normalized""", BRONZE)
 
 _add("parse_dates", """SELECT transaction_date::DATE AS transaction_date, posting_date::DATE AS
   posting_date, exit_time FROM bronze""", BRONZE)
@@ -435,8 +449,8 @@ _add("clean_text", """SELECT tag_plate_number, agency, description, entry_plaza,
   exit_plaza, exit_lane, plan_rate, prepaid, fare_code AS fare_type FROM cleaned""")
 _add("default_vehicle_code", """SELECT exit_time, CASE WHEN vehicle_type_code = '-' THEN '1'
   ELSE vehicle_type_code END AS vehicle_type_code FROM bronze""", BRONZE)
-_add("clean_amount", """SELECT exit_time, abs(try_cast(amount AS DOUBLE)) AS amount,
-  try_cast(balance AS DOUBLE) AS balance FROM bronze""", BRONZE)
+_add("clean_amount", f"""SELECT exit_time, abs({_number('amount')}) AS amount,
+  {_number('balance')} AS balance FROM bronze""", BRONZE)
 _add("filter_dated", """SELECT CASE WHEN day(transaction_date::DATE) % 3 = 2
   THEN transaction_date::DATE END AS transaction_date, exit_time, amount FROM bronze
   WHERE day(transaction_date::DATE) % 3 <> 0""", BRONZE)
@@ -620,6 +634,9 @@ _add("check_not_null", """SELECT count(*) FILTER (WHERE transaction_date IS NULL
   count(*) FILTER (WHERE tag_plate_number IS NULL) AS tag_plate_number,
   count(*) FILTER (WHERE agency IS NULL) AS agency, count(*) FILTER (WHERE amount IS NULL) AS amount
   FROM trips""")
+_add("build_twice", """SELECT count(*) AS total_transactions, count(*) AS n_predictions, 1 AS n_runs,
+  count(*) AS n_samples, 20 AS n_checks, 0 AS n_shared_ids,
+  count(*) FILTER (WHERE amount IS NULL) AS n_without_amount FROM trips""")
 _add("check_unique", """SELECT transaction_id, count(*) AS rows FROM (SELECT transaction_id FROM trips
   UNION ALL SELECT transaction_id FROM trips WHERE entry_lane = '2') GROUP BY ALL
   HAVING count(*) > 1""")

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from tollguard import adapter
 from tollguard.functions import trip
 from tollguard.operators.preceding import add_lookback
-from tollguard.plans import gold, model, quality, report, review, risk, silver, training
+from tollguard.plans import gold, medallion, model, quality, report, review, risk, silver, training
 from tollguard.session import materialize, scratch_path
 from tollguard.sources import bronze as bronze_table
-from tollguard.sources import sinks, statements
+from tollguard.schemas import RAW_COLUMNS
+from tollguard.sources import load, sinks, statements
 from tollguard.streaming.ingest import stream_statements
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -198,6 +199,62 @@ def stream_ingest(spark, sf):
     return bronze_table.read_bronze(spark, bronze).drop("source_file")
 
 
+@query
+def stream_after_batch(spark, sf):
+    """Batch, stream, batch into one table: all of them stay."""
+    bronze, state = scratch_path(spark, "mixed"), scratch_path(spark, "mixed-state")
+    bronze_table.append_bronze(_bronze(spark, sf), bronze)
+    files = _statement_files(spark, sf)
+    stream_statements(spark, files, bronze, state, LOADED_AT).awaitTermination()
+    bronze_table.append_bronze(_bronze(spark, sf).filter("entry_lane = '1'"), bronze)
+    return bronze_table.read_bronze(spark, bronze).drop("source_file")
+
+
+@query
+def rejected_rows(spark, sf):
+    """Lines with a field too many, below the header line of their file."""
+    long_lines = _events(spark, sf).filter("event_id % 997 = 0").select(
+        F.lit(1).alias("place"), F.concat(F.col("event_id").cast("string"), F.lit("," * 17)).alias("line")
+    )
+    header = spark.range(1).select(F.lit(0).alias("place"), F.lit(",".join(RAW_COLUMNS)).alias("line"))
+    path = scratch_path(spark, "long-lines")
+    lines = header.unionByName(long_lines).repartition(1).sortWithinPartitions("place")
+    lines.select("line").write.text(path)
+    return statements.read_rejected(spark, path, LOADED_AT).drop("source_file")
+
+
+@query
+def load_statements(spark, sf):
+    """The load as one step, run again without new files."""
+    bronze, rejects = scratch_path(spark, "loaded"), scratch_path(spark, "rejects")
+    files = _statement_files(spark, sf)
+    for _ in range(2):
+        verified = load.load_statements(spark, files, bronze, rejects, LOADED_AT)
+    return verified.drop("unique_files")
+
+
+@query
+def build_twice(spark, sf):
+    """Two builds into one folder: nothing doubles, and every table keeps its data tests."""
+    folder = scratch_path(spark, "twice")
+    bronze = materialize(_bronze(spark, sf))
+    for _ in range(2):
+        tables = medallion.build(spark, bronze, adapter.holidays(spark), folder, RELOADED_AT)
+    totals = tables["stats"].select("total_transactions")
+    predictions = tables["pred_raw"].agg(F.count(F.lit(1)).alias("n_predictions"))
+    runs = tables["metrics_training"].agg(
+        F.count(F.lit(1)).alias("n_runs"), F.max("n_samples").alias("n_samples")
+    )
+    failures = tables["checks"].agg(
+        F.count(F.lit(1)).alias("n_checks"),
+        F.sum(F.when(F.col("test") == "unique", F.col("failures"))).alias("n_shared_ids"),
+        F.sum(F.when(
+            (F.col("table_name") == "silver") & (F.col("column_name") == "amount"), F.col("failures")
+        )).alias("n_without_amount"),
+    )
+    return totals.join(predictions).join(runs).join(failures)
+
+
 # Cleaning, filters and projections ----------------------------------------------------------
 
 @query
