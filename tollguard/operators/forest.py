@@ -125,10 +125,11 @@ def fit_forest(
         return table
 
     nodes = samples.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
-    return _pack(nodes, features, taken, max_depth)
+    return pack(nodes, features, taken, max_depth)
 
 
-def _pack(nodes: pd.DataFrame, features: list[str], taken: int, depth: int) -> Forest:
+def pack(nodes: pd.DataFrame, features: list[str], taken: int, depth: int) -> Forest:
+    """A forest from its node table."""
     shape = (int(nodes["tree"].max()) + 1, int(nodes["node"].max()) + 1)
     at = nodes["tree"].to_numpy(), nodes["node"].to_numpy()
 

@@ -642,3 +642,31 @@ _add("check_unique", """SELECT transaction_id, count(*) AS rows FROM (SELECT tra
   HAVING count(*) > 1""")
 _add("check_accepted_values", """SELECT agency, count(*) AS rows FROM trips
   WHERE agency IS NOT NULL AND agency NOT IN (SELECT agency FROM agencies) GROUP BY ALL""")
+
+
+def _forest_sql() -> str:
+    """The fixed forest of the queries, walked by joins: one per level."""
+    from verification.queries import FOREST_FEATURES, FOREST_NODES
+    nodes = ", ".join(
+        "(" + ", ".join("'infinity'::DOUBLE" if v == float("inf") else str(v) for v in n) + ")"
+        for n in FOREST_NODES
+    )
+    values = "[" + ", ".join(f"coalesce({c}::DOUBLE, 0)" for c in FOREST_FEATURES) + "]"
+    step = "CASE WHEN x[n{0}.feature + 1] <= n{0}.threshold THEN n{0}.lo ELSE n{0}.hi END"
+    levels = " ".join(
+        f"JOIN nodes n{i + 1} ON n{i + 1}.tree = n0.tree AND n{i + 1}.node = {step.format(i)}"
+        for i in range(3)
+    )
+    trees = len({n[0] for n in FOREST_NODES})
+    usual = "(2 * (ln(255) + 0.5772156649015329) - 2 * 255 / 256.0::DOUBLE)"
+    return f""", nodes(tree, node, feature, threshold, lo, hi, path) AS (VALUES {nodes}),
+points AS (SELECT transaction_id, {values} AS x FROM encoded)
+SELECT transaction_id, round(-pow(2, -sum(n3.path) / ({trees} * {usual})), 9) AS raw_score
+FROM points JOIN nodes n0 ON n0.node = 0 {levels} GROUP BY transaction_id"""
+
+
+_add("forest_scores", _forest_sql(), *ALL)
+_add("isolation_forest_facts", """SELECT r.range::INT AS tree, least(256, n) AS n_rows,
+  least(256, n) AS n_ids, 0 AS strange, 0 AS outside
+FROM range(100) r, (SELECT count(*) AS n FROM encoded)""", *ALL)
+_add("flagged_share", "SELECT count(*) AS n_rows, count(*) AS n_ids, 0 AS n_wrong, true AS few FROM encoded", *ALL)

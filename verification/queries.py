@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollguard import adapter
 from tollguard.functions import trip
+from tollguard.operators import forest
 from tollguard.operators.preceding import add_lookback
 from tollguard.plans import gold, medallion, model, quality, report, review, risk, silver, training
 from tollguard.session import materialize, scratch_path
@@ -625,6 +628,65 @@ def isolation_forest_score(spark, sf):
     return model.isolation_forest_score(model.isolation_forest_fit(materialize(_train(spark, sf))))
 
 
+#: A small forest for comparing scores: (tree, node, feature, threshold, left, right, path).
+FOREST_FEATURES = ["amount", "exit_hour", "vehicle_type_freq_encoded"]
+FOREST_NODES = [
+    (0, 0, 0, 120.5, 1, 2, 0.0), (0, 1, 1, 7.0, 3, 4, 0.0), (0, 2, 0, float("inf"), 2, 2, 1.25),
+    (0, 3, 0, float("inf"), 3, 3, 3.5), (0, 4, 2, 100.0, 5, 6, 0.0), (0, 5, 0, float("inf"), 5, 5, 4.0),
+    (0, 6, 0, float("inf"), 6, 6, 6.5),
+    (1, 0, 1, 18.0, 1, 2, 0.0), (1, 1, 0, float("inf"), 1, 1, 5.0), (1, 2, 0, 40.25, 3, 4, 0.0),
+    (1, 3, 0, float("inf"), 3, 3, 2.75), (1, 4, 0, float("inf"), 4, 4, 3.25),
+]
+
+
+@query
+def forest_scores(spark, sf):
+    """Scores of the whole training table by a forest that SQL can walk too."""
+    names = ["tree", "node", "feature", "threshold", "left", "right", "path"]
+    fixed = forest.pack(pd.DataFrame(FOREST_NODES, columns=names), FOREST_FEATURES, 256, 3)
+    rows = _train(spark, sf).select(ID, *[
+        F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FOREST_FEATURES
+    ])
+    return forest.score_forest(rows, fixed).select(ID, F.round("raw_score", 9).alias("raw_score"))
+
+
+@query
+def isolation_forest_facts(spark, sf):
+    """What any fitted forest must show, tree by tree: rows and ids drawn, ids that the table
+    lacks, splits outside the values of their feature."""
+    train = materialize(_train(spark, sf))
+    fitted = model.isolation_forest_fit(train)
+    features = fitted.forest.features
+    drawn, _ = forest.draw_samples(fitted.scaled, ID, features)
+    strange = drawn.join(train.select(F.col(ID).alias("_id")), "_id", "left_anti").groupBy("tree").agg(
+        F.count(F.lit(1)).alias("strange")
+    )
+    spans = fitted.scaled.agg(*[F.array(F.min(c), F.max(c)).alias(c) for c in features]).first()
+    bounds = np.array([spans[c] for c in features])
+    grown = fitted.forest
+    nodes = np.arange(grown.path.shape[1])
+    splits = grown.left != nodes
+    splits &= grown.left > 0
+    low, high = bounds[grown.feature, 0], bounds[grown.feature, 1]
+    outside = (splits & ((grown.threshold < low) | (grown.threshold >= high))).sum(axis=1)
+    wrong = spark.createDataFrame([(t, int(n)) for t, n in enumerate(outside)], "tree int, outside int")
+    counts = drawn.groupBy("tree").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("_id").alias("n_ids")
+    )
+    return counts.join(wrong, "tree").join(strange, "tree", "left").select(
+        "tree", "n_rows", "n_ids", F.coalesce("strange", F.lit(0)).alias("strange"), "outside"
+    )
+
+
+@query
+def flagged_share(spark, sf):
+    """Rows that the forest flags: those strictly below the contamination quantile of the scores."""
+    found = materialize(model.predict(materialize(_train(spark, sf)), adapter.PREDICTED_AT))
+    cut = F.count_if((F.col("ml_anomaly_score") < 0) != (F.col("is_anomaly") == 1)).alias("n_wrong")
+    few = F.sum("is_anomaly") <= F.ceil(F.count(F.lit(1)) * F.lit(model.CONTAMINATION))
+    return found.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(ID).alias("n_ids"), cut, few.alias("few"))
+
+
 @query
 def model_predictions(spark, sf):
     return model.predict(materialize(_train(spark, sf)), adapter.PREDICTED_AT)
