@@ -9,8 +9,8 @@ from tollguard import lookups
 from tollguard.functions import cleaning, money, travel, trip
 from tollguard.operators.preceding import Lookback, add_lookback, in_pieces, plain, split_hot
 from tollguard.operators.skew import HOT_ROWS, attach_small
-from tollguard.session import require_utc
 from tollguard.schemas import SILVER_COLUMNS
+from tollguard.session import materialize, require_utc
 
 TAG = "tag_plate_number"
 ROUTE_KEY = ["route_name", "vehicle_type_code"]
@@ -204,9 +204,10 @@ def driver_history(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     done = daily_txn_count_window(plain(plain(cold, TAG, PREVIOUS_TRIP), TAG, ROLLING))
     if hot is None:
         return done
-    counted = _daily_txn_count_joined(hot)
-    pieced = in_pieces(in_pieces(counted, TAG, PREVIOUS_TRIP, hot_rows), TAG, ROLLING, hot_rows)
-    return done.unionByName(pieced)
+    # every step looks for edges in its input first, so its input is stored
+    counted = materialize(_daily_txn_count_joined(materialize(hot)))
+    previous = materialize(in_pieces(counted, TAG, PREVIOUS_TRIP, hot_rows))
+    return done.unionByName(in_pieces(previous, TAG, ROLLING, hot_rows))
 
 
 # Routes and travel --------------------------------------------------------------------------
@@ -334,8 +335,10 @@ def silver(
     """The silver table from bronze text.
 
     Names and row-level features are added after the windows, so the shuffle on the tag and the
-    passes that look for hot tags and count routes carry only what they need.
+    passes that look for hot tags and count routes carry only what they need. The history is
+    stored once; its routes are counted and joined from there, so bronze is read twice (once for
+    the tags' sizes), and a third time only if there are hot tags.
     """
     require_utc(bronze.sparkSession)
-    rows = add_route_stats(routes(tolls(bronze), distances, hot_rows))
+    rows = add_route_stats(materialize(routes(tolls(bronze), distances, hot_rows)))
     return silver_select(flag_is_holiday(trip_features(enrich(rows)), holidays))

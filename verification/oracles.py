@@ -551,6 +551,8 @@ for _name in ("driver_rolling_30txn", "driver_rolling_30txn_in_pieces"):
     _add(_name, """SELECT transaction_id, driver_amount_last_30txn_avg, driver_amount_last_30txn_std,
   driver_amount_last_30txn_min, driver_amount_last_30txn_max, driver_amount_last_30txn_count
   FROM history""")
+for _name in ("previous_trip", "driver_daily_txn_count", "silver_select"):
+    ORACLES[f"{_name}_in_pieces"] = ORACLES[_name]
 _add("route_stats", "SELECT * EXCLUDE (route_amount_med) FROM route_priced")
 _add("route_median_min30", """SELECT route_name, vehicle_type_code, route_transaction_count,
   route_amount_med FROM route_priced""")

@@ -519,6 +519,23 @@ def driver_rolling_30txn(spark, sf):
     )
 
 
+@query
+def previous_trip_in_pieces(spark, sf):
+    rows = silver.previous_trip(_tolls(spark, sf), hot_rows=100)
+    return rows.select(ID, *[f"{c}_previous" for c in silver.PREVIOUS])
+
+
+@query
+def driver_daily_txn_count_in_pieces(spark, sf):
+    return silver.driver_daily_txn_count(_tolls(spark, sf), hot_rows=100).select(ID, "driver_daily_txn_count")
+
+
+@query
+def silver_select_in_pieces(spark, sf):
+    """The whole silver table with every tag above 100 rows handled as a hot one."""
+    return silver.silver(_bronze(spark, sf), adapter.holidays(spark), hot_rows=100)
+
+
 @query
 def driver_rolling_30txn_in_pieces(spark, sf):
     """The same columns with every tag above 100 rows cut into pieces, as a hot tag is."""
