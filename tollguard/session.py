@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime
 from functools import cache
 from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
@@ -29,9 +31,38 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
+_scopes: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/tollguard/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, within the innermost scope if there is one."""
+    folder = _scopes[-1] if _scopes else f"{shared_dir(spark)}/tollguard/{spark.sparkContext.applicationId}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` and ``scratch_path`` make inside are removed at the end.
+
+    For steps whose results are written elsewhere before the scope ends.
+    """
+    folder = scratch_path(spark, "scope")
+    _scopes.append(folder)
+    try:
+        yield
+    finally:
+        _scopes.remove(folder)
+        _remove(spark, folder)
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove all scratch tables of this application; nothing may read them after."""
+    _remove(spark, f"{shared_dir(spark)}/tollguard/{spark.sparkContext.applicationId}")
 
 
 def require_utc(spark: SparkSession) -> None:

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from tollguard import adapter, lookups, schemas
+from tollguard.plans import quality
 
 ORACLES: dict[str, str] = {}
 
@@ -639,6 +640,22 @@ _add("check_not_null", """SELECT count(*) FILTER (WHERE transaction_date IS NULL
 _add("build_twice", """SELECT count(*) AS total_transactions, count(*) AS n_predictions, 1 AS n_runs,
   count(*) AS n_samples, 20 AS n_checks, 0 AS n_shared_ids,
   count(*) FILTER (WHERE amount IS NULL) AS n_without_amount FROM trips""")
+_CHECKED = {
+    "silver": "silver_wide", "gold": "gold", "gold_train": "encoded", "pred_raw": "predictions",
+    "master_viz": "master",
+}
+_CHECKS = [
+    f"SELECT '{t}' AS table_name, 'not_null' AS test, '{c}' AS column_name,"
+    f" count(*) FILTER (WHERE {c} IS NULL) AS failures FROM {source}"
+    for t, source in _CHECKED.items() for c in quality.NOT_NULL[t]
+] + [
+    f"SELECT '{t}', 'unique', 'transaction_id', count(*) FROM (SELECT transaction_id FROM"
+    f" {_CHECKED[t]} GROUP BY ALL HAVING count(*) > 1)" for t in ("gold_train", "pred_raw", "master_viz")
+] + [
+    f"SELECT '{t}', 'accepted_values', 'agency', count(DISTINCT agency) FILTER (WHERE agency NOT IN"
+    f" ({_codes(code for code, _, _ in lookups.AGENCIES)})) FROM {_CHECKED[t]}" for t in ("silver", "gold")
+]
+_add("check_tables", " UNION ALL ".join(_CHECKS), *ALL)
 _add("check_unique", """SELECT transaction_id, count(*) AS rows FROM (SELECT transaction_id FROM trips
   UNION ALL SELECT transaction_id FROM trips WHERE entry_lane = '2') GROUP BY ALL
   HAVING count(*) > 1""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -741,7 +742,9 @@ def recent_flagged(spark, sf):
 
 @query
 def latest_metrics(spark, sf):
-    return report.latest_metrics(report.stats_summary(_master(spark, sf), AS_OF))
+    """From a stored rollup, as the service reads it."""
+    stored = materialize(report.stats_summary(_master(spark, sf), AS_OF))
+    return report.latest_metrics(stored)
 
 
 def _order_months(spark, sf):
@@ -797,6 +800,20 @@ def check_not_null(spark, sf):
     return quality.check_not_null(_tolls(spark, sf), quality.NOT_NULL["silver"])
 
 
+@query
+def check_tables(spark, sf):
+    """All data tests of silver, gold, training table, predictions and master."""
+    rows = materialize(_gold(spark, sf))
+    found = adapter.rule_predictions(rows)
+    tables = {
+        "silver": _silver(spark, sf), "gold": rows, "gold_train": training.gold_train(rows),
+        "pred_raw": found, "master_viz": risk.master_viz(rows, risk.categorize(found)),
+    }
+    return reduce(DataFrame.unionByName, [
+        quality.check_table(name, tables[name]) for name in quality.CHECKED
+    ])
+
+
 @query
 def check_unique(spark, sf):
     trips = _tolls(spark, sf).select(ID, "entry_lane")
