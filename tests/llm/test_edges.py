@@ -79,6 +79,19 @@ def test_tokens(docs, none):
     assert tokens.encode_documents(none, path, pattern).count() == 0
 
 
+def test_long_texts_are_spread_over_tasks(spark):
+    path, pattern = queries.BPE
+    encoder = tokens._codec(path, pattern)[0]
+    draw = random.Random(2)
+    parts = ["word", "b", " ", "\n", "'s", "1", "é", "  ", "!", "中", "😀", " " * 30, "x" * 45]
+    rows = [(i, "".join(draw.choice(parts) for _ in range(n)), 0) for i, n in enumerate([0, 5, 40, 41, 80, 200, 200, 900])]
+    rows += [(20, rows[-1][1], 0), (21, "y" * 700, 0), (22, None, 0), (23, " " * 400, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int")
+    found = tokens.encode_documents(docs, path, pattern, spread=60, chunk=25, overlap=10).collect()
+    assert len(found) == len(rows) and {r.doc_id: r.ids for r in found} == {i: encoder.encode_ordinary(t or "") for i, t, _ in rows}
+    assert found[0]._row == 0
+
+
 def test_chunks_meet_where_the_whole_text_is_cut():
     path, pattern = queries.BPE
     encoder = tokens._codec(path, pattern)[0]
