@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollguard.llm import jaccard, language, linededup, mixing, tokens
-from tollguard.session import scratch_path
+from tollguard.session import scratch_path, scratch_scope
 
 #: Below this cosine a text resembles none of the languages more than random letters do.
 LEAST_SCORE = 0.03
@@ -68,6 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -335,16 +335,22 @@ def test_main_text(spark):
         "<p>one <b>two<p>three&nbsp; four<script>x='<p>'</script><ul><li>l1<li>l2</ul><aside>side</aside>"
         "<section id=comments><article><p>me</p></article></section><form>f</form></article><footer>end"
     )
+    layout = (
+        "<body class=with-sidebar><div class='page nav-left'><article class=post><header><h1>H</h1></header><p>x"
+        "<div class=comments>c<article>d</article></div></article><div class=sidebar>s</div></div>"
+        "<section id=comments><article class=comment><p>me</article></section>"
+    )
     bare = "<html><body><div>Site name</div><div><p>Story {0}</p><p>More {0}</p></div><div class='cookie'>ok?</div></body>"
     rows = [(1, "http://H.example/1", page, 0), (2, None, None, 0), (3, "x", "", 0), (4, "http://b.example/", bare.format(1), 0),
             (5, "http://b.example/2", bare.format(2), 0), (6, "http://c.example/", bare.format(3), 0),
             (7, "http://h.example", "<p>" + "long " * 100_000, 0), (1, "http://h.example/1", page, 0),
-            (8, "http://h.example/8", "a < b &lt; c &#x4e2d; &am", 0)]
+            (9, "http://l.example/", layout, 0), (8, "http://h.example/8", "a < b &lt; c &#x4e2d; &am", 0)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, main_text int")
     found = {r.page_id: r for r in wrappers.extract(pages).collect()}
     assert found[1].main_text == "T & t\none two\nthree four\nl1\nl2"
     assert found[2].main_text == found[3].main_text == "" and found[2].n_chars == 0
     assert found[4].main_text == "Story 1\nMore 1" and found[6].main_text == "Site name\nStory 3\nMore 3"
+    assert found[9].main_text == "H\nx"
     assert found[7].n_chars == 499_999 and found[8].main_text == "a < b < c 中 &am"
     assert wrappers.extract(pages).count() == len(rows) and wrappers.extract(pages.limit(0)).count() == 0
 

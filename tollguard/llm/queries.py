@@ -87,6 +87,29 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(docs, size=F.col("words")).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+OP3 = r"""
+WITH raw AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+starts AS (
+  SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM raw WHERE n >= 200),
+strings AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 400)) AS s FROM starts),
+repeated AS (SELECT doc_id, i FROM strings QUALIFY count(*) OVER (PARTITION BY s) > 1),
+marked AS (
+  SELECT *, coalesce(i > lag(i) OVER w + 200, true) AS new FROM repeated WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY ALL),
+cut AS (
+  SELECT r.doc_id, h, n, a, b, coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY a), 0) AS before
+  FROM raw r JOIN spans s ON s.doc_id = r.doc_id),
+kept AS (
+  SELECT doc_id, any_value(n) AS n, sum(b - a) AS removed, count(*) AS runs,
+    string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a)
+      || any_value(substr(h, 2 * last + 1)) AS left_hex
+  FROM (SELECT *, max(b) OVER (PARTITION BY doc_id) AS last FROM cut) GROUP BY doc_id)
+SELECT r.doc_id, r.n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(left_hex, h))) AS kept_sha256
+FROM raw r LEFT JOIN kept k ON r.doc_id = k.doc_id
+"""
+
 OP4 = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -234,6 +257,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_repeats": OP3,
     "op4_ngram_jaccard": OP4,
     "op6_exact_top_k": OP6,
     "op7_warc": OP7,
