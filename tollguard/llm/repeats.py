@@ -17,11 +17,14 @@ from tollguard.session import materialize
 #: string of ``LENGTH`` bytes holds ``LENGTH - LEAD + 1`` strings of ``LEAD`` bytes.
 LENGTH, LEAD = 200, 100
 _ROOM = LENGTH - LEAD
-#: Rows of small tables that are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows of small tables that are broadcast, ``_PER_ROW`` numbers of an array counting as one more;
+#: larger tables are joined by shuffle.
+BROADCAST_ROWS = 500_000
+_PER_ROW = 32
 #: Suffixes of a bucket that are compared in one task; larger buckets are compared by shuffle.
 BUCKET = 50_000
 _PIECE = 1 << 20
+_ROWS = 4096
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -91,26 +94,64 @@ def _chosen(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "_t1 long, _t2 long, _leads array<long>, _places array<int>")
 
 
+def _context_hashes(raws: list[bytes], wanted: list[list[int]]) -> tuple[np.ndarray, ...]:
+    """For each chosen suffix: number of the text, start, hash of the lead, hash of its context (up
+    to ``_ROOM`` bytes before and ``LENGTH`` from its start), and how many bytes stand before and
+    from its start on there."""
+    sizes = np.array([len(r) for r in raws], dtype=np.int64)
+    first = np.cumsum(sizes) - sizes
+    doc = np.repeat(np.arange(len(raws)), [len(w) for w in wanted])
+    at = np.array([x for w in wanted for x in w], dtype=np.int64)
+    rolling = Rolling(np.frombuffer(b"".join(raws), dtype=np.uint8))
+    here = first[doc] + at
+    before = np.minimum(at, _ROOM)
+    after = np.minimum(sizes[doc] - at, LENGTH)
+    lead = rolling.ranges(here, here + LEAD)
+    context = mixed(rolling.ranges(here - before, here + after) + before.astype(np.uint64))
+    return doc, at, lead.astype(np.int64), context.astype(np.int64), before, after
+
+
+def _members(texts: DataFrame) -> DataFrame:
+    """(_t1, _t2, _at, _lead, _context, _low, _high) of each suffix of (_t1, _t2, _bytes, _wanted).
+
+    A string of ``LENGTH`` bytes that starts d bytes before the suffix lies in the text, and so in
+    the context, for d from ``_low`` to ``_high``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws, wanted = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for low, high in _batches(raws):
+                doc, at, lead, context, before, after = _context_hashes(raws[low:high], wanted[low:high])
+                owner = pa.array(doc + low)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at, pa.int32()), pa.array(lead),
+                     pa.array(context), pa.array(LENGTH - after, pa.int32()), pa.array(before, pa.int32())],
+                    names=["_t1", "_t2", "_at", "_lead", "_context", "_low", "_high"],
+                )
+
+    return texts.mapInArrow(
+        run, "_t1 long, _t2 long, _at int, _lead long, _context long, _low int, _high int"
+    )
+
+
 def _contexts(texts: DataFrame) -> DataFrame:
-    """A row per suffix of (_t1, _t2, _bytes, _wanted): its bytes, those before it, their digest."""
+    """(_lead, _context, _before, _suffix): the bytes of each suffix of (.., _bytes, _wanted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {k: [] for k in ("_t1", "_t2", "_at", "_before", "_suffix")}
-            for t1, t2, raw, wanted in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                for at in wanted:
-                    out["_t1"].append(t1)
-                    out["_t2"].append(t2)
-                    out["_at"].append(at)
-                    out["_before"].append(raw[max(0, at - _ROOM) : at])
-                    out["_suffix"].append(raw[at : at + LENGTH])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["_t1"], pa.int64()), pa.array(out["_t2"], pa.int64()), pa.array(out["_at"], pa.int32()),
-                 pa.array(out["_before"], pa.binary()), pa.array(out["_suffix"], pa.binary())], names=list(out)
-            )
+            raws, wanted = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for low, high in _batches(raws):
+                doc, at, lead, context, _, _ = _context_hashes(raws[low:high], wanted[low:high])
+                places = list(zip((doc + low).tolist(), at.tolist()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(lead), pa.array(context),
+                     pa.array([raws[i][max(0, p - _ROOM) : p] for i, p in places], pa.binary()),
+                     pa.array([raws[i][p : p + LENGTH] for i, p in places], pa.binary())],
+                    names=["_lead", "_context", "_before", "_suffix"],
+                )
 
-    rows = texts.mapInArrow(run, "_t1 long, _t2 long, _at int, _before binary, _suffix binary")
-    return rows.withColumn("_c1", F.xxhash64("_before", "_suffix")).withColumn("_c2", F.xxhash64(F.lit(1), "_suffix", "_before"))
+    return texts.mapInArrow(run, "_lead long, _context long, _before binary, _suffix binary")
 
 
 def _window_hashes(befores: list[bytes], suffixes: list[bytes]) -> np.ndarray:
@@ -140,53 +181,52 @@ def _runs(flags: np.ndarray) -> list[list[int]]:
     return out
 
 
-def _compare(bucket: np.ndarray, copies: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Which strings start elsewhere: contexts found twice, and strings that two contexts share.
-
-    For each shift the strings are sorted within their bucket; equal neighbours repeat.
-    """
-    flags = (copies[:, None] > 1) & (hashes != 0)
+def _compare(bucket: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which strings two contexts of a bucket share: for each shift the strings are sorted within
+    their bucket; equal neighbours repeat."""
+    flags = np.zeros(hashes.shape, dtype=bool)
     for d in range(hashes.shape[1]):
         key = mixed(hashes[:, d] + bucket)
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
-        both = np.zeros(len(key), dtype=bool)
-        both[order[1:][same]] = True
-        both[order[:-1][same]] = True
-        flags[:, d] |= both & (hashes[:, d] != 0)
-    return flags
+        flags[order[1:][same], d] = True
+        flags[order[:-1][same], d] = True
+    return flags & (hashes != 0)
+
+
+def _hashed(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """The strings of all contexts, some rows at a time."""
+    parts = [rows.slice(low, _ROWS) for low in range(0, rows.num_rows, _ROWS)]
+    found = [_window_hashes(p["_before"].to_pylist(), p["_suffix"].to_pylist()) for p in parts]
+    return np.concatenate(found) if found else np.zeros((0, _ROOM + 1), dtype=np.uint64)
 
 
 def _repeated(contexts: DataFrame) -> DataFrame:
-    """(_c1, _c2, _runs) of the contexts of sorted ranges; a bucket never ends within a batch."""
+    """(_lead, _context, _runs) of contexts in sorted ranges; buckets are compared whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
-        def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            befores, suffixes = rows["_before"].to_pylist(), rows["_suffix"].to_pylist()
-            bucket = rows["_lead"].to_numpy().astype(np.uint64)
-            flags = np.zeros((len(befores), _ROOM + 1), dtype=bool)
-            if len(befores):
-                flags = _compare(bucket, rows["_copies"].to_numpy(), _window_hashes(befores, suffixes))
-            yield pa.RecordBatch.from_arrays(
-                [rows["_c1"].combine_chunks(), rows["_c2"].combine_chunks(), pa.array(_runs(flags), pa.list_(pa.int32()))],
-                names=["_c1", "_c2", "_runs"],
+        def done(rows: pa.Table) -> pa.RecordBatch:
+            flags = _compare(rows["_lead"].to_numpy().astype(np.uint64), _hashed(rows))
+            return pa.RecordBatch.from_arrays(
+                [rows["_lead"].combine_chunks(), rows["_context"].combine_chunks(), pa.array(_runs(flags), pa.list_(pa.int32()))],
+                names=["_lead", "_context", "_runs"],
             )
 
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             held = rows if held is None else pa.concat_tables([held, rows])
             leads = held["_lead"].to_numpy()
-            if len(leads) >= BUCKET // 2 and leads[0] != leads[-1]:
+            if len(leads) >= 2 * _ROWS and leads[0] != leads[-1]:
                 cut = int(np.flatnonzero(leads != leads[-1])[-1]) + 1
-                yield from done(held.slice(0, cut).combine_chunks())
+                yield done(held.slice(0, cut).combine_chunks())
                 held = held.slice(cut).combine_chunks()
-        if held is not None:
-            yield from done(held.combine_chunks())
+        if held is not None and held.num_rows:
+            yield done(held.combine_chunks())
 
     ordered = contexts.repartitionByRange("_lead").sortWithinPartitions("_lead")
-    return ordered.mapInArrow(run, "_c1 long, _c2 long, _runs array<int>")
+    return ordered.mapInArrow(run, "_lead long, _context long, _runs array<int>")
 
 
 def _repeated_hot(contexts: DataFrame) -> DataFrame:
@@ -194,28 +234,49 @@ def _repeated_hot(contexts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 4096):
-                part = batch.slice(low, 4096)
-                hashes = _window_hashes(part.column(2).to_pylist(), part.column(3).to_pylist())
+            for low in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(low, _ROWS)
+                hashes = _hashed(part)
                 row, shift = np.nonzero(hashes)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k).take(pa.array(row)) for k in (0, 1, 4, 5)), pa.array(shift, pa.int32()),
+                    [*(part[c].take(pa.array(row)) for c in ("_lead", "_context")), pa.array(shift, pa.int32()),
                      pa.array(hashes[row, shift].astype(np.int64))],
-                    names=["_c1", "_c2", "_lead", "_copies", "_d", "_string"],
+                    names=["_lead", "_context", "_d", "_string"],
                 )
 
-    strings = contexts.select("_c1", "_c2", "_before", "_suffix", "_lead", "_copies").mapInArrow(
-        run, "_c1 long, _c2 long, _lead long, _copies long, _d int, _string long"
-    )
-    counts = strings.groupBy("_lead", "_d", "_string").agg(F.sum("_copies").alias("_n")).filter("_n > 1")
-    found = strings.join(counts, ["_lead", "_d", "_string"]).groupBy("_c1", "_c2").agg(F.collect_set("_d").alias("_ds"))
+    strings = contexts.mapInArrow(run, "_lead long, _context long, _d int, _string long")
+    counts = strings.groupBy("_lead", "_d", "_string").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    found = strings.join(counts, ["_lead", "_d", "_string"]).groupBy("_lead", "_context").agg(F.collect_set("_d").alias("_ds"))
     pairs = F.flatten(F.transform("_ds", lambda d: F.array(d, d)))
-    return found.select("_c1", "_c2", pairs.alias("_runs"))
+    return found.select("_lead", "_context", pairs.alias("_runs"))
+
 
+def _merged_spans(spans: DataFrame) -> DataFrame:
+    """(_t1, _t2, _edges): the spans of a text joined where they touch, as start, end, start, end."""
 
-def _attached(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
-    """``rows`` joined with ``table`` (_k1, _k2, ...) on the text; broadcast only if it is small."""
-    small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for start, end in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                edges: list[int] = []
+                for a, b in sorted(zip(start, end)):
+                    if edges and a <= edges[-1]:
+                        edges[-1] = max(b, edges[-1])
+                    else:
+                        edges += [a, b]
+                out.append(edges)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(out, pa.list_(pa.int32()))], names=["_t1", "_t2", "_edges"]
+            )
+
+    return spans.mapInArrow(run, "_t1 long, _t2 long, _edges array<int>")
+
+
+def _attached(rows: DataFrame, table: DataFrame, how: str, places: str | None = None) -> DataFrame:
+    """``rows`` joined with ``table`` (_k1, _k2, ...) on the text; broadcast only if it is small,
+    the numbers in its array ``places`` counted in."""
+    weight = F.lit(1) if places is None else F.size(places) / F.lit(_PER_ROW) + 1
+    small = (table.agg(F.sum(weight)).first()[0] or 0) <= BROADCAST_ROWS
     on = (F.col("_t1") == F.col("_k1")) & (F.col("_t2") == F.col("_k2"))
     return rows.join(F.broadcast(table) if small else table, on, how).drop("_k1", "_k2")
 
@@ -224,6 +285,12 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({"_t1": "_k1", "_t2": "_k2"})
 
 
+def with_places(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """(_t1, _t2, _bytes, _wanted) of the texts that ``places`` names."""
+    found = _attached(rows.select("_t1", "_t2", "_bytes"), _keyed(places), "inner", "_wanted")
+    return found.select("_t1", "_t2", "_bytes", "_wanted")
+
+
 def remove_repeats(
     docs: DataFrame, text: str = "text", bucket: int = BUCKET, keep: Sequence[str] | None = None,
 ) -> DataFrame:
@@ -237,11 +304,12 @@ def remove_repeats(
     empty table gives no rows. Columns of the added names are replaced, others kept.
 
     Suffixes are sorted sparsely: ``anchors`` picks those whose lead (first 100 bytes) any repeated
-    string must share. Leads found once are dropped by count. The other suffixes, with the 100
-    bytes before them, are combined if equal, range-partitioned by their lead with Spark's sampled
-    splitters and sorted; a lead lies in one range, so no bucket crosses a boundary. Within a
-    bucket the strings at each shift are sorted and equal neighbours marked; buckets above
-    ``bucket`` are compared by shuffle. Strings are compared by 64-bit hashes within a bucket.
+    string must share. Leads found once are dropped by count. The context of a suffix (the 100
+    bytes before it and 200 from its start) repeats whole if it is found twice. Different contexts
+    of one lead are range-partitioned by it with Spark's sampled splitters and sorted; a lead lies
+    in one range, so no bucket crosses a boundary. Within a bucket the strings at each shift are
+    sorted and equal neighbours marked; buckets above ``bucket`` are compared by shuffle. Only
+    these contexts travel as bytes, once each. Strings are compared by 64-bit hashes in a bucket.
     Equal texts are found by 128-bit digests first, and only one of them takes part.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c not in {"n_bytes", "spans", "kept"}]
@@ -264,50 +332,51 @@ def remove_repeats(
     wanted = materialize(
         wanted.join(leads.select("_lead"), "_lead").groupBy("_t1", "_t2").agg(F.collect_list("_at").alias("_wanted"))
     )
-    texts = _attached(rows.select("_t1", "_t2", "_bytes"), _keyed(wanted), "inner")
-    texts = texts.select("_t1", "_t2", "_bytes", "_wanted")
-    found = materialize(_contexts(texts))
-    contexts = found.groupBy("_c1", "_c2").agg(
-        F.count(F.lit(1)).alias("_copies"), F.first("_before").alias("_before"), F.first("_suffix").alias("_suffix")
-    ).withColumn("_lead", F.xxhash64(F.substring("_suffix", 1, LEAD)))
-    contexts = materialize(contexts)
-    sizes = contexts.groupBy("_lead").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > bucket).select("_lead")
-    hot = materialize(sizes)
-    marked = _repeated(contexts.join(hot, "_lead", "left_anti").select("_c1", "_c2", "_before", "_suffix", "_lead", "_copies"))
+    members = materialize(_members(with_places(rows, wanted)))
+    contexts = materialize(
+        members.groupBy("_lead", "_context").agg(
+            F.count(F.lit(1)).alias("_copies"), F.min(F.struct("_t1", "_t2", "_at")).alias("_one"),
+            F.first("_low").alias("_low"), F.first("_high").alias("_high"),
+        )
+    )
+    # a context found twice repeats whole; one found once must share strings with others of its lead
+    sizes = contexts.groupBy("_lead").agg(F.count(F.lit(1)).alias("_m"), F.min("_copies").alias("_least"))
+    open_leads = sizes.filter("_m > 1 and _least = 1").select("_lead", (F.col("_m") > bucket).alias("_hot"))
+    compared = materialize(contexts.join(open_leads, "_lead"))
+    places = compared.groupBy(F.col("_one._t1").alias("_t1"), F.col("_one._t2").alias("_t2")).agg(
+        F.collect_list("_one._at").alias("_wanted")
+    )
+    bytes_of = materialize(_contexts(with_places(rows, materialize(places))).dropDuplicates(["_lead", "_context"]))
+    hot = compared.filter("_hot").select("_lead", "_context")
+    marked = _repeated(bytes_of.join(hot, ["_lead", "_context"], "left_anti"))
     if not hot.isEmpty():
-        marked = marked.unionByName(_repeated_hot(contexts.join(hot, "_lead", "left_semi")))
-    spans = found.select("_t1", "_t2", "_at", "_c1", "_c2").join(marked.filter(F.size("_runs") > 0), ["_c1", "_c2"])
-    pairs = F.transform(
-        F.sequence(F.lit(0), (F.size("_runs") / 2).cast("int") - 1),
-        lambda k: F.struct(
-            (F.col("_at") - F.get("_runs", 2 * k + 1)).alias("start"),
-            (F.col("_at") - F.get("_runs", 2 * k) + LENGTH).alias("end"),
-        ),
+        marked = marked.unionByName(_repeated_hot(bytes_of.join(hot, ["_lead", "_context"], "left_semi")))
+    twice = contexts.filter(F.col("_copies") > 1).select("_lead", "_context", F.array("_low", "_high").alias("_runs"))
+    single = contexts.filter(F.col("_copies") == 1).select("_lead", "_context")
+    marked = marked.filter(F.size("_runs") > 0).join(single, ["_lead", "_context"], "left_semi").unionByName(twice)
+    spans = members.select("_t1", "_t2", "_at", "_lead", "_context").join(marked, ["_lead", "_context"])
+    half = F.sequence(F.lit(0), (F.size("_runs") / 2).cast("int") - 1)
+    starts = F.transform(half, lambda k: F.col("_at") - F.get("_runs", 2 * k + 1))
+    ends = F.transform(half, lambda k: F.col("_at") - F.get("_runs", 2 * k) + LENGTH)
+    spans = spans.groupBy("_t1", "_t2").agg(
+        F.flatten(F.collect_list(starts)).alias("_starts"), F.flatten(F.collect_list(ends)).alias("_ends")
     )
-    spans = spans.groupBy("_t1", "_t2").agg(F.flatten(F.collect_list(pairs)).alias("_spans"))
-    spans = materialize(spans)
+    spans = materialize(_merged_spans(spans))
     whole = copies.select("_t1", "_t2", F.lit(True).alias("_whole"))
-    ready = _attached(_attached(rows, _keyed(whole), "left"), _keyed(spans), "left")
+    ready = _attached(_attached(rows, _keyed(whole), "left"), _keyed(spans), "left", "_edges")
     schema = T.StructType([
         rows.schema["_row"], T.StructField("n_bytes", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
         T.StructField("kept", T.BinaryType()),
     ])
-    ready = ready.select(
-        "_row", "_bytes", "_whole", F.transform("_spans", lambda s: s["start"]).alias("_from"),
-        F.transform("_spans", lambda s: s["end"]).alias("_to"),
-    )
+    ready = ready.select("_row", "_bytes", "_whole", "_edges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, spans, left = [], [], []
-            for raw, whole, start, end in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
-                merged: list[list[int]] = [[0, len(raw)]] if whole else []
-                for a, b in sorted(zip(start or [], end or [])) if not whole else []:
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(b, merged[-1][1])
-                    else:
-                        merged.append([a, b])
+            for raw, whole, found in zip(*(batch.column(k).to_pylist() for k in range(1, 4))):
+                found = [0, len(raw)] if whole else found or []
+                merged = list(zip(found[::2], found[1::2]))
                 edges = [0, *(x for m in merged for x in m), len(raw)]
                 sizes.append(len(raw))
                 spans.append([{"start": a, "end": b} for a, b in merged])
