@@ -10,6 +10,8 @@ from tollguard.plans import medallion
 from tollguard.session import materialize
 from verification import queries as registry
 from verification.compare import connect, difference
+from verification.oracles import ORACLES
+from verification.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 SHARED = ["_silver", "_gold", "_train", "_master"]
@@ -38,15 +40,15 @@ def shared_inputs():
     patch.undo()
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, connection, name):
-    result = entry.queries()[name](spark, SF_DIR)
-    assert difference(result, connection, entry.oracle_sql()[name]) == ""
+    result = QUERIES[name](spark, SF_DIR)
+    assert difference(result, connection, ORACLES[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_returns_rows(spark, name):
-    assert entry.queries()[name](spark, SF_DIR).count() > 0
+    assert QUERIES[name](spark, SF_DIR).count() > 0
 
 
 def test_every_sql_has_a_query():
