@@ -240,3 +240,16 @@ def test_quality_checks(spark):
     assert tuple(quality.check_not_null(df, ["transaction_id", "agency"]).first()) == (2, 1)
     assert rows(quality.check_unique(df)) == [("a", 2)]
     assert rows(quality.check_accepted_values(df)) == [("XX", 2)]
+
+
+def test_only_the_first_of_equal_requests_is_accepted(spark):
+    master = spark.createDataFrame([("a", "Needs Review"), ("b", None)], "transaction_id string, status string")
+    asked = [("a", "Investigating", 1)] * 3 + [("b", "Confirmed Fraud", 5)] * 2
+    found = review.review_requests(
+        master, spark.createDataFrame(asked, "transaction_id string, new_status string, seq int")
+    )
+    got = rows(found.select("transaction_id", "accepted", "current_status", "reason"))
+    invalid = "Invalid status transition"
+    want = [("a", True, "Needs Review", None)] + [("a", False, "Investigating", invalid)] * 2
+    want += [("b", True, None, None), ("b", False, "Confirmed Fraud", invalid)]
+    assert sorted(map(str, got)) == sorted(map(str, want))

@@ -9,7 +9,7 @@ key, and no request order has to be replayed row by row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollguard.lookups import INVESTIGATING, NEEDS_REVIEW, RESOLVED
@@ -60,14 +60,22 @@ def accepted_steps(master: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def review_requests(master: DataFrame, updates: DataFrame) -> DataFrame:
-    """Every request with ``accepted``, the status it met and the reason if rejected."""
+    """Every request with ``accepted``, the status it met and the reason if rejected.
+
+    Of requests equal in transaction, ``seq`` and status one is the first; the others come after
+    it and meet the status it set.
+    """
     steps = accepted_steps(master, updates)
-    asked = updates.select(*REQUEST).withColumn("_missing", _missing())
+    equal = Window.partitionBy(*REQUEST).orderBy("seq")
+    asked = updates.select(*REQUEST).withColumns({
+        "_missing": _missing(), "_again": F.row_number().over(equal) > 1,
+    })
     joined = asked.join(steps, "transaction_id", "left")
     this = F.struct("seq", "new_status")
     found = F.col("steps").isNotNull() & ~F.col("_missing")
-    accepted = F.coalesce(found & F.array_contains("steps", this), F.lit(False))
-    before = F.filter("steps", lambda step: step < this)
+    again = F.col("_again")
+    accepted = F.coalesce(found & F.array_contains("steps", this) & ~again, F.lit(False))
+    before = F.filter("steps", lambda step: (step < this) | (again & (step == this)))
     met = F.when(F.size(before) > 0, F.get(before, F.size(before) - 1)["new_status"]).otherwise(
         F.col("current_status")
     )
