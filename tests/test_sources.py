@@ -54,6 +54,15 @@ def test_quoted_newline_short_and_bad_rows(spark, tmp_path):
     ))
 
 
+def test_files_are_split_unless_a_newline_is_quoted(spark, tmp_path):
+    write(tmp_path / "plain", "a.csv", LINE, LINE.replace("TOLL", '"say ""x"""'))
+    write(tmp_path / "quoted", "a.csv", LINE.replace("TOLL", '"TO\nLL"'))
+    assert not statements.has_quoted_newlines(spark, str(tmp_path / "plain"))
+    assert statements.has_quoted_newlines(spark, str(tmp_path / "quoted"))
+    plain = [statements.read_statements(spark, str(tmp_path / "plain"), quoted_newlines=q) for q in (None, True)]
+    assert rows(plain[0]) == rows(plain[1])
+
+
 def test_bad_row_budget(spark, tmp_path):
     write(tmp_path / "in", "a.csv", LINE, LINE + ",1", LINE + ",2")
     assert statements.read_statements(spark, str(tmp_path / "in"), max_bad_rows=2).count() == 1

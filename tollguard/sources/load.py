@@ -27,7 +27,7 @@ def load_statements(
     rejects: str,
     loaded_at: str,
     max_bad_rows: int = statements.MAX_BAD_ROWS,
-    quoted_newlines: bool = True,
+    quoted_newlines: bool | None = None,
 ) -> DataFrame:
     """Load the files of ``source`` that no bronze row names, and return ``verify_load`` of bronze.
 
@@ -40,6 +40,8 @@ def load_statements(
     paths = sorted(r["path"] for r in files.select("path").collect())
     if paths:
         headers = spark.read.option("header", True).csv(paths).columns
+        if quoted_newlines is None:
+            quoted_newlines = statements.has_quoted_newlines(spark, paths)
         raw = statements.read_statements(spark, paths, headers, max_bad_rows, quoted_newlines)
         bad = statements.read_rejected(spark, paths, loaded_at, headers, quoted_newlines)
         bad.write.mode("append").parquet(rejects)

@@ -42,14 +42,26 @@ def is_bad_row(headers: Sequence[str] = RAW_COLUMNS) -> Column:
     return F.col(CORRUPT_COLUMN).isNotNull() & (fields > len(headers))
 
 
+def has_quoted_newlines(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether some line holds an odd number of quotes, so that a quoted field goes on after it."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
 def scan_statements(
-    spark: SparkSession, path: str, headers: Sequence[str], quoted_newlines: bool = True
+    spark: SparkSession,
+    path: str | list[str],
+    headers: Sequence[str],
+    quoted_newlines: bool | None = None,
 ) -> DataFrame:
     """Statement rows as text with ``source_name``, the file they came from.
 
-    Quoted newlines are kept. That means one task per file, because a quoted newline cannot be
-    told from a row end in the middle of a file; without them, large files are split.
+    Quoted newlines are kept. Files with them take one task each, because a quoted newline cannot
+    be told from a row end in the middle of a file; without them, large files are split. Unless
+    told, a pass over the lines finds out.
     """
+    if quoted_newlines is None:
+        quoted_newlines = has_quoted_newlines(spark, path)
     options = CSV_OPTIONS | {"multiLine": quoted_newlines}
     rows = spark.read.schema(statement_schema(headers)).options(**options).csv(path)
     return rows.withColumn("source_name", F.col("_metadata.file_name"))
@@ -75,10 +87,10 @@ def rejected(
 
 def read_rejected(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     loaded_at: str,
     headers: Sequence[str] | None = None,
-    quoted_newlines: bool = True,
+    quoted_newlines: bool | None = None,
 ) -> DataFrame:
     """The rows that :func:`read_statements` leaves out."""
     headers = headers or spark.read.option("header", True).csv(path).columns
@@ -88,10 +100,10 @@ def read_rejected(
 
 def read_statements(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     headers: Sequence[str] | None = None,
     max_bad_rows: int = MAX_BAD_ROWS,
-    quoted_newlines: bool = True,
+    quoted_newlines: bool | None = None,
 ) -> DataFrame:
     """Statement rows without the bad ones; more than ``max_bad_rows`` of them is an error.
 
