@@ -1,7 +1,8 @@
 """Exact global ranks without a single-task sort.
 
-Equal values are counted first. The distinct values are cut into ranges by approximate
-quantiles, counted per range, and ranked inside their range from the count of all ranges below.
+Equal values are counted first. The distinct values are partitioned into ranges by Spark's sampled
+splitters, as many as their number asks for, counted per range, and ranked inside their range from
+the count of all ranges below.
 """
 
 from __future__ import annotations
@@ -12,11 +13,9 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tollguard.operators.search import piece_of
 from tollguard.session import materialize
 
 RANGE_ROWS = 5_000_000
-GRID = 4096
 
 
 @dataclass(frozen=True)
@@ -60,23 +59,22 @@ def rank_values(df: DataFrame, column: str, range_rows: int = RANGE_ROWS) -> Ran
         F.coalesce(F.sum("rows"), F.lit(0)).alias("total"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("rows"))), F.lit(0)).alias("nulls"),
     ).first()
-    pieces = min(GRID, -(-shape["distinct"] // range_rows))
+    pieces = -(-shape["distinct"] // range_rows)
     if pieces > 1:
-        cuts = [i / pieces for i in range(1, pieces)]
-        edges = counts.agg(F.percentile_approx("value", cuts, 20 * GRID)).first()[0]
-        ranged = counts.withColumn(
-            "_range", piece_of(F.array(*map(F.lit, edges)), F.col("value"), len(edges))
+        placed = counts.repartitionByRange(pieces, F.asc_nulls_first("value"))
+        ranged = materialize(placed.withColumn("_range", F.spark_partition_id()))
+        # one row per range, and a range holds about range_rows values
+        sizes = sorted(tuple(r) for r in ranged.groupBy("_range").agg(F.sum("rows")).collect())
+        starts = accumulate((n for _, n in sizes), initial=0)
+        before = df.sparkSession.createDataFrame(
+            [(part, start) for (part, _), start in zip(sizes, starts)], "_range int, _start bigint"
         )
-        # At most GRID ranges, so their running total is a short list.
-        sizes = dict(ranged.groupBy("_range").agg(F.sum("rows")).collect())
-        starts = [0, *accumulate(sizes.get(i, 0) for i in range(len(edges) + 1))]
-        start = F.get(F.array(*[F.lit(s).cast("bigint") for s in starts]), "_range")
+        ranged = ranged.join(F.broadcast(before), "_range")
     else:
-        ranged, start = counts.withColumn("_range", F.lit(0)), F.lit(0).cast("bigint")
+        ranged = counts.withColumns({"_range": F.lit(0), "_start": F.lit(0).cast("bigint")})
     below = Window.partitionBy("_range").orderBy(F.asc_nulls_first("value")).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    table = ranged.withColumn(
-        "rows_below", start + F.coalesce(F.sum("rows").over(below), F.lit(0).cast("bigint"))
-    ).drop("_range")
+    rows_below = F.col("_start") + F.coalesce(F.sum("rows").over(below), F.lit(0).cast("bigint"))
+    table = ranged.withColumn("rows_below", rows_below).select("value", "rows", "rows_below")
     return Ranking(table, shape["total"], shape["nulls"])
