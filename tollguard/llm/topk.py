@@ -16,7 +16,7 @@ _ROWS = 128
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
     """(_id, _v): ids and floor(scale * x) of each component, without the vectors that are NULL or
-    hold NULL, NaN or infinite components."""
+    hold NULL, NaN or infinite components, and without rows whose id is NULL."""
     x = F.col(f"`{vector}`").cast("array<double>")
     sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     whole = F.transform(x, lambda c: F.floor(c * F.lit(float(scale))))
