@@ -17,7 +17,7 @@ DIMENSIONS, SEED = 1024, 2
 #: The language of texts without a letter.
 UNDETERMINED = "und"
 #: What is vectorised at a time: documents, characters, distinct n-grams.
-_DOCS, _CHARS, _GRAMS = 256, 1 << 20, 8192
+_DOCS, _CHARS, _GRAMS = 256, 1 << 20, 2048
 
 
 @cache
@@ -182,7 +182,7 @@ def identify(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(low, _DOCS) for b in batches for low in range(0, b.num_rows, _DOCS)):
             names, scores = predict(batch.column(place).to_pylist(), prototypes)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
