@@ -80,6 +80,11 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(joined[keep]), counts
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that few texts are Python objects at a time."""
+    return (b.slice(low, rows) for b in batches for low in range(0, b.num_rows, rows))
+
+
 def _groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of about a piece in total, with the number of the first."""
     low, size = 0, 0
@@ -116,7 +121,7 @@ def _signatures(docs: DataFrame, length: int) -> DataFrame:
     schema = T.StructType([*fields, T.StructField("_labels", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             for low, part in _groups(texts):
                 values, counts = shingles(part)
@@ -148,7 +153,7 @@ def _sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     ).select("_node", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             for low, part in _groups(batch.column(1).to_pylist()):
                 values, counts = shingles(part)
                 sets = [np.unique(v).astype(np.int64) for v in np.split(values, np.cumsum(counts)[:-1])]

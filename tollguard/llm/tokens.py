@@ -195,8 +195,8 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for low in range(0, batch.num_rows, 64):
+                part = batch.slice(low, 64)
                 counts, arrays, digests, decoded = [], [], [], []
                 for value, known in zip(part.column(at), part.column(place)):
                     ids = known.as_py() if known.is_valid else encode(value.as_py() or "", path, pattern)
