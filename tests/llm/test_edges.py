@@ -286,6 +286,45 @@ def test_line_dedup_equals_brute_force(spark, bucket):
     assert {r.doc_id: r.text for r in linededup.dedupe_lines(rows, bucket=bucket).collect()} == want
 
 
+@pytest.mark.parametrize("block", [2, 1024])
+@pytest.mark.parametrize("edits", [(0, 25), (0, 0, 30, 45), (30,)])
+def test_line_dedup_with_more_edits_equals_brute_force(spark, edits, block):
+    draw = random.Random(5)
+    bases = ["the quick brown fox jumps over 😀", "a line that holds quite a few more words than the other one"]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    def edited():
+        chars = list(draw.choice(bases)[draw.randint(0, 2) :])
+        for _ in range(draw.randint(0, 6)):
+            j = draw.randrange(len(chars))
+            chars[j : j + draw.randint(0, 1)] = draw.choice(["", "x", "é", "t"])
+        return "".join(chars)
+
+    docs = [(i, [edited() for _ in range(draw.randint(0, 4))]) for i in range(60)]
+    seen, want = [], {}
+    for i, own in docs:
+        kept = []
+        for line in own:
+            key = line.strip()
+            alike = any(distance(key, s) <= sum(min(len(key), len(s)) >= least for least in edits) for s in seen)
+            if len(key) < 20 or not alike:
+                kept.append(line)
+            if len(key) >= 20:
+                seen.append(key)
+        want[i] = "\n".join(kept)
+    rows = spark.createDataFrame([(i, "\n".join(own)) for i, own in docs], "doc_id long, text string")
+    found = linededup.dedupe_lines(rows, edits=edits, block=block).collect()
+    assert {r.doc_id: r.text for r in found} == want
+
+
 def test_bits_equal_the_edit_distance(spark):
     draw = random.Random(3)
 

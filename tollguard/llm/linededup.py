@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,8 @@ BUCKET = 32
 BROADCAST_DOCS = 500_000
 #: Halvings by equal ends before the bits are run.
 HALVINGS = 6
+#: Rows of a bucket that one task compares with the others where more than one edit counts.
+BLOCK = 1024
 
 
 def _left(s: Column, n: Column) -> Column:
@@ -108,17 +111,40 @@ def keep_within_one(pairs: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Each line of ``min_chars`` or more: its place, its hash, and the four hashes of the index.
+def _segment_keys(line: Column, n: Column, edits: Sequence[int]) -> Column:
+    """The index of a line for ``edits``: structs of _key, _k (edits) and _long (0 for its own segments).
 
-    A line of length n stands under its two segments, and probes for lines of length n - 1 under
-    the segments those have.
+    A line of length n stands under its k + 1 segments, and probes for lines of lengths n - k to n
+    under theirs, at every place the segment can have moved to: with i segments before it and k - i
+    behind, one is whole that i edits before and k - i behind it explain.
+    """
+    keys = []
+    for k, least in enumerate(edits, 1):
+        for d in range(k + 1):
+            base = n - d
+            inside = (base >= least) & (base < edits[k] if k < len(edits) else F.lit(True))
+            for i in range(k + 1):
+                start, end = (F.floor(base * j / (k + 1)).cast("int") for j in (i, i + 1))
+                for shift in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1):
+                    key = F.xxhash64(F.lit(k), F.lit(i), base, F.substr(line, start + shift + 1, end - start))
+                    probe = F.struct(key.alias("_key"), F.lit(k).alias("_k"), F.lit(int(d > 0 or shift != 0)).alias("_long"))
+                    keys.append(F.when(inside, probe))
+    return F.array_distinct(F.array_compact(F.array(*keys)))
+
+
+def _occurrences(docs: DataFrame, min_chars: int, edits: Sequence[int]) -> DataFrame:
+    """Each line of ``min_chars`` or more: its place, its hash, and the hashes of the index.
+
+    For one edit these are four: a line of length n stands under its two segments, and probes for
+    lines of length n - 1 under the segments those have.
     """
     lines = docs.select("_id", "_text_hash", F.posexplode(F.split("_text", "\n")).alias("_no", "_raw"))
     lines = lines.withColumn("_line", F.btrim("_raw", F.lit(BLANK))).withColumn("_n", F.length("_line"))
     lines = lines.filter(F.col("_n") >= min_chars)
     line, keys = F.col("_line"), []
-    for longer in (0, 1):
+    if edits != (0,):
+        keys.append(_segment_keys(line, F.col("_n"), edits).alias("_keys"))
+    for longer in (0, 1) if edits == (0,) else ():
         base = F.col("_n") - longer
         front = _half(base)
         for side, part in (("p", _left(line, front)), ("s", _right(line, base - front))):
@@ -199,16 +225,41 @@ def _one_edit_later(lines: DataFrame, docs: DataFrame, bucket: int) -> DataFrame
         )
 
 
+def _edits_later(lines: DataFrame, docs: DataFrame, edits: Sequence[int], block: int) -> DataFrame:
+    """The (_h1, _h2) of lines that are as near as ``edits`` allows to one with an earlier first place."""
+    keys = lines.select("_h1", "_h2", "_first", F.inline("_keys"))
+    rows = materialize(_shared(keys))
+    texts = _texts(rows.select("_h1", "_h2", "_first").distinct(), docs)
+    rows = rows.join(texts, ["_h1", "_h2"])
+    blocks = F.ceil(F.col("_size") / F.lit(block)).cast("int")
+    later = rows.withColumn("_block", F.pmod(F.xxhash64("_h1", "_h2"), blocks).cast("int"))
+    earlier = rows.select(
+        "_key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_block"), F.col("_long").alias("_long_a"),
+        F.col("_first").alias("_first_a"), F.col("_line").alias("_line_a"), F.col("_k").alias("_k_a"),
+    )
+    pairs = later.join(earlier, ["_key", "_block"]).filter(
+        (F.col("_first_a") < F.col("_first")) & (F.col("_long") + F.col("_long_a") < 2) & (F.col("_k") == F.col("_k_a"))
+    )
+    near = F.lit(False)
+    for k in range(1, len(edits) + 1):  # -1 if the distance, counted over the band, is above k
+        near = F.when(F.col("_k") == k, F.levenshtein("_line_a", "_line", k) >= 0).otherwise(near)
+    return pairs.filter(near).select("_h1", "_h2").distinct()
+
+
 def dedupe_lines(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 20,
     bucket: int = BUCKET, n_lines: str | None = None, n_removed: str | None = None,
+    edits: Sequence[int] = (0,), block: int = BLOCK,
 ) -> DataFrame:
-    """``docs`` with the lines removed that an earlier line repeats, exactly or but for one edit.
+    """``docs`` with the lines removed that an earlier line repeats, exactly or but for a few edits.
 
     Lines are the ``\\n``-parts of the text, compared without blanks at their ends, by code points.
     Lines shorter than ``min_chars`` are no evidence of copying and always stay. Earlier means: in
     the order of (document id, NULL first; hash of the text; line number). A line goes if any
-    earlier line, itself kept or not, is equal or one insertion, deletion or substitution away.
+    earlier line, itself kept or not, is equal or k insertions, deletions or substitutions away at
+    most. ``edits`` gives k by the length of the shorter line: its j-th number is the least length
+    at which j edits count, so (0,) is one edit at any length and (0, 40, 80) two from 40 and three
+    from 80 characters; numbers ascend, and lines shorter than the first need to be equal.
     Documents stay even if all of their lines go (empty text); NULL and empty texts stay as they
     are. Rows with equal id and text count as one document and come out alike. An empty table
     gives no rows. ``n_lines`` and ``n_removed`` name columns to add with these counts.
@@ -218,19 +269,25 @@ def dedupe_lines(
     combined before; buckets beyond ``bucket`` are split again by the halves of what is left, until
     they are small or one character is left, so no bucket emits all its pairs. What is kept goes
     to the documents as lists of line numbers. Only built-in functions run.
+
+    For more than one edit a line stands under k + 1 segments and probes for lengths n - k to n.
+    Halves do not split such buckets; they are compared ``block`` rows a task with all their rows,
+    so their cost grows with the square of the bucket.
     """
+    edits = tuple(edits)
+    if not edits or list(edits) != sorted(edits) or len(edits) > 15:
+        raise ValueError(f"one to fifteen ascending lengths expected, not {edits}")
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = docs.select(
         own, F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"),
         F.xxhash64(F.col(f"`{text}`")).alias("_text_hash"),
     )
-    found = _occurrences(rows, min_chars)
+    found = _occurrences(rows, min_chars, edits)
+    hashes = [c for c in found.columns if c not in {"_h1", "_h2", "_first"}]
     lines = materialize(
-        found.groupBy("_h1", "_h2").agg(
-            F.min("_first").alias("_first"), *[F.min(c).alias(c) for c in ("_p0", "_s0", "_p1", "_s1")]
-        )
+        found.groupBy("_h1", "_h2").agg(F.min("_first").alias("_first"), *[F.min(c).alias(c) for c in hashes])
     )
-    gone = _one_edit_later(lines, rows, bucket)
+    gone = _one_edit_later(lines, rows, bucket) if edits == (0,) else _edits_later(lines, rows, edits, block)
     kept = (
         lines.select("_h1", "_h2", "_first").join(gone, ["_h1", "_h2"], "left_anti")
         .groupBy(F.col("_first._id").alias("_kid"), F.col("_first._text_hash").alias("_kept_hash"))
