@@ -394,6 +394,19 @@ def test_main_text(spark):
     assert wrappers.extract(pages).count() == len(rows) and wrappers.extract(pages.limit(0)).count() == 0
 
 
+def test_fixed_slots_bear_pages_that_cannot_have_them(spark):
+    bare = "<body><div>Site name</div><div><ul><li>Home<li>News</ul></div><div><p>Story {0}</p><p>More {0}</p></div></body>"
+    rows = [(i, "http://b.example/", bare.format(i)) for i in range(5)]
+    rows += [(5, "http://b.example/", None), (6, "http://b.example/", ""), (7, "http://b.example/", bare.format(7).replace("<div>Site name</div>", ""))]
+    rows += [(8, "http://b.example/", "<article><p>Own</article>"), (9, "http://b.example/", "<main><p>Own</main>")]
+    rows += [(i, "http://c.example/", bare.format(min(i, 18))) for i in range(10, 30)]  # mostly copies
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.main_text for r in wrappers.extract(pages).collect()}
+    assert all(found[i] == f"Story {i}\nMore {i}" for i in (0, 1, 2, 3, 4, 7, *range(10, 18)))
+    assert all(found[i] == "Story 18\nMore 18" for i in range(18, 30))
+    assert found[5] == found[6] == "" and found[8] == found[9] == "Own"
+
+
 def test_wrappers_have_optional_and_repeated_groups(spark):
     item = lambda n, ad: f"<body>{'<div>ad</div>' * ad}<ul>{'<li>x</li>' * n}</ul><p>t</p></body>"
     rows = [(i, "http://a.example/", item(n, ad)) for i, (n, ad) in enumerate([(1, 0), (3, 1), (5, 0)])]
