@@ -143,6 +143,24 @@ def test_repeats_at_all_offsets(spark, bucket):
     assert collections.Counter((r.doc_id, bytes(r.kept)) for r in found.collect()) == want
 
 
+def test_copies_of_a_text_take_part_once(spark, monkeypatch):
+    draw = random.Random(7)
+    text = lambda n: "".join(draw.choice("abcdefgh \n") for _ in range(n))
+    passage, first, last = text(600), text(300), text(300)
+    rows = [(i, first + passage) for i in range(200)] + [(200, passage + last), (201, text(500))]
+    merged, arrays = repeats._merged_spans, []
+
+    def seen(spans):
+        arrays.extend(r[0] for r in spans.select(F.size("_starts")).collect())
+        return merged(spans)
+
+    monkeypatch.setattr(repeats, "_merged_spans", seen)
+    found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = {r.doc_id: bytes(r.kept).decode() for r in found}
+    assert kept == {**dict.fromkeys(range(200), ""), 200: last, 201: rows[-1][1]}
+    assert len(arrays) == 1 and arrays[0] <= 600
+
+
 def test_jaccard(docs, none):
     rows = jaccard.jaccard_join(docs).collect()
     assert len(rows) == len(ROWS)

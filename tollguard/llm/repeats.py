@@ -324,18 +324,21 @@ def remove_repeats(
     )
     single = _attached(long_rows, _keyed(copies), "left")
     once = single.filter("_copies is null").select("_t1", "_t2", "_bytes")
-    again = single.filter("_copies is not null").groupBy("_t1", "_t2").agg(F.first("_bytes").alias("_bytes"))
-    chosen = materialize(_chosen(once.unionByName(again)))
+    again = materialize(
+        single.filter("_copies is not null").groupBy("_t1", "_t2").agg(F.first("_bytes").alias("_bytes"))
+    )
+    texts = once.unionByName(again)
+    chosen = materialize(_chosen(texts))
     leads = chosen.select(F.explode("_leads").alias("_lead")).groupBy("_lead").agg(F.count(F.lit(1)).alias("_m"))
     leads = materialize(leads.filter("_m > 1"))
     wanted = chosen.select("_t1", "_t2", F.inline(F.arrays_zip(F.col("_leads").alias("_lead"), F.col("_places").alias("_at"))))
     wanted = materialize(
         wanted.join(leads.select("_lead"), "_lead").groupBy("_t1", "_t2").agg(F.collect_list("_at").alias("_wanted"))
     )
-    members = materialize(_members(with_places(rows, wanted)))
+    members = materialize(_attached(_members(with_places(texts, wanted)), _keyed(copies), "left"))
     contexts = materialize(
         members.groupBy("_lead", "_context").agg(
-            F.count(F.lit(1)).alias("_copies"), F.min(F.struct("_t1", "_t2", "_at")).alias("_one"),
+            F.sum(F.coalesce("_copies", F.lit(1))).alias("_copies"), F.min(F.struct("_t1", "_t2", "_at")).alias("_one"),
             F.first("_low").alias("_low"), F.first("_high").alias("_high"),
         )
     )
@@ -346,7 +349,7 @@ def remove_repeats(
     places = compared.groupBy(F.col("_one._t1").alias("_t1"), F.col("_one._t2").alias("_t2")).agg(
         F.collect_list("_one._at").alias("_wanted")
     )
-    bytes_of = materialize(_contexts(with_places(rows, materialize(places))).dropDuplicates(["_lead", "_context"]))
+    bytes_of = materialize(_contexts(with_places(texts, materialize(places))).dropDuplicates(["_lead", "_context"]))
     hot = compared.filter("_hot").select("_lead", "_context")
     marked = _repeated(bytes_of.join(hot, ["_lead", "_context"], "left_anti"))
     if not hot.isEmpty():
@@ -354,7 +357,8 @@ def remove_repeats(
     twice = contexts.filter(F.col("_copies") > 1).select("_lead", "_context", F.array("_low", "_high").alias("_runs"))
     single = contexts.filter(F.col("_copies") == 1).select("_lead", "_context")
     marked = marked.filter(F.size("_runs") > 0).join(single, ["_lead", "_context"], "left_semi").unionByName(twice)
-    spans = members.select("_t1", "_t2", "_at", "_lead", "_context").join(marked, ["_lead", "_context"])
+    # texts with copies go whole
+    spans = members.filter("_copies is null").select("_t1", "_t2", "_at", "_lead", "_context").join(marked, ["_lead", "_context"])
     half = F.sequence(F.lit(0), (F.size("_runs") / 2).cast("int") - 1)
     starts = F.transform(half, lambda k: F.col("_at") - F.get("_runs", 2 * k + 1))
     ends = F.transform(half, lambda k: F.col("_at") - F.get("_runs", 2 * k) + LENGTH)
