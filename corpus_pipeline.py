@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tollguard.llm import jaccard, language, linededup, mixing, tokens
 from tollguard.session import scratch_path, scratch_scope
 
-#: Below this cosine a text resembles none of the languages more than random letters do.
+#: The least cosine of texts too short to be told from random letters.
 LEAST_SCORE = 0.03
 BPE = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -18,14 +18,23 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in a language that the labelled documents teach; the others go.
 
     A document goes if its text is NULL, has no letter, or is as far from every learned language as
-    random letters. Short documents in a language stay, whatever their label says. Where nothing
-    can be learned (no labels), all texts with a letter stay.
+    random letters a to z of its length, whose scores are measured against the same prototypes.
+    Short documents in a language stay, whatever their label says; below 15 letters words and
+    random letters score alike, and only ``LEAST_SCORE`` is asked for. Where nothing can be learned
+    (no labels), all texts with a letter stay.
     """
     prototypes = language.learn(docs)
     found = language.identify(docs, prototypes, lang_pred="_lang_pred", score="_score")
     if not prototypes:
         return docs.filter(docs["text"].rlike(r"\p{L}"))
-    kept = found.filter((found["_lang_pred"] != language.UNDETERMINED) & (found["_score"] >= LEAST_SCORE))
+    noise = language.noise(prototypes)
+    letters = F.length(F.regexp_replace("text", r"\P{L}+", ""))
+    least = F.lit(LEAST_SCORE)
+    for n, top in noise:
+        least = F.when(letters >= n, F.lit(max(top, LEAST_SCORE))).otherwise(least)
+    # letters are counted only where they can matter
+    like = F.when(found["_score"] >= max(top for _, top in noise), True).otherwise(found["_score"] >= least)
+    kept = found.filter((found["_lang_pred"] != language.UNDETERMINED) & like)
     return kept.drop("_lang_pred", "_score")
 
 

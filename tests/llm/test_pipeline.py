@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 
 import duckdb
 import numpy as np
@@ -127,3 +128,13 @@ def test_stages_bear_nulls_repeats_and_empty_tables(spark, rows):
 def test_clean_documents_pass_the_language_stage(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     assert corpus_pipeline.identify_language(spark, docs, SF_DIR).count() == docs.count()
+
+
+def test_random_letters_do_not_pass_the_language_stage(spark):
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(3, 9)))
+    rows = [(-i, " ".join(word() for _ in range(n))) for i, n in enumerate([5, 20, 50, 200, 1000, 5000] * 5, 1)]
+    noise = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").unionByName(noise, allowMissingColumns=True)
+    left = corpus_pipeline.identify_language(spark, docs, SF_DIR)
+    assert left.filter("doc_id < 0").count() == 0 and left.count() == docs.count() - len(rows)

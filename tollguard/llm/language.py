@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 DIMENSIONS, SEED = 1024, 2
 #: The language of texts without a letter.
 UNDETERMINED = "und"
+#: Random texts that tell what no language scores: words, and texts of so many.
+RANDOM_TEXTS = [(5, 400), (20, 300), (50, 200), (200, 100), (1000, 40), (5000, 10)]
 #: What is vectorised at a time: documents, characters, distinct n-grams.
 _DOCS, _CHARS, _GRAMS = 256, 1 << 20, 2048
 
@@ -165,6 +167,25 @@ def predict(texts: list[str | None], prototypes: dict[str, np.ndarray]) -> tuple
     )
 
 
+def noise(prototypes: dict[str, np.ndarray]) -> list[tuple[int, float]]:
+    """(letters, score): what texts of random letters a to z score at most from so many letters on.
+
+    Words have two to nine letters; the same texts are drawn each time. A length counts up to the
+    next but one, as scores rise with it, and a twentieth is added to the highest of the sample.
+    """
+    draw = np.random.Generator(np.random.PCG64(SEED))
+    tops = []
+    for words, texts in RANDOM_TEXTS:
+        sample = []
+        for _ in range(texts):
+            sizes = draw.integers(2, 10, words)
+            letters = "".join(map(chr, draw.integers(97, 123, sizes.sum())))
+            ends = np.cumsum(sizes)
+            sample.append(" ".join(letters[e - n : e] for n, e in zip(sizes, ends)))
+        tops.append(1.05 * max(predict(sample, prototypes)[1]))
+    return [(3 * words, max(tops[i : i + 2])) for i, (words, _) in enumerate(RANDOM_TEXTS)]
+
+
 def identify(
     docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text",
     lang_pred: str = "lang_pred", score: str = "score",
