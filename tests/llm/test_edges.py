@@ -304,6 +304,14 @@ def test_line_dedup_equals_brute_force(spark, bucket):
     assert {r.doc_id: r.text for r in linededup.dedupe_lines(rows, bucket=bucket).collect()} == want
 
 
+def test_line_dedup_takes_exact_copies_of_short_lines(spark):
+    texts = ["Read more\nx\n Read more\r\n\nRead More\nx\n\n" + "a line of more than twenty\n" * 2 + "Read more", "Read more", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = by_id(linededup.dedupe_lines(docs, short_copies=False, n_removed="n_removed"))
+    assert found[0].text == "Read more\nx\n\nRead More\n\na line of more than twenty"
+    assert found[0].n_removed == 4 and found[1].text == "Read more" and found[2].text is None and found[3].text == ""
+
+
 @pytest.mark.parametrize("block", [2, 1024])
 @pytest.mark.parametrize("edits", [(0, 25), (0, 0, 30, 45), (30,)])
 def test_line_dedup_with_more_edits_equals_brute_force(spark, edits, block):

@@ -249,12 +249,13 @@ def _edits_later(lines: DataFrame, docs: DataFrame, edits: Sequence[int], block:
 def dedupe_lines(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 20,
     bucket: int = BUCKET, n_lines: str | None = None, n_removed: str | None = None,
-    edits: Sequence[int] = (0,), block: int = BLOCK,
+    edits: Sequence[int] = (0,), block: int = BLOCK, short_copies: bool = True,
 ) -> DataFrame:
     """``docs`` with the lines removed that an earlier line repeats, exactly or but for a few edits.
 
     Lines are the ``\\n``-parts of the text, compared without blanks at their ends, by code points.
-    Lines shorter than ``min_chars`` are no evidence of copying and always stay. Earlier means: in
+    Lines shorter than ``min_chars`` are no evidence of copying and stay; with ``short_copies=False``
+    only the first of those that are equal and not blank stays in each document. Earlier means: in
     the order of (document id, NULL first; hash of the text; line number). A line goes if any
     earlier line, itself kept or not, is equal or k insertions, deletions or substitutions away at
     most. ``edits`` gives k by the length of the shorter line: its j-th number is the least length
@@ -300,6 +301,15 @@ def dedupe_lines(
     short = F.filter(
         F.transform(parts, lambda s, i: F.when(F.length(F.btrim(s, F.lit(BLANK))) < min_chars, i)), lambda i: i.isNotNull()
     )
+    if not short_copies:
+        # sorted, so the first of equal lines is the one after a different line
+        lines_at = F.array_sort(F.transform(
+            short, lambda i: F.struct(F.btrim(F.get(parts, i), F.lit(BLANK)).alias("line"), i.alias("no"))
+        ))
+        short = _let(lines_at, lambda all_: F.transform(
+            F.filter(all_, lambda s, j: (s["line"] == "") | (j == 0) | (F.get(all_, j - 1)["line"] != s["line"])),
+            lambda s: s["no"],
+        ))
     stay = F.concat(short, F.coalesce("_kept", F.array().cast("array<int>")))
     joined = joined.withColumn("_parts", parts).withColumn("_stay", stay)
     rebuilt = F.array_join(F.transform(F.array_sort("_stay"), lambda i: F.get("_parts", i)), "\n")
