@@ -233,3 +233,19 @@ def test_stream_equals_batch_and_loads_each_file_once(spark, tmp_path):
         statements.read_statements(spark, str(source)), "2024-04-01 00:00:00"
     )
     assert rows(bronze_table.read_bronze(spark, out)) == rows(batch)
+
+
+def test_rejects_are_read_from_whole_statement_files(spark, tmp_path, monkeypatch):
+    from verification import queries
+
+    spark.range(1, 4000).selectExpr(
+        "id AS event_id", "timestamp'2024-01-01 08:00:00' + make_dt_interval(0, 0, id) AS ts", "id % 50 AS user_id",
+        "'view' AS event_type", "id / 7D AS value", "concat('{\"k\": ', id % 100, '}') AS props",
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    read, paths = queries.statements.read_rejected, []
+    monkeypatch.setattr(queries.statements, "read_rejected", lambda s, p, *a: paths.append(p) or read(s, p, *a))
+    rejects = queries.rejected_rows(spark, str(tmp_path))
+    assert {r.record for r in rejects.collect()} == {f"{n * 997}{',' * 17}" for n in (1, 2, 3, 4)}
+    lines = spark.read.text(paths[0])
+    assert lines.filter("value NOT LIKE 'POSTING DATE,%'").count() == 3999
+    assert lines.filter("value LIKE 'POSTING DATE,%'").count() > 1

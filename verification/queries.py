@@ -216,14 +216,20 @@ def stream_after_batch(spark, sf):
 
 @query
 def rejected_rows(spark, sf):
-    """Lines with a field too many, below the header line of their file."""
-    long_lines = _events(spark, sf).filter("event_id % 997 = 0").select(
-        F.lit(1).alias("place"), F.concat(F.col("event_id").cast("string"), F.lit("," * 17)).alias("line")
+    """Lines with a field too many among all other statement lines, in a file for each partition."""
+    events = _events(spark, sf)
+    long = F.coalesce(F.col("event_id") % 997 == 0, F.lit(False))
+    header = ",".join(RAW_COLUMNS)
+    long_lines = events.filter(long).select(
+        F.concat(F.col("event_id").cast("string"), F.lit("," * 17)).alias(header)
+    )
+    lines = adapter.statements(events.filter(~long)).select(
+        F.to_csv(F.struct(*[F.col(f"`{c}`") for c in RAW_COLUMNS])).alias(header)
     )
-    header = spark.range(1).select(F.lit(0).alias("place"), F.lit(",".join(RAW_COLUMNS)).alias("line"))
     path = scratch_path(spark, "long-lines")
-    lines = header.unionByName(long_lines).repartition(1).sortWithinPartitions("place")
-    lines.select("line").write.text(path)
+    # one column of whole lines, written as they are, below its name as the header line
+    whole = lines.unionByName(long_lines).repartition(spark.sparkContext.defaultParallelism)
+    whole.write.csv(path, header=True, sep="\x01", quote="")
     return statements.read_rejected(spark, path, LOADED_AT).drop("source_file")
 
 
