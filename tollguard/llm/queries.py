@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tollguard.llm import jaccard, language, linededup, mixing, quality, repeats, tokens, topk, warc, wrappers
+from tollguard.llm import (
+    jaccard, language, lexical, linededup, mixing, quality, repeats, simhash, tokens, topk, variants, warc, wrappers,
+)
 from tollguard.llm.base import n_words
 from tollguard.session import scratch_path
 
@@ -87,6 +89,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(docs, size=F.col("words")).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(_table(spark, sf_dir, "documents"))
+
+
 OP3 = r"""
 WITH raw AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
 starts AS (
@@ -242,6 +256,77 @@ SELECT doc_id, size, source_size, target,
 FROM each
 """
 
+OP11 = r"""
+WITH terms AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents),
+totals AS (
+  SELECT count(*) AS docs, sum(len(t))::BIGINT AS total FROM terms WHERE len(t) > 0),
+held AS (
+  SELECT doc_id, any_value(n) AS n, term, count(*) AS tf
+  FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM terms) GROUP BY doc_id, term),
+frequent AS (SELECT term, count(*) AS df FROM held GROUP BY term),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+weighted AS (
+  SELECT item_id, term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM asked JOIN frequent USING (term), totals),
+scored AS (
+  SELECT item_id, doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // total)))))::BIGINT AS score
+  FROM weighted JOIN held USING (term), totals GROUP BY item_id, doc_id),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM placed WHERE rank <= 10
+"""
+
+OP13 = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+  GROUP BY ALL HAVING length(any_value(run)) >= 6),
+bytes AS (
+  SELECT doc_id, run, c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM runs),
+summed AS (
+  SELECT doc_id, run, c, xor(4294967295, list_reduce(
+    list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+    lambda a, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0],
+      lambda x, z: xor(x >> 1, (x & 1) * 3988292384), xor(a, b)),
+    4294967295::BIGINT)) AS crc
+  FROM bytes),
+spelt AS (
+  SELECT CASE WHEN crc % 199 = 0
+      THEN left(run, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, c
+  FROM summed),
+words AS (
+  SELECT word, sum(c)::BIGINT AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+cut AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS part
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n
+  FROM cut a JOIN cut b ON a.part = b.part AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.part = w.word
+  UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.part = w.word),
+best AS (
+  SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near FROM near
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+formed AS (
+  SELECT w.word, n, coalesce(n_near, 0)::BIGINT AS n_near,
+    CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+chains AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL SELECT c.word, f.form FROM chains c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT formed.word, n, n_near, form, form_n, root
+FROM formed JOIN (
+  SELECT c.word, c.root FROM chains c JOIN formed f ON f.word = c.root WHERE f.form IS NULL) USING (word)
+"""
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
@@ -253,6 +338,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_main_text": op9_main_text,
     "op10_mixing": op10_mixing,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_simhash": op12_simhash,
+    "op13_variants": op13_variants,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -263,4 +351,6 @@ ORACLES = {
     "op7_warc": OP7,
     "op8_line_dedup": OP8,
     "op10_mixing": OP10,
+    "op11_lexical_search": OP11,
+    "op13_variants": OP13,
 }
