@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +20,26 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def portions(
+    batches: Iterator[pa.RecordBatch], text: int, rows: int = 256, size: int = 1 << 20
+) -> Iterator[pa.RecordBatch]:
+    """The batches cut into parts of at most ``rows`` rows, and of about ``size`` bytes of the column
+    ``text`` unless one value is larger, so that a worker has few texts as Python objects at a time.
+    Memory that Arrow holds back goes to the system after each batch."""
+    for batch in batches:
+        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+        low = held = 0
+        for i, n in enumerate(lengths):
+            if i > low and (i - low >= rows or held + n > size):
+                yield batch.slice(low, i - low)
+                low, held = i, 0
+            held += n
+        if low < batch.num_rows:
+            yield batch.slice(low)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def ranked(df: DataFrame, *order: Column, name: str = "_rank") -> DataFrame:
     """``df`` with its exact position (from 0) in the order of ``order``, and no single-task sort.
 

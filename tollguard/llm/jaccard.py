@@ -1,18 +1,19 @@
-"""N-gram Jaccard join with a MinHash LSH forest and exact verification."""
+"""N-gram Jaccard join: MinHash bands of a fixed depth and exact verification."""
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tollguard.llm.base import portions
 from tollguard.llm.rolling import Rolling, mixed, odd_numbers
 from tollguard.session import materialize
 
@@ -24,7 +25,8 @@ TREES, DEPTH, RECALL = 24, 8, 0.9999
 SMALL, BLOCK = 16, 128
 #: Rows of (id, hash) that are broadcast to fetch texts; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
-_PIECE = 1 << 20
+_PIECE = 1 << 18
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def prefix_length(similarity: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -60,9 +62,34 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The shingle hashes of all texts in a row, and how many each text has.
 
     A text of fewer words than a shingle has one, of all its words; one without words has none.
+    Long texts are read in pieces that repeat the last words of the piece before.
     """
+    if len(texts) == 1 and len(texts[0]) > _PIECE:
+        found = [_shingles([raw])[0] for raw in _overlapping(texts[0].encode())]
+        whole = np.concatenate([*found, np.zeros(0, dtype=np.uint64)])
+        return whole, np.array([len(whole)])
+    return _shingles([t.encode() for t in texts])
+
+
+def _overlapping(raw: bytes) -> Iterator[bytes]:
+    """The words of a text in pieces of a shingle or more, each with the last words of the piece
+    before; a text of fewer words is one piece."""
+    at, carry, first = 0, [], True
+    while at < len(raw):
+        blank = _BLANK.search(raw, at + _PIECE)
+        end = blank.start() if blank else len(raw)
+        words, at = carry + raw[at:end].split(), end
+        if len(words) >= SHINGLE:
+            yield b" ".join(words)
+            words, first = words[1 - SHINGLE :], False
+        carry = words
+    if first and carry:
+        yield b" ".join(carry)
+
+
+def _shingles(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``shingles`` of texts read whole."""
     c = _constants()
-    raws = [t.encode() for t in texts]
     words, start = _word_hashes(b"\n".join(raws))
     ends = np.cumsum([len(r) + 1 for r in raws])
     upto = np.searchsorted(start, ends)
@@ -80,11 +107,6 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(joined[keep]), counts
 
 
-def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in parts, so that few texts are Python objects at a time."""
-    return (b.slice(low, rows) for b in batches for low in range(0, b.num_rows, rows))
-
-
 def _groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of about a piece in total, with the number of the first."""
     low, size = 0, 0
@@ -121,7 +143,7 @@ def _signatures(docs: DataFrame, length: int) -> DataFrame:
     schema = T.StructType([*fields, T.StructField("_labels", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
+        for batch in portions(batches, 2, 512):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             for low, part in _groups(texts):
                 values, counts = shingles(part)
@@ -153,7 +175,7 @@ def _sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     ).select("_node", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
+        for batch in portions(batches, 1, 512):
             for low, part in _groups(batch.column(1).to_pylist()):
                 values, counts = shingles(part)
                 sets = [np.unique(v).astype(np.int64) for v in np.split(values, np.cumsum(counts)[:-1])]
@@ -182,31 +204,33 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _compare_block(group: pd.DataFrame) -> pd.DataFrame:
+def _compare_block(group: pa.Table) -> pa.Table:
     """All pairs of one block, or between two blocks, of a bucket: for each text its links (texts
     and documents) and one of the texts that its links connect it with.
 
     A pair is taken in the first of the large buckets that both are in, and nowhere else.
     """
-    label, i, j = (group[c].iloc[0] for c in ("_label", "_i", "_j"))
-    group = group.sort_values("_node").reset_index(drop=True)
-    a, b = group[group["_block"] == i], group[group["_block"] == j]
+    label, i, j = (group[c][0].as_py() for c in ("_label", "_i", "_j"))
+    group = group.sort_by("_node")
+    block = group["_block"].to_numpy()
+    a, b = (group.filter(pa.array(block == k)) for k in (i, j))
     out = {"_node": [], "_with": [], "_texts": [], "_docs": []}
-    if len(a) and len(b):
-        n_a, n_b = (np.array([len(s) for s in x["_set"]]) for x in (a, b))
-        common = _common(list(a["_set"]), list(b["_set"]))
+    if a.num_rows and b.num_rows:
+        sets = [[v.values.to_numpy() for v in x["_set"]] for x in (a, b)]
+        n_a, n_b = (np.array([len(v) for v in x]) for x in sets)
+        common = _common(*sets)
+        a_nodes, b_nodes = a["_node"].to_numpy(), b["_node"].to_numpy()
         num, den = SIMILARITY
         linked = den * common >= num * (n_a[:, None] + n_b[None, :] - common)
         if i == j:
             np.fill_diagonal(linked, False)
-        hot_b = [set(h) for h in b["_hot"]]
-        for x, hot in enumerate(a["_hot"]):
+        hot_b = [set(h) for h in b["_hot"].to_pylist()]
+        for x, hot in enumerate(a["_hot"].to_pylist()):
             before = [h for h in hot if h < label]
             for y in np.flatnonzero(linked[x]):
                 if any(h in hot_b[y] for h in before):
                     linked[x, y] = False
-        nodes = np.concatenate([a["_node"], b["_node"]]) if i != j else a["_node"].to_numpy()
-        parent = {n: n for n in nodes}
+        parent = {n: n for n in [*a_nodes, *b_nodes]}
 
         def root(n):
             while parent[n] != n:
@@ -214,16 +238,16 @@ def _compare_block(group: pd.DataFrame) -> pd.DataFrame:
             return n
 
         for x, y in zip(*np.nonzero(linked)):
-            p, q = sorted((root(a["_node"].iat[x]), root(b["_node"].iat[y])))
+            p, q = sorted((root(a_nodes[x]), root(b_nodes[y])))
             parent[q] = p
-        sides = [(a, linked, b)] if i == j else [(a, linked, b), (b, linked.T, a)]
-        for own, links, other in sides:
+        sides = [(a_nodes, linked, b), (b_nodes, linked.T, a)]
+        for own, links, other in sides[: 1 if i == j else 2]:
             texts, docs = links.sum(axis=1), links @ other["_copies"].to_numpy()
             for k in np.flatnonzero(texts):
-                node = own["_node"].iat[k]
+                node = own[k]
                 for name, v in zip(out, (node, root(node), texts[k], docs[k])):
                     out[name].append(v)
-    return pd.DataFrame(out).astype(np.int64)
+    return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
 
 def _large(entries: DataFrame, block: int) -> DataFrame:
@@ -235,7 +259,7 @@ def _large(entries: DataFrame, block: int) -> DataFrame:
         lambda k: F.struct(F.least(k, F.col("_block")).alias("_i"), F.greatest(k, F.col("_block")).alias("_j")),
     )
     rows = rows.select("_label", "_node", "_block", "_set", "_copies", "_hot", F.inline(mates))
-    return rows.groupBy("_label", "_i", "_j").applyInPandas(
+    return rows.groupBy("_label", "_i", "_j").applyInArrow(
         _compare_block, "_node long, _with long, _texts long, _docs long"
     )
 

@@ -6,12 +6,13 @@ from collections.abc import Iterator
 from functools import cache, lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tollguard.llm.base import portions
+
 #: Length of a hypervector, and the seed of the letters' random vectors.
 DIMENSIONS, SEED = 1024, 2
 #: The language of texts without a letter.
@@ -19,7 +20,7 @@ UNDETERMINED = "und"
 #: Random texts that tell what no language scores: words, and texts of so many.
 RANDOM_TEXTS = [(5, 400), (20, 300), (50, 200), (200, 100), (1000, 40), (5000, 10)]
 #: What is vectorised at a time: documents, characters, distinct n-grams.
-_DOCS, _CHARS, _GRAMS = 256, 1 << 20, 2048
+_DOCS, _CHARS, _GRAMS = 256, 1 << 17, 1024
 
 
 @cache
@@ -53,7 +54,7 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(alphabet)
     left, mid, right = (number[codes[at + d]] for d in (-1, 0, 1))
     gram = (left * n + mid) * n + right
-    if n**3 <= 1 << 22:
+    if n**3 <= 1 << 18:
         found = np.zeros(n**3, dtype=bool)
         found[gram] = True
         distinct = np.flatnonzero(found)
@@ -124,23 +125,24 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     lost tasks change nothing. The driver receives one vector per label.
     """
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            langs = batch["_lang"].tolist()
-            for numbers, parts in _pieces(batch["_text"].tolist()):
-                doc, gram, letters = _grams(parts)
+        for batch in portions(batches, 0):
+            langs = batch.column(1).to_pylist()
+            for numbers, texts in _pieces(batch.column(0).to_pylist()):
+                doc, gram, letters = _grams(texts)
                 names = sorted({langs[i] for i in numbers})
                 of = np.array([names.index(langs[i]) for i in numbers])
                 for name, v in zip(names, _bundles(of[doc], gram, letters, len(names), np.float64)):
                     sums[name] = sums.get(name, 0) + v
         for name, v in sums.items():
-            yield pd.DataFrame({"lang": name, "dim": range(DIMENSIONS), "value": v.astype(np.int64)})
+            columns = [pa.array([name] * DIMENSIONS), pa.array(range(DIMENSIONS), pa.int32()), pa.array(v.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "dim", "value"])
 
     labelled = docs.select(
         F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`").cast("string").alias("_lang")
     ).dropna()
-    sums = labelled.mapInPandas(partial, "lang string, dim int, value long")
+    sums = labelled.mapInArrow(partial, "lang string, dim int, value long")
     rows = sums.groupBy("lang", "dim").agg(F.sum("value").alias("value")).collect()
     prototypes: dict[str, np.ndarray] = {}
     for r in rows:
@@ -203,7 +205,7 @@ def identify(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(low, _DOCS) for b in batches for low in range(0, b.num_rows, _DOCS)):
+        for batch in portions(batches, place, _DOCS):
             names, scores = predict(batch.column(place).to_pylist(), prototypes)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],

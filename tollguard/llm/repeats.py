@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tollguard.llm.base import portions
 from tollguard.llm.rolling import Rolling, mixed
 from tollguard.session import materialize
 
@@ -23,8 +24,8 @@ BROADCAST_ROWS = 500_000
 _PER_ROW = 32
 #: Suffixes of a bucket that are compared in one task; larger buckets are compared by shuffle.
 BUCKET = 50_000
-_PIECE = 1 << 20
-_ROWS = 4096
+#: Bytes read at a time, and contexts compared at a time.
+_WINDOW, _ROWS = 1 << 16, 4096
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -40,36 +41,42 @@ def anchors(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which suffixes stand for the others: number of the text, start, and hash of the lead.
 
     In each string of ``LENGTH`` bytes the leads with the smallest hash are chosen, so two equal
-    strings hold chosen suffixes at the same places. About one suffix in fifty is.
+    strings hold chosen suffixes at the same places. About one suffix in fifty is. What decides on
+    a lead is less than ``LENGTH`` bytes away, so the texts are read in windows with that margin.
     """
     sizes = np.array([len(r) for r in raws], dtype=np.int64)
-    if not len(sizes) or sizes.max() < LENGTH:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none
-    data = np.frombuffer(b"".join(raws), dtype=np.uint8)
-    n = len(data) - LEAD + 1
-    lead = Rolling(data).ranges(slice(0, n), slice(LEAD, LEAD + n))
-    ends = np.cumsum(sizes)
-    doc = np.repeat(np.arange(len(raws)), sizes)
-    left = ends[doc[:n]] - np.arange(n)  # bytes up to the end of the text
-    least = _sliding(lead, _ROOM + 1, np.minimum)
-    least[left[: len(least)] < LENGTH] = 0  # no string of that length starts here
+    none = np.zeros(0, dtype=np.int64)
+    found = [(none, none, none)]
+    if len(sizes) and sizes.max() >= LENGTH:
+        data = np.frombuffer(b"".join(raws), dtype=np.uint8)
+        ends = np.cumsum(sizes)
+        for low in range(0, len(data) - LEAD + 1, _WINDOW):
+            found.append(_anchors_between(data, ends, sizes, low, low + _WINDOW))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _anchors_between(
+    data: np.ndarray, ends: np.ndarray, sizes: np.ndarray, low: int, high: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``anchors`` that start from ``low`` on and before ``high``."""
+    first = max(0, low - _ROOM)
+    part = data[first : high + LENGTH]
+    n = len(part) - LEAD + 1
+    lead = Rolling(part).ranges(slice(0, n), slice(LEAD, LEAD + n))
+    place = np.arange(first, first + n)
+    doc = np.searchsorted(ends, place, side="right")
+    left = ends[doc] - place  # bytes up to the end of the text
+    if n <= _ROOM:
+        least = np.zeros(0, dtype=np.uint64)
+    else:
+        least = _sliding(lead, _ROOM + 1, np.minimum)
+        least[left[: len(least)] < LENGTH] = 0  # no string of that length starts here
     # a lead is chosen if it is the smallest of a string that starts up to _ROOM bytes before it
-    padded = np.concatenate([np.zeros(_ROOM, dtype=np.uint64), least, np.zeros(max(0, n - len(least)), dtype=np.uint64)])
+    padded = np.concatenate([np.zeros(_ROOM, dtype=np.uint64), least, np.zeros(n - len(least), dtype=np.uint64)])
     reached = _sliding(padded, _ROOM + 1, np.maximum)[:n]
-    at = np.flatnonzero((reached == lead[: len(reached)]) & (left[: len(reached)] >= LEAD))
-    return doc[at], at - (ends - sizes)[doc[at]], lead[at].astype(np.int64)
-
-
-def _batches(rows: list) -> Iterator[tuple[int, int]]:
-    low = size = 0
-    for i, r in enumerate(rows):
-        if size and size + len(r) > _PIECE:
-            yield low, i
-            low, size = i, 0
-        size += len(r)
-    if rows:
-        yield low, len(rows)
+    inside = (place >= low) & (place < high)
+    at = np.flatnonzero((reached == lead) & (left >= LEAD) & inside)
+    return doc[at], place[at] - (ends - sizes)[doc[at]], lead[at].astype(np.int64)
 
 
 def _lists(values: np.ndarray, owner: np.ndarray, n: int, kind) -> pa.ListArray:
@@ -81,15 +88,13 @@ def _chosen(texts: DataFrame) -> DataFrame:
     """(_t1, _t2, _leads, _places) of each row of (_t1, _t2, _bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raws = batch.column(2).to_pylist()
-            for low, high in _batches(raws):
-                doc, at, lead = anchors(raws[low:high])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low),
-                     _lists(lead, doc, high - low, pa.int64()), _lists(at, doc, high - low, pa.int32())],
-                    names=["_t1", "_t2", "_leads", "_places"],
-                )
+        for batch in portions(batches, 2, _ROWS):
+            n = batch.num_rows
+            doc, at, lead = anchors(batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], _lists(lead, doc, n, pa.int64()), _lists(at, doc, n, pa.int32())],
+                names=["_t1", "_t2", "_leads", "_places"],
+            )
 
     return texts.mapInArrow(run, "_t1 long, _t2 long, _leads array<long>, _places array<int>")
 
@@ -99,15 +104,22 @@ def _context_hashes(raws: list[bytes], wanted: list[list[int]]) -> tuple[np.ndar
     to ``_ROOM`` bytes before and ``LENGTH`` from its start), and how many bytes stand before and
     from its start on there."""
     sizes = np.array([len(r) for r in raws], dtype=np.int64)
-    first = np.cumsum(sizes) - sizes
     doc = np.repeat(np.arange(len(raws)), [len(w) for w in wanted])
-    at = np.array([x for w in wanted for x in w], dtype=np.int64)
-    rolling = Rolling(np.frombuffer(b"".join(raws), dtype=np.uint8))
-    here = first[doc] + at
+    at = np.concatenate([np.zeros(0, dtype=np.int64), *(np.sort(w) for w in wanted)]).astype(np.int64)
+    here = (np.cumsum(sizes) - sizes)[doc] + at
     before = np.minimum(at, _ROOM)
     after = np.minimum(sizes[doc] - at, LENGTH)
-    lead = rolling.ranges(here, here + LEAD)
-    context = mixed(rolling.ranges(here - before, here + after) + before.astype(np.uint64))
+    data = np.frombuffer(b"".join(raws), dtype=np.uint8)
+    lead, context = np.zeros(len(at), dtype=np.uint64), np.zeros(len(at), dtype=np.uint64)
+    edges = np.searchsorted(here, np.arange(0, len(data) + _WINDOW, _WINDOW))
+    for a, b in zip(edges[:-1], edges[1:]):
+        if a == b:
+            continue
+        first = max(0, here[a] - _ROOM)
+        rolling = Rolling(data[first : here[b - 1] + LENGTH])
+        own = here[a:b] - first
+        lead[a:b] = rolling.ranges(own, own + LEAD)
+        context[a:b] = mixed(rolling.ranges(own - before[a:b], own + after[a:b]) + before[a:b].astype(np.uint64))
     return doc, at, lead.astype(np.int64), context.astype(np.int64), before, after
 
 
@@ -119,16 +131,15 @@ def _members(texts: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raws, wanted = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for low, high in _batches(raws):
-                doc, at, lead, context, before, after = _context_hashes(raws[low:high], wanted[low:high])
-                owner = pa.array(doc + low)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at, pa.int32()), pa.array(lead),
-                     pa.array(context), pa.array(LENGTH - after, pa.int32()), pa.array(before, pa.int32())],
-                    names=["_t1", "_t2", "_at", "_lead", "_context", "_low", "_high"],
-                )
+        for batch in portions(batches, 2, _ROWS):
+            raws, wanted = batch.column(2).to_pylist(), [w.values.to_numpy() for w in batch.column(3)]
+            doc, at, lead, context, before, after = _context_hashes(raws, wanted)
+            owner = pa.array(doc)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at, pa.int32()), pa.array(lead),
+                 pa.array(context), pa.array(LENGTH - after, pa.int32()), pa.array(before, pa.int32())],
+                names=["_t1", "_t2", "_at", "_lead", "_context", "_low", "_high"],
+            )
 
     return texts.mapInArrow(
         run, "_t1 long, _t2 long, _at int, _lead long, _context long, _low int, _high int"
@@ -139,13 +150,14 @@ def _contexts(texts: DataFrame) -> DataFrame:
     """(_lead, _context, _before, _suffix): the bytes of each suffix of (.., _bytes, _wanted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raws, wanted = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for low, high in _batches(raws):
-                doc, at, lead, context, _, _ = _context_hashes(raws[low:high], wanted[low:high])
-                places = list(zip((doc + low).tolist(), at.tolist()))
+        for batch in portions(batches, 2, _ROWS):
+            raws, wanted = batch.column(2).to_pylist(), [w.values.to_numpy() for w in batch.column(3)]
+            doc, at, lead, context, _, _ = _context_hashes(raws, wanted)
+            for low in range(0, len(at), _ROWS):
+                some = slice(low, low + _ROWS)
+                places = list(zip(doc[some].tolist(), at[some].tolist()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lead), pa.array(context),
+                    [pa.array(lead[some]), pa.array(context[some]),
                      pa.array([raws[i][max(0, p - _ROOM) : p] for i, p in places], pa.binary()),
                      pa.array([raws[i][p : p + LENGTH] for i, p in places], pa.binary())],
                     names=["_lead", "_context", "_before", "_suffix"],
@@ -376,7 +388,7 @@ def remove_repeats(
     ready = ready.select("_row", "_bytes", "_whole", "_edges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 1):
             sizes, spans, left = [], [], []
             for raw, whole, found in zip(*(batch.column(k).to_pylist() for k in range(1, 4))):
                 found = [0, len(raw)] if whole else found or []

@@ -39,7 +39,7 @@ class Rolling:
 
     def __init__(self, data: np.ndarray) -> None:
         n = data.shape[-1]
-        up, self.down = _powers(1 << max(20, int(n).bit_length()))
+        up, self.down = _powers(1 << max(18, int(n).bit_length()))
         self.total = np.zeros((*data.shape[:-1], n + 1), dtype=np.uint64)
         np.cumsum(_fixed()[0][data] * up[:n], axis=-1, out=self.total[..., 1:])
 
