@@ -40,7 +40,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
@@ -57,12 +57,12 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _scopes.remove(folder)
-        _remove(spark, folder)
+        remove(spark, folder)
 
 
 def remove_scratch(spark: SparkSession) -> None:
     """Remove all scratch tables of this application; nothing may read them after."""
-    _remove(spark, f"{shared_dir(spark)}/tollguard/{spark.sparkContext.applicationId}")
+    remove(spark, f"{shared_dir(spark)}/tollguard/{spark.sparkContext.applicationId}")
 
 
 def require_utc(spark: SparkSession) -> None:

@@ -11,12 +11,13 @@ from pyspark.sql import types as T
 from tollguard import lookups
 from tollguard.functions import cleaning
 from tollguard.schemas import BRONZE_COLUMNS, CORRUPT_COLUMN, RAW_COLUMNS, RAW_TO_BRONZE
+from tollguard.session import materialize
+from tollguard.sources import records
 
 MAX_BAD_ROWS = 100
 
 CSV_OPTIONS = {
     "header": True,
-    "multiLine": True,
     "quote": '"',
     "escape": '"',
     "mode": "PERMISSIVE",
@@ -44,8 +45,7 @@ def is_bad_row(headers: Sequence[str] = RAW_COLUMNS) -> Column:
 
 def has_quoted_newlines(spark: SparkSession, path: str | list[str]) -> bool:
     """Whether some line holds an odd number of quotes, so that a quoted field goes on after it."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+    return not records.quote_parity(spark, path).filter("_quoted = 1").isEmpty()
 
 
 def scan_statements(
@@ -56,14 +56,22 @@ def scan_statements(
 ) -> DataFrame:
     """Statement rows as text with ``source_name``, the file they came from.
 
-    Quoted newlines are kept. Files with them take one task each, because a quoted newline cannot
-    be told from a row end in the middle of a file; without them, large files are split. Unless
-    told, a pass over the lines finds out.
+    Files are split, and quoted newlines are kept also where they cross splits. Unless told that
+    there are none, a pass over the lines counts the quotes of each split; only if some line holds
+    an odd number, a second one puts the records together (``sources.records``) and stores them.
     """
-    if quoted_newlines is None:
-        quoted_newlines = has_quoted_newlines(spark, path)
-    options = CSV_OPTIONS | {"multiLine": quoted_newlines}
-    rows = spark.read.schema(statement_schema(headers)).options(**options).csv(path)
+    schema = statement_schema(headers)
+    if quoted_newlines is not False:
+        parity = materialize(records.quote_parity(spark, path))
+        if not parity.filter("_quoted = 1").isEmpty():
+            parts = materialize(records.read_records(spark, path, parity, headers))
+            whole = records.whole_records(parts)
+            ddl = ", ".join(f"`{f.name}` string" for f in schema.fields)
+            options = {k: str(v) for k, v in CSV_OPTIONS.items() if k in ("quote", "escape", "mode", "columnNameOfCorruptRecord")}
+            rows = whole.select("path", F.from_csv("record", ddl, options).alias("_row"))
+            names = parity.select(F.col("_path").alias("path"), "_name").distinct()
+            return rows.join(F.broadcast(names), "path").select("_row.*", F.col("_name").alias("source_name"))
+    rows = spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
     return rows.withColumn("source_name", F.col("_metadata.file_name"))
 
 

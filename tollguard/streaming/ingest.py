@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tollguard.sources.bronze import bronze_columns
-from tollguard.sources.statements import (
-    CSV_OPTIONS, MAX_BAD_ROWS, is_bad_row, normalize, rejected, statement_schema, within_budget,
-)
+from tollguard.sources import ledger
+from tollguard.sources.load import write_load
+from tollguard.sources.statements import CSV_OPTIONS, MAX_BAD_ROWS, statement_schema
 
 
 def stream_statements(
@@ -26,27 +26,32 @@ def stream_statements(
 ) -> StreamingQuery:
     """Load every statement file in ``source`` not loaded before, then stop.
 
-    The checkpoint remembers finished files. A batch writes a folder of its own below ``bronze``,
-    named by checkpoint and batch, and writes it over if the batch runs again, so a restart
-    neither loses nor repeats a file and batch loads into the same table stay visible. Bad rows
-    follow the batch read: more than ``max_bad_rows`` of them stop the batch, and they go to
-    ``rejects`` if that is given.
+    A batch is a load in the ledger of ``bronze``, named by checkpoint and batch number: files that a
+    batch load or another stream has committed are left out, a batch that runs again writes its load
+    over, or nothing if it was committed. Bad rows follow the batch load: more than ``max_bad_rows``
+    of them stop the batch, and they go to ``rejects`` if that is given.
     """
     stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
     rows = (
         spark.readStream.schema(statement_schema())
         .options(**CSV_OPTIONS | {"multiLine": quoted_newlines}).csv(source)
-        .withColumn("source_name", F.col("_metadata.file_name"))
+        .withColumns({
+            "source_name": F.col("_metadata.file_name"), "path": F.col("_metadata.file_path"),
+            "length": F.col("_metadata.file_size"), "modified": F.col("_metadata.file_modification_time"),
+        })
     )
 
     def load(batch: DataFrame, number: int) -> None:
-        bad = is_bad_row()
-        within_budget(batch.filter(bad), source, max_bad_rows)
-        name = f"stream-{stream}-{number}"
-        if rejects:
-            rejected(batch.filter(bad), loaded_at).write.mode("overwrite").parquet(f"{rejects}/{name}")
-        good = normalize(batch.filter(~bad), loaded_at)
-        bronze_columns(good).write.mode("overwrite").parquet(f"{bronze}/{name}")
+        spark, name = batch.sparkSession, f"stream-{stream}-{number}-"
+        ledger.recover(spark, bronze, rejects)
+        if ledger.is_committed(spark, bronze, name):
+            return
+        load_id = name + uuid.uuid4().hex[:12]  # another for each attempt
+        files = batch.select(*ledger.FILE_KEY).distinct()
+        ledger.stage(ledger.new_files(files, ledger.read_ledger(spark, bronze)), bronze, load_id)
+        taken = ledger.read_ledger(spark, bronze).filter(F.col("load_id") == load_id).select("path").distinct()
+        fresh = batch.join(taken, "path", "left_semi").drop(*ledger.FILE_KEY)
+        write_load(fresh, bronze, load_id, loaded_at, rejects, max_bad_rows, source)
 
     return (
         rows.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)

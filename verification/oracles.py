@@ -438,6 +438,12 @@ _add("stream_after_batch", """SELECT * EXCLUDE (source_file) FROM bronze
   UNION ALL BY NAME SELECT * EXCLUDE (source_file) FROM bronze WHERE entry_lane = '1'""", BRONZE)
 ORACLES["rejected_rows"] = """SELECT event_id || repeat(',', 17) AS record,
   '2024-02-01 00:00:00' AS loaded_at FROM events WHERE event_id % 997 = 0"""
+_add("read_quoted_statements", """SELECT * REPLACE (DESCRIPTION || ' "x",' || chr(10) || 'of ' || AGENCY AS DESCRIPTION)
+  FROM statements""", BRONZE)
+_add("ledger_load", """SELECT tag_plate_number, transaction_date, exit_time, amount, loaded_at,
+  NULL::VARCHAR AS record FROM normalized WHERE event_id % 997 <> 0
+  UNION ALL SELECT NULL, NULL, NULL, NULL, '2024-02-01 00:00:00', event_id || repeat(',', 17)
+  FROM events WHERE event_id % 997 = 0""", BRONZE)
 _add("load_statements", f"""SELECT count(*) AS total_rows, min(transaction_date) AS earliest_transaction,
   max(transaction_date) AS latest_transaction,
   sum(round({_number('amount')} * 100)::BIGINT)::DOUBLE / 100 AS total_amount FROM normalized""", BRONZE)

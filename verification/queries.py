@@ -233,6 +233,51 @@ def rejected_rows(spark, sf):
     return statements.read_rejected(spark, path, LOADED_AT).drop("source_file")
 
 
+def _lines(rows, path, spark):
+    """Rows of one column, whole lines below the header line, as they are."""
+    rows.repartition(spark.sparkContext.defaultParallelism).write.csv(path, header=True, sep="\x01", quote="")
+
+
+@query
+def read_quoted_statements(spark, sf):
+    """Every description holds a quoted newline; files are split nevertheless."""
+    broken = F.concat("DESCRIPTION", F.lit(' "x",\nof '), "AGENCY")
+    path = scratch_path(spark, "quoted")
+    _statements(spark, sf).withColumn("DESCRIPTION", broken).write.options(
+        header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"'
+    ).csv(path)
+    return statements.read_statements(spark, path).drop("source_name")
+
+
+@query
+def ledger_load(spark, sf):
+    """Batch, stream, batch and another stream over one folder, to which files of bad lines only are
+    added after the first: each row and each reject once."""
+    events, header = _events(spark, sf), ",".join(RAW_COLUMNS)
+    long = F.coalesce(F.col("event_id") % 997 == 0, F.lit(False))
+    good = adapter.statements(events.filter(~long)).select(
+        F.to_csv(
+            F.struct(*[F.col(f"`{c}`") for c in RAW_COLUMNS]),
+            {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"},
+        ).alias(header)
+    )
+    bad = events.filter(long).select(F.concat(F.col("event_id").cast("string"), F.lit("," * 17)).alias(header))
+    source, bronze, rejects = (scratch_path(spark, n) for n in ("ledger-in", "ledger", "ledger-rejects"))
+    states = [scratch_path(spark, "ledger-state") for _ in range(2)]
+    allowed = events.count()
+    _lines(good, f"{source}/good", spark)
+    load.load_statements(spark, f"{source}/*", bronze, rejects, LOADED_AT, allowed)
+    _lines(bad, f"{source}/bad", spark)
+    stream_statements(spark, f"{source}/*", bronze, states[0], LOADED_AT, rejects, allowed).awaitTermination()
+    load.load_statements(spark, f"{source}/*", bronze, rejects, LOADED_AT, allowed)
+    stream_statements(spark, f"{source}/*", bronze, states[1], LOADED_AT, rejects, allowed).awaitTermination()
+    rows = bronze_table.read_bronze(spark, bronze).select(
+        "tag_plate_number", "transaction_date", "exit_time", "amount", "loaded_at", F.lit(None).cast("string").alias("record")
+    )
+    kept = spark.read.schema("record string, loaded_at string").parquet(rejects)
+    return rows.unionByName(kept.select("loaded_at", "record"), allowMissingColumns=True)
+
+
 @query
 def load_statements(spark, sf):
     """The load as one step, run again without new files."""
