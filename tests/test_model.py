@@ -93,15 +93,26 @@ def test_expected_path():
     assert forest.expected_path(256) == pytest.approx(10.2448, abs=1e-4)
 
 
-def test_tree_isolates_every_row_within_its_depth():
-    x = np.array([[0.0], [1.0], [2.0], [100.0]])
-    nodes = forest.grow_tree(x, np.random.default_rng(0), 10)
-    leaves = [n for n in nodes if n[3] == n[0]]
-    assert len(leaves) == 4 and len(nodes) == 7
-    shallow = forest.grow_tree(x, np.random.default_rng(0), 1)
-    assert len(shallow) == 3
-    same = forest.grow_tree(np.ones((5, 2)), np.random.default_rng(0), 8)
-    assert same == [(0, 0, np.inf, 0, 0, forest.expected_path(5))]
+def test_tree_isolates_every_row_within_its_depth(spark):
+    df = spark.createDataFrame([(t, x, 3.0) for t in (0, 1) for x in (0.0, 1.0, 2.0, 100.0)], "tree int, x double, same double")
+    nodes = forest.grow_trees(df, ["same", "x"], 10).collect()
+    for t in (0, 1):
+        own = {n.node: n for n in nodes if n.tree == t}
+        leaves = [n for n in own.values() if n.left == n.node]
+        assert len(own) == 7 and len(leaves) == 4 and all(n.feature == 1 for n in own.values() if n not in leaves)
+        assert all({n.left, n.right} <= set(own) for n in own.values())
+        # one row each, as deep as its number in the heap says
+        assert all(n.path == (n.node + 1).bit_length() - 1 for n in leaves)
+    shallow = forest.grow_trees(df, ["same", "x"], 1).collect()
+    assert len(shallow) == 6
+    same = forest.grow_trees(df, ["same"], 8).collect()
+    assert [tuple(n) for n in same if n.tree == 0] == [(0, 0, 0, np.inf, 0, 0, pytest.approx(forest.expected_path(4)))]
+
+
+def test_trees_grow_without_a_shuffle_per_level_and_without_python(spark):
+    df = spark.range(500).selectExpr("cast(id % 5 as int) AS tree", "id * id % 97 / 7D AS x", "id % 11 / 1D AS y")
+    plan = forest.grow_trees(df, ["x", "y"], 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(tree") <= 2 and "Python" not in plan and "Pandas" not in plan
 
 
 def test_scores_follow_a_hand_built_tree():

@@ -1,8 +1,8 @@
-"""Isolation forest on Spark: trees grown in parallel, rows scored in parallel.
+"""Isolation forest on Spark: all trees grown level by level, rows scored in parallel.
 
-Sampling goes by a hash of the row id, so the forest depends on the seed and the data but not
-on partitioning. A tree sees at most 256 rows, so growing one is a small helper; the data is
-only read to draw the samples and to be scored.
+Draws go by digests of the seed with the row id, the tree or the node, so the forest depends on the
+seed and the data but not on partitioning, and SQL can state it. A tree sees at most 256 rows; the
+data is only read to draw the samples and to be scored.
 """
 
 from __future__ import annotations
@@ -16,13 +16,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tollguard.session import materialize
+
 TREES = 100
 SAMPLE_ROWS = 256
 SEED = 42
-HASH_SPACE = 1 << 32
+#: A digest is read as that many hexadecimal digits.
+DIGITS = 13
+#: Rows that enter a tree, as a multiple of those it takes.
+ENTER = 4
 EULER_GAMMA = 0.5772156649015329
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"
+_SEEN = "array<struct<node: int, feature: int, threshold: double, size: int, depth: int>>"
 
 
 @dataclass(frozen=True)
@@ -48,8 +54,10 @@ def expected_path(rows: int) -> float:
     return 2.0 * (log(rows - 1) + EULER_GAMMA) - 2.0 * (rows - 1) / rows
 
 
-def _hash(*columns: Column) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(HASH_SPACE))
+def _digest(*parts: Column, first: int = 1, digits: int = DIGITS) -> Column:
+    """Hexadecimal digits of the MD5 of the parts, joined by colons, as a long."""
+    text = F.concat_ws(":", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), first, digits), 16, 10).cast("long")
 
 
 def draw_samples(
@@ -62,46 +70,78 @@ def draw_samples(
 ) -> tuple[DataFrame, int]:
     """``sample_rows`` rows per tree (fewer if there are fewer), and that number. Ids are unique.
 
-    One rule at every size: a row may enter the trees whose hash of (id, tree, seed) is below a
-    limit that lets about four times the wanted rows through, and each tree takes its smallest
-    hashes. The pass over the data is map-only; about ``4 * sample_rows`` rows per tree travel.
+    One rule and one digest per row at every size: the rows are to enter a tree ``ENTER`` times as
+    often as it takes them, so each row enters the whole number of trees that its share and a random
+    part add up to, in a row from a random tree on. Each tree takes the smallest digests of what
+    entered it. The pass over the data is map-only; what travels depends on the trees alone.
     """
     total = df.count()
     taken = min(sample_rows, total)
-    near = int(HASH_SPACE * min(1.0, 4 * sample_rows / max(total, 1)))
-    draw = lambda tree: _hash(F.col("_id"), tree, F.lit(seed))
+    share = min(float(trees), ENTER * sample_rows * trees / max(total, 1))
     rows = df.select(F.col(id_column).alias("_id"), *[F.col(f).cast("double") for f in features])
-    entered = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: draw(tree) < near)
-    drawn = rows.select("*", F.explode(entered).alias("tree"))
-    order = Window.partitionBy("tree").orderBy(draw(F.col("tree")), "_id")
+    mine = F.lit("draw"), F.lit(seed), F.col("_id")
+    entered = F.floor(F.lit(share) + _digest(*mine) / F.lit(float(1 << 4 * DIGITS)))
+    start = _digest(*mine, first=DIGITS + 1, digits=8)
+    drawn = rows.withColumn("_times", F.least(entered, F.lit(trees)).cast("int")).filter("_times > 0")
+    drawn = drawn.withColumn("_start", start).select(
+        "_id", *features,
+        F.explode(F.transform(F.sequence(F.lit(0), F.col("_times") - 1), lambda j: ((F.col("_start") + j) % trees).cast("int"))).alias("tree"),
+    )
+    order = Window.partitionBy("tree").orderBy(_digest(F.lit("pick"), F.lit(seed), F.col("tree"), F.col("_id")), "_id")
     picked = drawn.withColumn("_rank", F.row_number().over(order))
     return picked.filter(F.col("_rank") <= taken), taken
 
 
-def grow_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple]:
-    """Nodes ``(node, feature, threshold, left, right, path)`` of one tree over sample ``x``."""
-    nodes: list[tuple] = []
-
-    def grow(rows: np.ndarray, depth: int) -> int:
-        node = len(nodes)
-        nodes.append(())
-        low, high = x[rows].min(axis=0), x[rows].max(axis=0)
-        varying = np.flatnonzero(high > low)
-        if depth >= max_depth or len(rows) <= 1 or not len(varying):
-            nodes[node] = (node, 0, np.inf, node, node, depth + expected_path(len(rows)))
-            return node
-        feature = int(rng.choice(varying))
-        threshold = float(rng.uniform(low[feature], high[feature]))
-        if threshold >= high[feature]:  # rounding, for values one bit apart
-            threshold = float(low[feature])
-        goes_left = x[rows, feature] <= threshold
-        left = grow(rows[goes_left], depth + 1)
-        right = grow(rows[~goes_left], depth + 1)
-        nodes[node] = (node, feature, threshold, left, right, 0.0)
-        return node
-
-    grow(np.arange(len(x)), 0)
-    return nodes
+def grow_trees(samples: DataFrame, features: list[str], max_depth: int, seed: int = SEED) -> DataFrame:
+    """The node table (``NODE_SCHEMA``) of all trees over ``samples`` (tree, features).
+
+    All trees grow one level per step. A node's rows are a window; digests of (seed, tree, node)
+    choose one of the features that vary in it and a threshold between its least and greatest value.
+    Nodes are numbered as in a heap from 0, so rows know their children without asking. The samples
+    are dealt by tree once, and every level reads that same dealing.
+    """
+    rows = samples.select("tree", *[F.col(f) for f in features]).repartition("tree")
+    rows = rows.withColumns({"_node": F.lit(0), "_leaf": F.lit(False), "_nodes": F.array().cast(_SEEN)})
+    for depth in range(max_depth + 1):
+        node = Window.partitionBy("tree", "_node")
+        spans = F.array(*[
+            F.struct(
+                F.lit(k).alias("feature"), F.min(f).over(node).alias("low"), F.max(f).over(node).alias("high")
+            )
+            for k, f in enumerate(features)
+        ])
+        rows = rows.withColumn("_size", F.count(F.lit(1)).over(node)).withColumn("_spans", spans)
+        rows = rows.withColumn("_spans", F.filter("_spans", lambda s: s["high"] > s["low"]))
+        ends = F.size("_spans") == 0 if depth < max_depth else F.lit(True)
+        place = F.lit(seed), F.col("tree"), F.col("_node")
+        at = F.pmod(_digest(F.lit("feature"), *place), F.greatest(F.size("_spans"), F.lit(1))).cast("int")
+        rows = rows.withColumn("_ends", F.col("_leaf") | ends).withColumn("_split", F.get("_spans", at))
+        low, high = F.col("_split.low"), F.col("_split.high")
+        threshold = low + _digest(F.lit("threshold"), *place) / F.lit(float(1 << 4 * DIGITS)) * (high - low)
+        # rounding may reach the upper end, for values one bit apart
+        rows = rows.withColumn("_threshold", F.when(threshold >= high, low).otherwise(threshold))
+        seen = F.struct(
+            F.col("_node").alias("node"), F.when(F.col("_ends"), F.lit(None)).otherwise(F.col("_split.feature")).alias("feature"),
+            "_threshold", F.col("_size").cast("int").alias("size"), F.lit(depth).alias("depth"),
+        )
+        value = F.element_at(F.array(*features), F.coalesce(F.col("_split.feature"), F.lit(0)) + 1)
+        child = F.col("_node") * 2 + F.when(value <= F.col("_threshold"), 1).otherwise(2)
+        rows = rows.select(
+            "tree", *features, F.when(F.col("_ends"), F.col("_node")).otherwise(child).alias("_node"),
+            F.col("_ends").alias("_leaf"),
+            F.when(F.col("_leaf"), F.col("_nodes")).otherwise(F.concat("_nodes", F.array(seen.cast(_SEEN[6:-1])))).alias("_nodes"),
+        )
+    nodes = rows.select("tree", F.inline("_nodes")).distinct()
+    is_leaf, node = F.col("feature").isNull(), F.col("node")
+    usual = F.when(F.col("size") <= 1, 0.0).when(F.col("size") == 2, 1.0).otherwise(
+        2.0 * (F.log(F.col("size") - 1) + EULER_GAMMA) - 2.0 * (F.col("size") - 1) / F.col("size")
+    )
+    return nodes.select(
+        "tree", "node", F.coalesce("feature", F.lit(0)).alias("feature"),
+        F.when(is_leaf, float("inf")).otherwise(F.col("threshold")).alias("threshold"),
+        F.when(is_leaf, node).otherwise(2 * node + 1).alias("left"), F.when(is_leaf, node).otherwise(2 * node + 2).alias("right"),
+        F.when(is_leaf, F.col("depth") + usual).otherwise(0.0).alias("path"),
+    )
 
 
 def fit_forest(
@@ -112,20 +152,11 @@ def fit_forest(
     sample_rows: int = SAMPLE_ROWS,
     seed: int = SEED,
 ) -> Forest:
-    """Grow ``trees`` trees, one group each. At most 2 * sample_rows nodes per tree come back."""
+    """Grow ``trees`` trees. At most 2 * sample_rows nodes per tree come back."""
     samples, taken = draw_samples(df, id_column, features, trees, sample_rows, seed)
     max_depth = ceil(log2(max(taken, 2)))
-
-    def grow(group: pd.DataFrame) -> pd.DataFrame:
-        tree = int(group["tree"].iloc[0])
-        x = group.sort_values("_rank")[features].to_numpy(dtype=float)
-        nodes = grow_tree(x, np.random.default_rng([seed, tree]), max_depth)
-        table = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "path"])
-        table.insert(0, "tree", tree)
-        return table
-
-    nodes = samples.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
-    return pack(nodes, features, taken, max_depth)
+    nodes = grow_trees(materialize(samples), features, max_depth, seed)
+    return pack(nodes.toPandas(), features, taken, max_depth)
 
 
 def pack(nodes: pd.DataFrame, features: list[str], taken: int, depth: int) -> Forest:

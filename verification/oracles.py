@@ -691,6 +691,83 @@ FROM points JOIN nodes n0 ON n0.node = 0 {levels} GROUP BY transaction_id"""
 
 
 _add("forest_scores", _forest_sql(), *ALL)
+
+
+def _grown_sql() -> str:
+    """The fitted forest: samples by digests, then one step per level for its nodes and its rows."""
+    names = [c for c in FEATURES if c not in ("distance_miles", "speed_mph")]
+    filled = ", ".join(
+        f"coalesce({c}::DOUBLE, (SELECT quantile_cont({c}::DOUBLE, 0.5) FROM encoded)) AS {c}" for c in names
+    )
+    scaled = ", ".join(
+        f"({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () <= 1e-9 * abs(avg({c}) OVER ())"
+        f" THEN 1 ELSE stddev_pop({c}) OVER () END" for c in names
+    )
+    digest = "('0x' || substr(md5({0}), {1}, {2}))::BIGINT"
+    unit = digest.format("{0}", 1, 13) + " / 4503599627370496.0::DOUBLE"
+    node = "':42:' || tree || ':' || node"
+    sql = f""", filled AS MATERIALIZED (SELECT transaction_id, {filled} FROM encoded),
+matrix AS MATERIALIZED (SELECT transaction_id AS id, [{scaled}] AS x FROM filled),
+sizes AS MATERIALIZED (SELECT count(*) AS total FROM matrix),
+entered AS MATERIALIZED (
+  SELECT id, x, unnest(range(least(100, floor(least(100.0::DOUBLE, 102400.0::DOUBLE / total)
+    + {unit.format("'draw:42:' || id")}))::BIGINT)) AS j FROM matrix, sizes),
+drawn AS MATERIALIZED (
+  SELECT id, x, ({digest.format("'draw:42:' || id", 14, 8)} + j) % 100 AS tree FROM entered),
+rows0 AS MATERIALIZED (
+  SELECT tree, id, x, 0::BIGINT AS node FROM drawn
+  QUALIFY row_number() OVER (PARTITION BY tree ORDER BY {digest.format("'pick:42:' || tree || ':' || id", 1, 13)}, id) <= 256),
+depths AS MATERIALIZED (SELECT ceil(log2(greatest(least(256, total), 2)))::INT AS deepest FROM sizes)"""
+    for depth in range(9):
+        sql += f""",
+spans{depth} AS MATERIALIZED (
+  SELECT tree, node, k, min(v) AS low, max(v) AS high
+  FROM (SELECT tree, node, unnest(range({len(names)})) AS k, unnest(x) AS v FROM rows{depth}) GROUP BY ALL),
+nodes{depth} AS MATERIALIZED (
+  SELECT s.tree, s.node, c.size, {depth} AS depth, varying[{digest.format("'feature' || " + node.replace("tree", "s.tree").replace("node", "s.node"), 1, 13)} % greatest(len(varying), 1) + 1] AS split,
+    len(varying) = 0 OR {depth} >= deepest AS leaf
+  FROM (SELECT tree, node, coalesce(list({{'k': k, 'low': low, 'high': high}} ORDER BY k) FILTER (high > low), []) AS varying
+    FROM spans{depth} GROUP BY ALL) s
+  JOIN (SELECT tree, node, count(*) AS size FROM rows{depth} GROUP BY ALL) c ON c.tree = s.tree AND c.node = s.node, depths),
+cuts{depth} AS MATERIALIZED (
+  SELECT tree, node, size, depth, leaf, split.k AS feature, split.low AS low, split.high AS high,
+    split.low + {unit.format("'threshold' || " + node)} * (split.high - split.low) AS threshold FROM nodes{depth}),
+rows{depth + 1} AS MATERIALIZED (
+  SELECT r.tree, id, x, 2 * r.node + CASE WHEN x[feature + 1] <= threshold THEN 1 ELSE 2 END AS node
+  FROM rows{depth} r JOIN cuts{depth} c ON c.tree = r.tree AND c.node = r.node WHERE NOT leaf)"""
+    every = " UNION ALL ".join(f"SELECT * FROM cuts{d}" for d in range(9))
+    usual = "CASE WHEN size <= 1 THEN 0 WHEN size = 2 THEN 1 ELSE 2 * (ln(size - 1) + 0.5772156649015329) - 2 * (size - 1)::DOUBLE / size END"
+    return sql + f""",
+grown AS MATERIALIZED (
+  SELECT tree, node, CASE WHEN leaf THEN -1 ELSE feature END AS feature, CASE WHEN leaf THEN 0 ELSE threshold END AS threshold,
+    CASE WHEN leaf THEN depth + {usual} ELSE 0 END::DOUBLE AS path FROM ({every}))"""
+
+
+def _scored_sql() -> str:
+    steps = "walk0 AS MATERIALIZED (SELECT id, x, tree, 0::BIGINT AS node FROM matrix, (SELECT DISTINCT tree FROM grown))"
+    for i in range(8):
+        steps += f""",
+walk{i + 1} AS MATERIALIZED (
+  SELECT id, x, w.tree, CASE WHEN feature < 0 THEN w.node WHEN x[feature + 1] <= threshold THEN 2 * w.node + 1
+    ELSE 2 * w.node + 2 END AS node
+  FROM walk{i} w JOIN grown g ON g.tree = w.tree AND g.node = w.node)"""
+    return _grown_sql() + f""",
+{steps},
+scores AS MATERIALIZED (
+  SELECT id AS transaction_id, -pow(2, -list_sum(list(path ORDER BY w.tree)) / (100 * any_value(usual))) AS raw
+  FROM walk8 w JOIN grown g ON g.tree = w.tree AND g.node = w.node, (
+    SELECT CASE WHEN least(256, total) = 2 THEN 1 ELSE 2 * (ln(least(256, total) - 1) + 0.5772156649015329)
+      - 2 * (least(256, total) - 1)::DOUBLE / least(256, total) END AS usual FROM sizes) GROUP BY id)"""
+
+
+_add("isolation_forest_fit", _grown_sql() + """
+SELECT tree, node, feature, round(threshold, 6) AS threshold, round(path, 9) AS path FROM grown""", *ALL)
+_add("isolation_forest_score", _scored_sql() + """
+SELECT transaction_id, round(raw, 9) AS raw_score FROM scores""", *ALL)
+_add("model_predictions", _scored_sql() + """
+SELECT transaction_id, (raw - low < 0)::INT AS is_anomaly, round(raw - low, 9) AS ml_anomaly_score,
+  TIMESTAMP '%s' AS prediction_timestamp
+FROM scores, (SELECT quantile_cont(raw, 0.01) AS low FROM scores)""" % adapter.PREDICTED_AT, *ALL)
 _add("isolation_forest_facts", """SELECT r.range::INT AS tree, least(256, n) AS n_rows,
   least(256, n) AS n_ids, 0 AS strange, 0 AS outside
 FROM range(100) r, (SELECT count(*) AS n FROM encoded)""", *ALL)

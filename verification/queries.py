@@ -687,14 +687,21 @@ def standard_scale(spark, sf):
 
 @query
 def isolation_forest_fit(spark, sf):
-    forest = model.isolation_forest_fit(materialize(_train(spark, sf))).forest
-    sizes = [(t, int((forest.path[t] > 0).sum())) for t in range(len(forest.path))]
-    return spark.createDataFrame(sizes, "tree int, leaves int")
+    """The node table: thresholds of splits, path lengths of leaves."""
+    grown = model.isolation_forest_fit(materialize(_train(spark, sf))).forest
+    tree, node = np.nonzero((grown.left > 0) | (grown.path > 0))
+    leaf = grown.left[tree, node] == node
+    table = pd.DataFrame({
+        "tree": tree, "node": node, "feature": np.where(leaf, -1, grown.feature[tree, node]),
+        "threshold": np.where(leaf, 0.0, grown.threshold[tree, node]).round(6), "path": grown.path[tree, node].round(9),
+    })
+    return spark.createDataFrame(table)
 
 
 @query
 def isolation_forest_score(spark, sf):
-    return model.isolation_forest_score(model.isolation_forest_fit(materialize(_train(spark, sf))))
+    scores = model.isolation_forest_score(model.isolation_forest_fit(materialize(_train(spark, sf))))
+    return scores.select(ID, F.round("raw_score", 9).alias("raw_score"))
 
 
 #: A small forest for comparing scores: (tree, node, feature, threshold, left, right, path).
@@ -758,7 +765,8 @@ def flagged_share(spark, sf):
 
 @query
 def model_predictions(spark, sf):
-    return model.predict(materialize(_train(spark, sf)), adapter.PREDICTED_AT)
+    found = model.predict(materialize(_train(spark, sf)), adapter.PREDICTED_AT)
+    return found.select(ID, "is_anomaly", F.round("ml_anomaly_score", 9).alias("ml_anomaly_score"), "prediction_timestamp")
 
 
 @query
