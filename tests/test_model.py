@@ -109,12 +109,6 @@ def test_tree_isolates_every_row_within_its_depth(spark):
     assert [tuple(n) for n in same if n.tree == 0] == [(0, 0, 0, np.inf, 0, 0, pytest.approx(forest.expected_path(4)))]
 
 
-def test_trees_grow_without_a_shuffle_per_level_and_without_python(spark):
-    df = spark.range(500).selectExpr("cast(id % 5 as int) AS tree", "id * id % 97 / 7D AS x", "id % 11 / 1D AS y")
-    plan = forest.grow_trees(df, ["x", "y"], 8)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(tree") <= 2 and "Python" not in plan and "Pandas" not in plan
-
-
 def test_scores_follow_a_hand_built_tree():
     grid = lambda *v: np.array([v])
     tree = forest.Forest(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil, log, log2
 
 import numpy as np
@@ -28,7 +29,7 @@ ENTER = 4
 EULER_GAMMA = 0.5772156649015329
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"
-_SEEN = "array<struct<node: int, feature: int, threshold: double, size: int, depth: int>>"
+_SPAN = "struct<feature: int, low: double, high: double>"
 
 
 @dataclass(frozen=True)
@@ -95,43 +96,42 @@ def draw_samples(
 def grow_trees(samples: DataFrame, features: list[str], max_depth: int, seed: int = SEED) -> DataFrame:
     """The node table (``NODE_SCHEMA``) of all trees over ``samples`` (tree, features).
 
-    All trees grow one level per step. A node's rows are a window; digests of (seed, tree, node)
-    choose one of the features that vary in it and a threshold between its least and greatest value.
-    Nodes are numbered as in a heap from 0, so rows know their children without asking. The samples
-    are dealt by tree once, and every level reads that same dealing.
+    All trees grow one level per round: the least and greatest values of the features are grouped by
+    tree and node, digests of (seed, tree, node) choose one of the features that vary and a threshold
+    between its ends, and the rows of split nodes move to their children. Nodes are numbered as in a
+    heap from 0. A level has no more nodes than the samples have rows (256 a tree): it passes through
+    the driver, where the forest goes in any case, and is broadcast to the rows.
     """
-    rows = samples.select("tree", *[F.col(f) for f in features]).repartition("tree")
-    rows = rows.withColumns({"_node": F.lit(0), "_leaf": F.lit(False), "_nodes": F.array().cast(_SEEN)})
+    spark = samples.sparkSession
+    rows = samples.select("tree", *[F.col(f) for f in features], F.lit(0).alias("_node"))
+    place = F.lit(seed), F.col("tree"), F.col("_node")
+    spans = F.array(*[
+        F.struct(F.lit(k).alias("feature"), F.min(f).alias("low"), F.max(f).alias("high")) for k, f in enumerate(features)
+    ])
+    at = F.pmod(_digest(F.lit("feature"), *place), F.greatest(F.size("_spans"), F.lit(1))).cast("int")
+    low, high = F.col("_split.low"), F.col("_split.high")
+    threshold = low + _digest(F.lit("threshold"), *place) / F.lit(float(1 << 4 * DIGITS)) * (high - low)
+    value = F.element_at(F.array(*features), F.col("_feature") + 1)
+    levels = []
     for depth in range(max_depth + 1):
-        node = Window.partitionBy("tree", "_node")
-        spans = F.array(*[
-            F.struct(
-                F.lit(k).alias("feature"), F.min(f).over(node).alias("low"), F.max(f).over(node).alias("high")
-            )
-            for k, f in enumerate(features)
-        ])
-        rows = rows.withColumn("_size", F.count(F.lit(1)).over(node)).withColumn("_spans", spans)
-        rows = rows.withColumn("_spans", F.filter("_spans", lambda s: s["high"] > s["low"]))
-        ends = F.size("_spans") == 0 if depth < max_depth else F.lit(True)
-        place = F.lit(seed), F.col("tree"), F.col("_node")
-        at = F.pmod(_digest(F.lit("feature"), *place), F.greatest(F.size("_spans"), F.lit(1))).cast("int")
-        rows = rows.withColumn("_ends", F.col("_leaf") | ends).withColumn("_split", F.get("_spans", at))
-        low, high = F.col("_split.low"), F.col("_split.high")
-        threshold = low + _digest(F.lit("threshold"), *place) / F.lit(float(1 << 4 * DIGITS)) * (high - low)
-        # rounding may reach the upper end, for values one bit apart
-        rows = rows.withColumn("_threshold", F.when(threshold >= high, low).otherwise(threshold))
-        seen = F.struct(
-            F.col("_node").alias("node"), F.when(F.col("_ends"), F.lit(None)).otherwise(F.col("_split.feature")).alias("feature"),
-            "_threshold", F.col("_size").cast("int").alias("size"), F.lit(depth).alias("depth"),
+        level = rows.groupBy("tree", "_node").agg(
+            F.count(F.lit(1)).cast("int").alias("size"), F.filter(spans, lambda s: s["high"] > s["low"]).alias("_spans")
         )
-        value = F.element_at(F.array(*features), F.coalesce(F.col("_split.feature"), F.lit(0)) + 1)
-        child = F.col("_node") * 2 + F.when(value <= F.col("_threshold"), 1).otherwise(2)
-        rows = rows.select(
-            "tree", *features, F.when(F.col("_ends"), F.col("_node")).otherwise(child).alias("_node"),
-            F.col("_ends").alias("_leaf"),
-            F.when(F.col("_leaf"), F.col("_nodes")).otherwise(F.concat("_nodes", F.array(seen.cast(_SEEN[6:-1])))).alias("_nodes"),
+        split = F.get("_spans", at) if depth < max_depth else F.lit(None).cast(_SPAN)
+        level = level.select("tree", "_node", "size", split.alias("_split")).select(
+            "tree", "_node", "size", F.lit(depth).alias("depth"), F.col("_split.feature").alias("_feature"),
+            # rounding may reach the upper end, for values one bit apart
+            F.when(threshold >= high, low).otherwise(threshold).alias("_threshold"),
         )
-    nodes = rows.select("tree", F.inline("_nodes")).distinct()
+        level = spark.createDataFrame(level.toArrow(), level.schema)
+        levels.append(level)
+        inner = level.filter("_feature IS NOT NULL").select("tree", "_node", "_feature", "_threshold")
+        if depth == max_depth or inner.isEmpty():
+            break
+        moved = F.col("_node") * 2 + F.when(value <= F.col("_threshold"), 1).otherwise(2)
+        rows = rows.join(F.broadcast(inner), ["tree", "_node"]).select("tree", *features, moved.alias("_node"))
+    nodes = reduce(DataFrame.unionByName, levels)
+    nodes = nodes.withColumnsRenamed({"_node": "node", "_feature": "feature", "_threshold": "threshold"})
     is_leaf, node = F.col("feature").isNull(), F.col("node")
     usual = F.when(F.col("size") <= 1, 0.0).when(F.col("size") == 2, 1.0).otherwise(
         2.0 * (F.log(F.col("size") - 1) + EULER_GAMMA) - 2.0 * (F.col("size") - 1) / F.col("size")
