@@ -8,11 +8,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollguard.plans import gold, model, quality, report, risk, silver, training
+from tollguard.plans import gold, model, quality, report, risk, silver, status, training
 from tollguard.session import require_utc, scratch_scope
 from tollguard.sources import bronze as bronze_table
 from tollguard.sources import sinks
 
+#: The table of accepted status requests below the folder, see ``plans.status``.
+HISTORY = "status_history"
+
 
 def build(
     spark: SparkSession,
@@ -28,7 +31,8 @@ def build(
     ``dedupe`` drops passages loaded twice, as bronze is documented to; without it, copies
     share an id and the unique check on the training table fails. Building again into the same
     folder replaces what the first run wrote; predictions of other days and metrics of other
-    runs stay, and only this run's predictions are joined. ``checks`` has a row for each data
+    runs stay, and only this run's predictions are joined. Review decisions in ``status_history`` are
+    folded into the new master table. ``checks`` has a row for each data
     test of each table.
     """
     require_utc(spark)
@@ -66,7 +70,9 @@ def build(
         viz = risk.pred_viz(tables["pred_raw"])
         viz.write.mode("overwrite").parquet(f"{folder}/pred_viz")
         tables["pred_viz"] = spark.read.parquet(f"{folder}/pred_viz")
-        master = risk.master_viz(tables["gold"], tables["pred_viz"])
+        # what reviewers decided stays
+        history = status.read_history(spark, f"{folder}/{HISTORY}")
+        master = status.fold_history(risk.master_viz(tables["gold"], tables["pred_viz"]), history)
         tables["master_viz"] = stored("master_viz", master, sinks.MASTER_CLUSTER)
         as_of = run_time[:10]
         for name, rollup in (("stats", report.stats_summary), ("stats_month", report.stats_month)):

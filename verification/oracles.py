@@ -636,6 +636,7 @@ _add("apply_status_updates", """SELECT m.transaction_id,
 FROM master m LEFT JOIN (SELECT transaction_id, arg_max(status, place) AS status,
     bool_or(accepted) AS touched FROM replay GROUP BY ALL) last USING (transaction_id)""",
      *ALL, REVIEW)
+ORACLES["merge_status_updates"] = ORACLES["apply_status_updates"]
 _add("sort_table", """SELECT transaction_id, amount, tag_plate_number, flag_rush_hour FROM master
   ORDER BY amount DESC NULLS LAST""", *ALL)
 

@@ -14,7 +14,7 @@ from tollguard import adapter
 from tollguard.functions import trip
 from tollguard.operators import forest
 from tollguard.operators.preceding import add_lookback
-from tollguard.plans import gold, medallion, model, quality, report, review, risk, silver, training
+from tollguard.plans import gold, medallion, model, quality, report, review, risk, silver, status, training
 from tollguard.session import materialize, scratch_path
 from tollguard.sources import bronze as bronze_table
 from tollguard.schemas import RAW_COLUMNS
@@ -841,6 +841,25 @@ def apply_status_updates(spark, sf):
     return review.apply_status_updates(master, requests, RELOADED_AT)
 
 
+@query
+def merge_status_updates(spark, sf):
+    """Two batches of requests written into the stored table, which is built anew between them; the
+    second batch runs twice."""
+    folder = scratch_path(spark, "reviewed")
+    path, history = f"{folder}/master_viz", f"{folder}/{medallion.HISTORY}"
+    master = materialize(_master(spark, sf).select(
+        ID, "transaction_date", "tag_plate_number", "ml_predicted_category", "status", "last_updated"
+    ))
+    requests = materialize(adapter.status_requests(master))
+    # each transaction's first requests, then the others
+    early, late = requests.filter(F.col("seq") % 10 == 0), requests.filter(F.col("seq") % 10 > 0)
+    for batch, asked in (("1", early), ("2", late), ("2", late)):
+        fresh = status.fold_history(master, status.read_history(spark, history))
+        sinks.write_partitioned(fresh, path, sinks.MASTER_CLUSTER)
+        status.merge_updates(spark, path, history, asked, RELOADED_AT, batch)
+    return spark.read.parquet(path).select(ID, "status", "last_updated")
+
+
 @query
 def sort_table(spark, sf):
     rows = _master(spark, sf).select(ID, "amount", "tag_plate_number", "flag_rush_hour")
