@@ -173,6 +173,18 @@ def test_sort_table(spark, column, direction, expected):
     assert [r[column] for r in report.sort_table(df, column, direction).collect()] == expected
 
 
+def test_equal_keys_keep_the_order_of_the_list(spark):
+    data = [("b", "2024-01-01", 1.0), ("a", "2024-01-01", 1.0), ("c", "2024-01-03", 1.0), ("d", None, 1.0), ("e", None, 0.5)]
+    df = spark.createDataFrame(data, "transaction_id string, transaction_date string, amount double").repartition(4)
+    for direction, order in (("asc", "ecabd"), ("desc", "cabde")):
+        assert "".join(r[0] for r in report.sort_table(df, "amount", direction).collect()) == order
+
+
+def test_missing_prediction_columns_are_failures(spark):
+    found = quality.missing_columns("pred_raw", spark.range(1), ["amount", "speed_mph"])
+    assert [tuple(r) for r in found.collect()] == [("pred_raw", "present", c, 1) for c in ("amount", "speed_mph")]
+
+
 def test_severity_order(spark):
     labels = ["Odd", "No Risk", "Low Risk", "Critical Risk", "High Risk", "Medium Risk"]
     df = spark.createDataFrame([(v,) for v in labels], "severity string")

@@ -33,7 +33,7 @@ def build(
     folder replaces what the first run wrote; predictions of other days and metrics of other
     runs stay, and only this run's predictions are joined. Review decisions in ``status_history`` are
     folded into the new master table. ``checks`` has a row for each data
-    test of each table.
+    test of each table, and one for each column that the predictions lack.
     """
     require_utc(spark)
 
@@ -58,7 +58,7 @@ def build(
         _require_unique("gold_train", tables["gold_train"])
 
         path, started = f"{folder}/pred_raw", time.monotonic()
-        sinks.write_predictions(model.predict(tables["gold_train"], run_time), path)
+        missing = sinks.write_predictions(model.predict(tables["gold_train"], run_time), path)
         seconds = time.monotonic() - started
         this_run = F.col("prediction_timestamp") == F.lit(run_time).cast("timestamp")
         predictions = spark.read.parquet(path).filter(this_run).drop("prediction_date")
@@ -79,6 +79,7 @@ def build(
             rollup(tables["master_viz"], as_of).write.mode("overwrite").parquet(f"{folder}/{name}")
             tables[name] = spark.read.parquet(f"{folder}/{name}")
         checks = [quality.check_table(name, tables[name]) for name in quality.CHECKED]
+        checks.append(quality.missing_columns("pred_raw", predictions, missing))
         reduce(DataFrame.unionByName, checks).write.mode("overwrite").parquet(f"{folder}/checks")
         tables["checks"] = spark.read.parquet(f"{folder}/checks")
     return tables

@@ -44,6 +44,13 @@ def check_table(name: str, df: DataFrame) -> DataFrame:
     return nulls.select(F.lit(name).alias("table_name"), "test", "column_name", "failures")
 
 
+def missing_columns(name: str, df: DataFrame, columns: list[str]) -> DataFrame:
+    """A failure for each column that a table should have and lacks, in the layout of ``check_table``."""
+    rows = [(name, "present", c, 1) for c in columns]
+    schema = "table_name string, test string, column_name string, failures long"
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def check_unique(df: DataFrame, column: str = "transaction_id") -> DataFrame:
     """Values that occur more than once, with their count."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(

@@ -214,14 +214,19 @@ NUMERIC_TEXT = ["plan_rate"]
 
 
 def sort_table(df: DataFrame, column: str, direction: str = "asc") -> DataFrame:
-    """Sort by type: numbers, dates and booleans as such, text ignoring case; NULL is smallest."""
+    """Sort by type: numbers, dates and booleans as such, text ignoring case; NULL is smallest.
+
+    Equal keys keep the order of the list, newest date first and then by id, as far as ``df`` has
+    these columns.
+    """
     key = F.col(column)
     if column in NUMERIC_TEXT:
         key = key.try_cast("double")
     elif isinstance(df.schema[column].dataType, T.StringType):
         key = F.lower(F.coalesce(key, F.lit("")))
     ordered = key.asc_nulls_first() if direction == "asc" else key.desc_nulls_last()
-    return df.orderBy(ordered)
+    ties = {"transaction_date": F.desc_nulls_last, "transaction_id": F.asc}
+    return df.orderBy(ordered, *[by(c) for c, by in ties.items() if c in df.columns and c != column])
 
 
 def order_by_severity(df: DataFrame, column: str = "severity") -> DataFrame:
