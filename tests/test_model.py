@@ -33,6 +33,20 @@ def test_exact_median_narrows_to_the_right_value(spark, name):
         assert got == {"x": pytest.approx(np.median(values), abs=0)}
 
 
+@pytest.mark.parametrize("fetch_rows, most", [(20_000, 2), (400, 2), (30, 3)])
+def test_medians_take_few_reads(spark, monkeypatch, fetch_rows, most):
+    """Brackets of a bounded share are counted and fetched in one read."""
+    df = spark.range(0, 200_001, 1, 7).selectExpr("cast(id * 7919 % 200001 as double) as x", "cast(id % 5 as double) as y",
+                                                   "if(id % 2 = 0, -exp(id / 10000.0), null) as z")
+    reads = []
+    frame = type(df)
+    plain = frame.agg
+    monkeypatch.setattr(frame, "agg", lambda self, *a: reads.append(1) or plain(self, *a))
+    got = exact_medians(df, ["x", "y", "z"], fetch_rows)
+    assert (got["x"], got["y"]) == (100_000.0, 2.0) and len(reads) <= most
+    assert got["z"] == pytest.approx(-np.exp(10.0), rel=1e-12)
+
+
 def test_median_of_several_columns_and_an_empty_one(spark):
     df = spark.createDataFrame(
         [(1.0, None, 5), (2.0, None, 6), (9.0, None, None)], "a double, b double, c int"

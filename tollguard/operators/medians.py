@@ -1,40 +1,64 @@
-"""Exact medians of several columns in a few passes and bounded memory.
+"""Exact medians of several columns in a few reads and bounded memory.
 
-Each wanted rank is kept in an open interval. A pass narrows the interval by mergeable
-approximate quantiles and counts the rows on either side; once few rows are left, they are
-fetched and the rank is read off. A pass shrinks an interval about a thousandfold.
+Each wanted rank is kept in an open interval. The first read counts the values of all columns and
+brackets their middle by mergeable approximate quantiles of a bounded error, so the bracket holds at
+most a known share of the rows. The next read counts the rows on either side of the bracket and, in
+the same pass, fetches the values inside if that share is few enough, or brackets the rank again. Two
+reads do up to sixteen million values a column, three to ten billion.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import inf
+from math import ceil, floor, inf
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FETCH_ROWS = 20_000
+#: Approximate quantiles are off by a share of 1 / ACCURACY at most.
 ACCURACY = 10_000
+#: Half the width of a bracket, and the step between the quantiles that later brackets are cut from.
 MARGIN = 5e-4
+STEPS = round(1 / MARGIN)
 
 
 @dataclass
 class _Rank:
+    """A rank that lies between ``low`` and ``high``, with ``inside`` values there and ``below`` before
+    them; ``span`` is the bracket to try, which holds at most ``width`` of the values inside."""
+
     column: str
     rank: int
     inside: int
+    span: tuple[float, float] | None = None
+    width: float = 1.0
     below: int = 0
     low: float = -inf
     high: float = inf
     value: float | None = None
 
-    def values(self) -> Column:
-        x = present(self.column)
-        return F.when((x > self.low) & (x < self.high), x)
+    def fetched(self, fetch_rows: int) -> bool:
+        most = self.inside if self.span is None else ceil(self.inside * self.width) + 2
+        return most <= fetch_rows
 
-    def settle(self, low: float, high: float, counts: tuple[int, int, int]) -> None:
-        """``counts``: non-null rows below ``low``, equal to it, below ``high``; then at ``high``."""
-        under_low, at_low, under_high, at_high = counts
+    def question(self, fetch_rows: int) -> Column:
+        x = present(self.column)
+        low, high = self.span or (self.low, self.high)
+        within = F.when((x > low) & (x < high), x)
+        tally = [F.count_if(x < low), F.count_if(x == low), F.count_if(x < high), F.count_if(x == high)]
+        if self.fetched(fetch_rows):
+            place = F.lit(self.rank) - (tally[0] + tally[1])
+            inner = F.get(F.sort_array(F.collect_list(within)), F.when(place >= 0, place).cast("int"))
+        else:
+            inner = F.percentile_approx(within, [i / STEPS for i in range(STEPS + 1)], ACCURACY)
+        return F.struct(*[t.alias(f"t{i}") for i, t in enumerate(tally)], inner.alias("inner"))
+
+    def settle(self, answer, fetch_rows: int) -> None:
+        """Narrow the interval by the counts, and read off the value or the next bracket."""
+        under_low, at_low, under_high, at_high, inner = answer
+        fetched, span = self.fetched(fetch_rows), self.span or (self.low, self.high)
+        (low, high), self.span = span, None
         if under_low <= self.rank < under_low + at_low:
             self.value = low
         elif under_high <= self.rank < under_high + at_high:
@@ -47,6 +71,14 @@ class _Rank:
         else:
             self.low, self.high = low, high
             self.below, self.inside = under_low + at_low, under_high - under_low - at_low
+            if not fetched:
+                place = (self.rank - self.below + 0.5) / self.inside * STEPS
+                first, last = max(floor(place - 0.5), 0), min(ceil(place + 0.5), STEPS)
+                self.span, self.width = (inner[first], inner[last]), (last - first) / STEPS + 2 / ACCURACY
+            elif inner is None:
+                raise ValueError(f"rank {self.rank} of {self.column} cannot be read; did the rows change?")
+            else:
+                self.value = inner
 
 
 def present(column: str) -> Column:
@@ -64,45 +96,21 @@ def exact_medians(
     """
     if not columns:
         return {}
-    counts = df.agg(*[F.count(present(c)).alias(c) for c in columns]).first().asDict()
+    middle = [0.5 - MARGIN, 0.5 + MARGIN]
+    counts = df.agg(*[
+        F.struct(F.count(present(c)), F.percentile_approx(present(c), middle, ACCURACY)).alias(f"c{i}")
+        for i, c in enumerate(columns)
+    ]).first()
     ranks = [
-        _Rank(c, rank, counts[c])
-        for c in columns if counts[c]
-        for rank in sorted({(counts[c] - 1) // 2, counts[c] // 2})
+        _Rank(c, rank, n, None if n <= fetch_rows else tuple(span), 2 * MARGIN + 2 / ACCURACY)
+        for c, (n, span) in zip(columns, counts) if n
+        for rank in sorted({(n - 1) // 2, n // 2})
     ]
     while open_ranks := [r for r in ranks if r.value is None]:
-        few = [r for r in open_ranks if r.inside <= fetch_rows]
-        if few:
-            lists = [F.sort_array(F.collect_list(r.values())) for r in few]
-            picks = [F.get(a, F.lit(r.rank - r.below)) for a, r in zip(lists, few)]
-            for r, value in zip(few, df.agg(*[p.alias(f"p{i}") for i, p in enumerate(picks)]).first()):
-                if value is None:
-                    raise ValueError(f"rank {r.rank} of {r.column} cannot be read; did the rows change?")
-                r.value = value
-        many = [r for r in open_ranks if r.inside > fetch_rows]
-        if many:
-            spans = df.agg(*[
-                F.percentile_approx(r.values(), _around(r), ACCURACY).alias(f"s{i}")
-                for i, r in enumerate(many)
-            ]).first()
-            tallies = df.agg(*[
-                F.struct(*_tally(present(r.column), *span)).alias(f"t{i}")
-                for i, (r, span) in enumerate(zip(many, spans))
-            ]).first()
-            for r, span, tally in zip(many, spans, tallies):
-                r.settle(*span, tuple(tally))
-    middle: dict[str, list[float]] = {}
+        asked = [r.question(fetch_rows).alias(f"r{i}") for i, r in enumerate(open_ranks)]
+        for r, answer in zip(open_ranks, df.agg(*asked).first()):
+            r.settle(answer, fetch_rows)
+    found: dict[str, list[float]] = {}
     for r in ranks:
-        middle.setdefault(r.column, []).append(r.value)
-    return {c: sum(middle[c]) / len(middle[c]) if c in middle else None for c in columns}
-
-
-def _around(r: _Rank) -> list[float]:
-    place = (r.rank - r.below) / r.inside
-    return [max(place - MARGIN, 0.0), min(place + MARGIN, 1.0)]
-
-
-def _tally(x: Column, low: float, high: float) -> list[Column]:
-    return [
-        F.count_if(x < low), F.count_if(x == low), F.count_if(x < high), F.count_if(x == high),
-    ]
+        found.setdefault(r.column, []).append(r.value)
+    return {c: sum(found[c]) / len(found[c]) if c in found else None for c in columns}
