@@ -8,13 +8,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollguard.plans import gold, model, quality, report, risk, silver, status, training
+from tollguard.plans import cells, gold, model, quality, risk, silver, status, training
 from tollguard.session import require_utc, scratch_scope
 from tollguard.sources import bronze as bronze_table
 from tollguard.sources import sinks
 
 #: The table of accepted status requests below the folder, see ``plans.status``.
 HISTORY = "status_history"
+#: The table of rollup cells below the folder, see ``plans.cells``.
+CELLS = "stat_cells"
 
 
 def build(
@@ -74,9 +76,12 @@ def build(
         history = status.read_history(spark, f"{folder}/{HISTORY}")
         master = status.fold_history(risk.master_viz(tables["gold"], tables["pred_viz"]), history)
         tables["master_viz"] = stored("master_viz", master, sinks.MASTER_CLUSTER)
+        # one scan of the table for all rollups
+        cells.write_cells(tables["master_viz"], f"{folder}/{CELLS}")
+        tables[CELLS] = cells.read_cells(spark, f"{folder}/{CELLS}")
         as_of = run_time[:10]
-        for name, rollup in (("stats", report.stats_summary), ("stats_month", report.stats_month)):
-            rollup(tables["master_viz"], as_of).write.mode("overwrite").parquet(f"{folder}/{name}")
+        for name, rollup in (("stats", cells.stats_summary), ("stats_month", cells.stats_month)):
+            rollup(tables[CELLS], as_of).write.mode("overwrite").parquet(f"{folder}/{name}")
             tables[name] = spark.read.parquet(f"{folder}/{name}")
         checks = [quality.check_table(name, tables[name]) for name in quality.CHECKED]
         checks.append(quality.missing_columns("pred_raw", predictions, missing))

@@ -523,6 +523,11 @@ _add("stats_month", f"""SELECT DATE '2024-02-03' AS as_of_date,
   {ALERTS} AS total_alerts, {LOSS} AS total_loss FROM master GROUP BY ALL""", *ALL)
 SEVERITY = """SELECT ml_predicted_category AS severity, count(*) AS count FROM master
   WHERE ml_predicted_category IS NOT NULL GROUP BY ALL"""
+_add("stats_incremental", f"""SELECT DATE '2024-02-03' AS as_of_date,
+  strftime(transaction_date, '%Y-%m') AS month, count(*) AS total_transactions,
+  {ALERTS} AS total_alerts, {LOSS} AS total_loss FROM master
+  WHERE transaction_date IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT DATE '2024-02-03', 'all', count(*), {ALERTS}, {LOSS} FROM master""", *ALL)
 _add("severity_counts", SEVERITY, *ALL)
 _add("order_by_severity", SEVERITY, *ALL)
 FLAG_COUNTS = " UNION ALL ".join(
