@@ -4,6 +4,7 @@ import collections
 import hashlib
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -441,3 +442,39 @@ def test_wrappers_have_optional_and_repeated_groups(spark):
     wrapper = json.loads(found[0].wrapper)
     assert wrapper == [["body", [["?", [["div", ["#"]]]], ["ul", [["+", [["li", ["#"]]]]]], ["p", ["#"]]]]]
     assert wrappers.slot_paths(wrapper) == {"body>div", "body>ul>li", "body>p"}
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<article class="social-story"><p>Body</p></article>', "Body"),
+    ('<article class="related"><p>All of it</p></article>', "All of it"),
+    ('<article><p>a</p><section class="notice-of-motion">b</section></article>', "a\nb"),
+    ('<article><p>a</p><div class="ad-slot-3">ad</div><div class="related-links">r</div></article>', "a"),
+    ('<body><form id="aspnetForm"><article><p>x</p></article></form></body>', "x"),
+    ('<body><form id="f"><div><p>a longer text</p></div></form><nav>n</nav></body>', "a longer text"),
+    ('<body><p>a longer text</p><form>Name <input></form></body>', "a longer text"),
+    ('<div class="page with-sidebar"><article>k</article><div class="sidebar">s s s s</div></div>', "k"),
+    ('<div class="layout-with-sidebar"><p>a longer text</p><div id="sidebar">s</div></div>', "a longer text"),
+    ('<body><article><p>A</p></article><section id="comments"><article>c c c c c</article></section></body>', "A"),
+    ('<body><div class="comment-list">long long long</div><p>s</p></body>', "s"),
+    ('<article><p>one <span class="note">two</span> <span class="top-alert-x">three</span></p></article>', "one two three"),
+    ('<p title="x>Hello</p><p>World</p>', "Hello\nWorld"),
+    ("<p title='a>b' id=c>It's</p><p lang=\"d>e</p>", "It's\ne"),
+    ("<p>a</b></p></div><p>b<table><tr><td>c<td>d<tr><td>e</table>f", "a\nb\nc\nd\ne\nf"),
+    ("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>", "a\nb\nc\nd"),
+])
+def test_words_and_broken_markup_lose_no_text(page, text):
+    assert "\n".join(wrappers.choose(page, frozenset())) == text
+
+
+def test_deep_pages_are_read_in_linear_time(spark):
+    seconds = []
+    for n in (4_000, 32_000):
+        started = time.perf_counter()
+        found = wrappers.choose("<div>a" * n, frozenset())
+        seconds.append(time.perf_counter() - started)
+        assert found == ["a"] * n
+    assert seconds[1] < 40 * max(seconds[0], 0.02)
+    deep = spark.createDataFrame([(1, "http://a.example/", "<div>a" * 3_000), (2, "http://b.example/", "<div>a" * 1_500)],
+                                 "page_id long, url string, html string")
+    assert wrappers.infer(deep).count() == 2
+    assert {r.n_chars for r in wrappers.extract(deep).collect()} == {5_999, 2_999}
