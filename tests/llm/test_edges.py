@@ -478,3 +478,25 @@ def test_deep_pages_are_read_in_linear_time(spark):
                                  "page_id long, url string, html string")
     assert wrappers.infer(deep).count() == 2
     assert {r.n_chars for r in wrappers.extract(deep).collect()} == {5_999, 2_999}
+
+
+CLASHING = ("_rows", "_kid", "_khash", "_linked", "_pieces", "_PIECES", "_score", "_lang_pred", "_row", "_t1", "_ids", "_text")
+
+
+def test_no_column_name_clashes(spark):
+    from corpus_pipeline import BPE
+
+    text = " ".join(f"w{i}" for i in range(60))
+    plain = spark.createDataFrame(
+        [(1, text), (2, text + " x"), (3, None), (4, "other " * 30), (1, text)], "doc_id long, text string"
+    )
+    docs = plain.select("*", *[F.lit(c).alias(c) for c in CLASHING if c != "_PIECES"])
+    kept = jaccard.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+    assert all(r["_rows"] == "_rows" for r in kept.collect())
+    coded = tokens.encode_documents(docs, *BPE, spread=100, chunk=64, overlap=32)
+    assert coded.columns[: len(docs.columns)] == docs.columns
+    got, want = ({(r.doc_id, r.ids_sha256) for r in x.collect()} for x in (coded, tokens.encode_documents(plain, *BPE)))
+    assert got == want and all(r["_pieces"] == "_pieces" for r in coded.collect())
+    upper = plain.select("*", F.lit(1).alias("_PIECES"))
+    assert tokens.encode_documents(upper, *BPE).count() == 5

@@ -20,6 +20,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """``name`` with as many underscores before it as no column of ``df`` has it, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def portions(
     batches: Iterator[pa.RecordBatch], text: int, rows: int = 256, size: int = 1 << 20
 ) -> Iterator[pa.RecordBatch]:

@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tollguard.llm.base import portions
+from tollguard.llm.base import free_name, portions
 from tollguard.llm.rolling import Rolling, mixed, odd_numbers
 from tollguard.session import materialize
 
 #: Words of a shingle, and the least similarity of a link as a fraction.
 SHINGLE, SIMILARITY = 5, (4, 5)
-#: Trees of the forest, the longest prefix, and the share of links to be found.
+#: Bands, the most rows of a band, and the share of links to be found.
 TREES, DEPTH, RECALL = 24, 8, 0.9999
 #: Texts of a bucket whose pairs are listed; larger buckets are compared in blocks of ``BLOCK``.
 SMALL, BLOCK = 16, 128
@@ -331,7 +331,7 @@ def jaccard_join(
     last. An empty table gives no rows. Other columns do not matter.
 
     Documents of equal words are one node, so groups of copies of any size cost one. Signatures
-    cut to ``prefix_length`` are the tries' prefixes; nodes that share one are candidates. Pairs of
+    are cut into bands of ``prefix_length`` rows; nodes that share a band are candidates. Pairs of
     small buckets are listed and verified, large ones are compared block by block inside tasks that
     send back a row per text, so no group emits all its pairs. Verification is exact.
     """
@@ -383,19 +383,18 @@ def jaccard_join(
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each class, the one with the smallest (id, text hash).
 
-    Texts without words all stay. Of rows equal in id and text one stays.
+    Texts without words all stay. Of rows equal in id and text one stays. Columns may have any names.
     """
     joined = materialize(jaccard_join(docs, text, doc_id))
-    keepers = joined.filter("keeper").groupBy(
-        F.col("doc_id").alias("_kid"), F.col("text_hash").alias("_khash")
-    ).agg(F.count(F.lit(1)).alias("_rows"), F.max((F.col("n_links") > 0).cast("int")).alias("_linked"))
-    row_hash = F.xxhash64(F.col(f"`{text}`"))
-    kept = docs.join(
-        keepers, F.col(f"`{doc_id}`").eqNullSafe(F.col("_kid")) & (row_hash == F.col("_khash"))
+    kid, khash, n_rows, linked = (free_name(c, docs) for c in ("_kid", "_khash", "_rows", "_linked"))
+    keepers = joined.filter("keeper").groupBy(F.col("doc_id").alias(kid), F.col("text_hash").alias(khash)).agg(
+        F.count(F.lit(1)).alias(n_rows), F.max((F.col("n_links") > 0).cast("int")).alias(linked)
     )
-    again = (F.col("_rows") > 1) & (F.col("_linked") == 1)
+    row_hash = F.xxhash64(F.col(f"`{text}`"))
+    kept = docs.join(keepers, F.col(f"`{doc_id}`").eqNullSafe(F.col(kid)) & (row_hash == F.col(khash)))
+    again = (F.col(n_rows) > 1) & (F.col(linked) == 1)
     once = kept.filter(~again).select(*[F.col(f"`{c}`") for c in docs.columns])
     if keepers.filter(again).isEmpty():
         return once
-    repeated = kept.filter(again).dropDuplicates(["_kid", "_khash"])
+    repeated = kept.filter(again).dropDuplicates([kid, khash])
     return once.unionByName(repeated.select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tollguard.llm.base import free_name
 from tollguard.session import materialize
 
 #: Characters of a chunk, and how far it reaches into the next one.
@@ -188,8 +189,9 @@ def encode_documents(
     )
     texts = long_rows.select("_t1", "_t2", "_long").dropDuplicates(["_t1", "_t2"])
     spread_ids = _spread_ids(texts, path, pattern, chunk, overlap)
-    long_rows = long_rows.join(spread_ids, ["_t1", "_t2"]).select("_row.*", "_pieces")
-    kept = docs.filter(~is_long).withColumn("_pieces", F.lit(None).cast("array<int>")).unionByName(long_rows)
+    pieces = free_name("_pieces", docs)
+    long_rows = long_rows.join(spread_ids, ["_t1", "_t2"]).select("_row.*", F.col("_pieces").alias(pieces))
+    kept = docs.filter(~is_long).withColumn(pieces, F.lit(None).cast("array<int>")).unionByName(long_rows)
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, *added])
 
