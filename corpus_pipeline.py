@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollguard.llm import jaccard, language, linededup, mixing, tokens
+from tollguard.llm.base import free_name
 from tollguard.session import scratch_path, scratch_scope
 
 #: The least cosine of texts too short to be told from random letters.
@@ -24,7 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     (no labels), all texts with a letter stay.
     """
     prototypes = language.learn(docs)
-    found = language.identify(docs, prototypes, lang_pred="_lang_pred", score="_score")
+    pred, score = free_name("_lang_pred", docs), free_name("_score", docs)
+    found = language.identify(docs, prototypes, lang_pred=pred, score=score)
     if not prototypes:
         return docs.filter(docs["text"].rlike(r"\p{L}"))
     noise = language.noise(prototypes)
@@ -33,9 +35,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     for n, top in noise:
         least = F.when(letters >= n, F.lit(max(top, LEAST_SCORE))).otherwise(least)
     # letters are counted only where they can matter
-    like = F.when(found["_score"] >= max(top for _, top in noise), True).otherwise(found["_score"] >= least)
-    kept = found.filter((found["_lang_pred"] != language.UNDETERMINED) & like)
-    return kept.drop("_lang_pred", "_score")
+    like = F.when(found[score] >= max(top for _, top in noise), True).otherwise(found[score] >= least)
+    kept = found.filter((found[pred] != language.UNDETERMINED) & like)
+    return kept.drop(pred, score)
 
 
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
