@@ -11,7 +11,7 @@ from tollguard.llm import (
     jaccard, language, lexical, linededup, mixing, quality, repeats, simhash, tokens, topk, variants, warc, wrappers,
 )
 from tollguard.llm.base import n_words
-from tollguard.session import scratch_path
+from tollguard.session import materialize, scratch_path
 
 #: The rank file and pattern of the byte-level tokenizer in production.
 BPE = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -84,8 +84,8 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # only the size of a text is asked for, so the text itself does not travel
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("words"))
+    # only the size of a text is asked for: it is counted once, and the text itself does not travel
+    docs = materialize(_table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("words")))
     return mixing.plan_mix(docs, size=F.col("words")).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
