@@ -134,6 +134,26 @@ def test_dedupe_keeps_latest_load_and_null_keys(spark):
     assert rows(kept.select("agency", "entry_lane")) == [("x", "new"), ("y", "other")]
 
 
+def test_only_copied_passages_are_shuffled(spark):
+    data = [
+        {"tag_plate_number": str(i % 40), "exit_plaza": None if i % 3 else "", "entry_plaza": "" if i % 3 else None,
+         "loaded_at": f"2024-01-{i % 7 + 1:02d}", "source_file": f"{i % 5}.csv", "entry_lane": str(i)}
+        for i in range(100)
+    ]
+    table = bronze_rows(spark, *data)
+    # bounds above, at and below the number of copied passages
+    results = [bronze_table.dedupe_bronze(table, most) for most in (10_000, 30, 3, 0)]
+    assert len({tuple(map(str, rows(r))) for r in results}) == 1
+    seen = {(d["tag_plate_number"], d["exit_plaza"]) for d in data}
+    assert results[0].count() == len(seen)
+    plans = [r._jdf.queryExecution().executedPlan().toString() for r in results]
+    assert "LeftAnti" in plans[0] and "LeftSemi" in plans[0] and "LeftAnti" not in plans[3]
+    assert plans[0].count("SortAggregate") == plans[3].count("SortAggregate")
+    alone = bronze_rows(spark, *data[:40])
+    once = bronze_table.dedupe_bronze(alone)
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString() and rows(once) == rows(alone)
+
+
 @pytest.mark.parametrize("text, expected", [
     ("60d", None), ("1f", None), ("0x1p3", None), ("NaN", None), ("Infinity", None), ("-inf", None),
     ("1e999", None), ("1e2", 100.0), (" -5. ", -5.0), (".5", 0.5), ("-", None), ("1 2", None),

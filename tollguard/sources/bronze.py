@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tollguard.functions.cleaning import plain_number
 from tollguard.functions.money import sum_dollars
+from tollguard.operators.skew import BROADCAST_ROWS, bounded
 from tollguard.schemas import BRONZE_COLUMNS, BRONZE_SCHEMA, DEDUPE_KEYS
 
 
@@ -41,14 +42,32 @@ def verify_load(bronze: DataFrame) -> DataFrame:
     )
 
 
-def dedupe_bronze(bronze: DataFrame) -> DataFrame:
+def dedupe_bronze(bronze: DataFrame, max_copied: int = BROADCAST_ROWS) -> DataFrame:
     """Keep the latest load of every passage; of equal loads the one whose file name, then whose
     other columns, are smallest. A load without a time counts as the oldest, a missing file name
-    or column as the smallest.
+    or column as the smallest. Columns are text, as bronze holds them.
 
-    An aggregate, not a window: copies are combined before the shuffle, so a passage with very
-    many copies is no hot key. Complemented digits make the latest load time the smallest text.
+    Passages are counted by a digest of their keys first, a number a row in a hash aggregate. Rows of a
+    digest of their own stay where they are; only those of the others, if they are ``max_copied`` digests at
+    most, are sorted and shuffled (two passages that share a digest are told apart there). Beyond
+    that all rows are.
     """
+    keys = [F.coalesce(F.col(c), F.lit("")) for c in DEDUPE_KEYS] + [F.col(c).isNull() for c in DEDUPE_KEYS]
+    digest = F.xxhash64(*keys)
+    counts = bronze.groupBy(digest.alias("_digest")).agg(F.count(F.lit(1)).alias("_loads"))
+    copied = bounded(counts.filter("_loads > 1").select("_digest"), max_copied)
+    if copied is None:
+        return _latest_loads(bronze)
+    if copied.isEmpty():
+        return bronze
+    same = digest == F.col("_digest")
+    once = bronze.join(F.broadcast(copied), same, "left_anti")
+    return once.unionByName(_latest_loads(bronze.join(F.broadcast(copied), same, "left_semi")))
+
+
+def _latest_loads(bronze: DataFrame) -> DataFrame:
+    """An aggregate, not a window: copies are combined before the shuffle, so a passage with very
+    many copies is no hot key. Complemented digits make the latest load time the smallest text."""
     rest = [c for c in bronze.columns if c not in DEDUPE_KEYS]
     rest = ["source_file", *(c for c in rest if c != "source_file")]
     newest = F.coalesce(F.translate("loaded_at", "0123456789", "9876543210"), F.lit("~"))
