@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import zlib
 
 import duckdb
 import public_tokenizers
@@ -57,6 +58,11 @@ def test_language_accuracy_on_held_out_documents(spark, documents):
     rows = queries.op2_language(spark, SF_DIR).collect()
     held_out = [r for r in rows if r.held_out]
     assert len(rows) == len(documents) and 0 < len(held_out) < len(rows) / 2
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    learned = {lang for doc_id, _, lang in documents if lang and zlib.crc32(str(doc_id).encode()) % 3 != 1}
+    for r in rows:
+        lettered = regex.search(r"\p{L}", documents[r.doc_id][1] or "")
+        assert r.lang_pred in learned if lettered else (r.lang_pred, r.score) == ("und", 0)
     right = sum(r.lang_pred == documents[r.doc_id][2] for r in held_out)
     assert right >= 0.95 * len(held_out)
     assert all(0 <= r.score <= 1 for r in rows)
