@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,9 +93,14 @@ def master_join(gold: DataFrame, predictions: DataFrame) -> DataFrame:
 
 def master_viz(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     """The reporting table."""
+    return master_part(gold, predictions, MASTER_COLUMNS)
+
+
+def master_part(gold: DataFrame, predictions: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """These columns of all rows of the reporting table; ``gold`` needs only what they are made of."""
     return (
         master_join(gold, predictions)
         .withColumn("status", review_status(F.col("ml_predicted_category")))
         .withColumnRenamed("anomaly_score", "rule_based_score")
-        .select(*MASTER_COLUMNS)
+        .select(*columns)
     )
