@@ -2,12 +2,19 @@
 
 import pytest
 
+from tollguard import adapter
+from tollguard.plans import risk, silver
 from tollguard.schemas import GOLD_COLUMNS
 from verification import queries as registry
 
 SF_DIR = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="module")
+def whole_silver(spark):
+    return silver.silver(adapter.bronze(adapter.events(spark, SF_DIR)), adapter.holidays(spark))
+
+
 @pytest.mark.parametrize("name, most", [
     ("stats_summary", 4), ("sort_table", 6), ("score_scatter", 5), ("apply_status_updates", 4), ("merge_status_updates", 6),
     ("stats_incremental", 8), ("pred_viz", 28), ("write_predictions", 28), ("check_tables", 28), ("impute_median", 26),
@@ -29,3 +36,31 @@ def test_part_of_master_equals_the_whole(spark):
     whole = registry._master(spark, SF_DIR).select(*columns)
     part = registry._master_part(spark, SF_DIR, *columns)
     assert part.columns == columns and part.exceptAll(whole).isEmpty() and whole.exceptAll(part).isEmpty()
+
+
+def test_history_holds_only_what_the_columns_are_made_of(spark, monkeypatch):
+    widths, store = [], silver.materialize
+
+    def counted(df):
+        widths.append(df.columns)
+        return store(df)
+
+    monkeypatch.setattr(silver, "materialize", counted)
+    registry.QUERIES["stats_summary"](spark, SF_DIR)
+    assert len(widths) == 1 and len(widths[0]) == 9 and "posting_date" not in widths[0]
+
+
+@pytest.mark.parametrize("column", ["flag_outstate", "entry_plaza_name", "flag_rush_hour", "route_amount_med", "exit_hour",
+                                    "flag_vehicle_type", "flag_is_holiday", "last_updated", "speed_mph"])
+def test_part_of_silver_equals_the_whole(spark, whole_silver, column):
+    bronze, holidays = adapter.bronze(adapter.events(spark, SF_DIR)), adapter.holidays(spark)
+    part = silver.silver(bronze, holidays, columns=["transaction_id", column])
+    whole = whole_silver.select("transaction_id", column)
+    assert part.schema == whole.schema and part.exceptAll(whole).isEmpty() and whole.exceptAll(part).isEmpty()
+
+
+def test_category_without_rank_is_the_same(spark):
+    rows = spark.createDataFrame([(str(i), float(i % 40)) for i in range(100)] + [("n", None)], "transaction_id string, ml_anomaly_score double")
+    plain = risk.categorize(rows, ranked=False)
+    assert "score_percentile_rank" not in plain.columns
+    assert plain.exceptAll(risk.categorize(rows).drop("score_percentile_rank")).isEmpty()

@@ -55,12 +55,12 @@ def anomaly_category() -> Column:
     )
 
 
-def categorize(predictions: DataFrame) -> DataFrame:
-    """Thresholds, category and percentile rank from one ranking of the scores."""
+def categorize(predictions: DataFrame, ranked: bool = True) -> DataFrame:
+    """Thresholds, category and, if ``ranked``, percentile rank from one ranking of the scores."""
     ranking = rank_values(predictions, SCORE)
     limits = score_percentiles(predictions, ranking)
-    placed = score_threshold_cross(predictions, limits)
-    return score_percentile_rank(placed.withColumn("anomaly_category", anomaly_category()), ranking)
+    placed = score_threshold_cross(predictions, limits).withColumn("anomaly_category", anomaly_category())
+    return score_percentile_rank(placed, ranking) if ranked else placed
 
 
 def pred_viz(predictions: DataFrame) -> DataFrame:
