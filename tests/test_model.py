@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from tollguard.operators import forest
+from tollguard.operators import forest, medians
 from tollguard.operators.medians import exact_medians
 from tollguard.operators.ranks import rank_values
 from tollguard.plans import model
@@ -47,6 +47,15 @@ def test_medians_take_few_reads(spark, monkeypatch, fetch_rows, most):
     assert got["z"] == pytest.approx(-np.exp(10.0), rel=1e-12)
 
 
+def test_brackets_of_all_ranks_are_counted_in_one_read(spark):
+    """Per rank: values below, at the lower end, below and at the upper end, and the one of the rank inside."""
+    df = spark.range(0, 1000, 1, 5).selectExpr("if(id % 10 = 9, double('NaN'), double(id % 100)) as x", "double(id) as y")
+    ranks = [medians._Rank("x", 450, 900, (40.0, 60.0)), medians._Rank("y", 500, 1000, (490.0, 510.0))]
+    assert medians._answers(df, ranks, 1100) == [(360, 10, 540, 10, 50.0), (490, 1, 510, 1, 500.0)]
+    many = medians._answers(df, ranks, 1)
+    assert [a[:4] for a in many] == [(360, 10, 540, 10), (490, 1, 510, 1)] and len(many[0][4]) == medians.STEPS + 1
+
+
 def test_median_of_several_columns_and_an_empty_one(spark):
     df = spark.createDataFrame(
         [(1.0, None, 5), (2.0, None, 6), (9.0, None, None)], "a double, b double, c int"

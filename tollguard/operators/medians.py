@@ -9,10 +9,13 @@ reads do up to sixteen million values a column, three to ten billion.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil, floor, inf
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 FETCH_ROWS = 20_000
@@ -42,22 +45,13 @@ class _Rank:
         most = self.inside if self.span is None else ceil(self.inside * self.width) + 2
         return most <= fetch_rows
 
-    def question(self, fetch_rows: int) -> Column:
-        x = present(self.column)
-        low, high = self.span or (self.low, self.high)
-        within = F.when((x > low) & (x < high), x)
-        tally = [F.count_if(x < low), F.count_if(x == low), F.count_if(x < high), F.count_if(x == high)]
-        if self.fetched(fetch_rows):
-            place = F.lit(self.rank) - (tally[0] + tally[1])
-            inner = F.get(F.sort_array(F.collect_list(within)), F.when(place >= 0, place).cast("int"))
-        else:
-            inner = F.percentile_approx(within, [i / STEPS for i in range(STEPS + 1)], ACCURACY)
-        return F.struct(*[t.alias(f"t{i}") for i, t in enumerate(tally)], inner.alias("inner"))
+    def bracket(self) -> tuple[float, float]:
+        return self.span or (self.low, self.high)
 
     def settle(self, answer, fetch_rows: int) -> None:
         """Narrow the interval by the counts, and read off the value or the next bracket."""
         under_low, at_low, under_high, at_high, inner = answer
-        fetched, span = self.fetched(fetch_rows), self.span or (self.low, self.high)
+        fetched, span = self.fetched(fetch_rows), self.bracket()
         (low, high), self.span = span, None
         if under_low <= self.rank < under_low + at_low:
             self.value = low
@@ -87,6 +81,51 @@ def present(column: str) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < inf), x)
 
 
+def _answers(df: DataFrame, ranks: list[_Rank], fetch_rows: int) -> list[Row]:
+    """For each rank, from one read of all: the values below, at the lower end, below and at the upper end
+    of its bracket, and of the values inside the one of that rank or, if they are too many, quantiles.
+
+    Batches are counted and the few values inside picked out by numpy; these travel, by rank.
+    """
+    columns = list(dict.fromkeys(r.column for r in ranks))
+    asked = [(columns.index(r.column), *r.bracket()) for r in ranks]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            counts, inside = [], []
+            for at, low, high in asked:
+                x = values[at]
+                counts.append([np.count_nonzero(t) for t in (x < low, x == low, x < high, x == high)])
+                inside.append(x[(x > low) & (x < high)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(asked)), pa.int32()), *[pa.array(t, pa.int64()) for t in zip(*counts)],
+                 pa.array(inside, pa.list_(pa.float64()))],
+                names=["rank", *names, "inside"],
+            )
+
+    names = [f"t{i}" for i in range(4)]
+    picked = df.select(*[present(c).alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(
+        read, f"rank int, {', '.join(f'{t} long' for t in names)}, inside array<double>"
+    )
+    # the counts stand beside no value, so that each is added once
+    values = F.concat(F.array(F.lit(None).cast("double")), "inside")
+    rows = picked.select("rank", *names, F.posexplode(values).alias("_at", "x")).select(
+        "rank", "x", *[F.when(F.col("_at") == 0, F.col(t)).alias(t) for t in names]
+    )
+    places = F.get(F.array(*[F.lit(r.rank) for r in ranks]), F.col("rank")) - (F.sum("t0") + F.sum("t1"))
+    one = F.get(F.sort_array(F.collect_list("x")), F.when(places >= 0, places).cast("int"))
+    many = F.percentile_approx("x", [i / STEPS for i in range(STEPS + 1)], ACCURACY)
+    found = {}
+    for fetched, inner in ((True, one), (False, many)):
+        mine = [i for i, r in enumerate(ranks) if r.fetched(fetch_rows) == fetched]
+        if mine:
+            part = rows.filter(F.col("rank").isin(mine)) if len(mine) < len(ranks) else rows
+            answers = part.groupBy("rank").agg(*[F.sum(t).alias(t) for t in names], inner.alias("inner")).collect()
+            found |= {a["rank"]: a[1:] for a in answers}
+    return [found[i] for i in range(len(ranks))]
+
+
 def exact_medians(
     df: DataFrame, columns: list[str], fetch_rows: int = FETCH_ROWS
 ) -> dict[str, float | None]:
@@ -107,8 +146,7 @@ def exact_medians(
         for rank in sorted({(n - 1) // 2, n // 2})
     ]
     while open_ranks := [r for r in ranks if r.value is None]:
-        asked = [r.question(fetch_rows).alias(f"r{i}") for i, r in enumerate(open_ranks)]
-        for r, answer in zip(open_ranks, df.agg(*asked).first()):
+        for r, answer in zip(open_ranks, _answers(df, open_ranks, fetch_rows)):
             r.settle(answer, fetch_rows)
     found: dict[str, list[float]] = {}
     for r in ranks:
