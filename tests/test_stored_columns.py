@@ -2,8 +2,8 @@
 
 import pytest
 
-from tollguard import adapter
-from tollguard.plans import risk, silver
+from tollguard import adapter, session
+from tollguard.plans import gold, risk, silver
 from tollguard.schemas import GOLD_COLUMNS
 from verification import queries as registry
 
@@ -15,6 +15,11 @@ def whole_silver(spark):
     return silver.silver(adapter.bronze(adapter.events(spark, SF_DIR)), adapter.holidays(spark))
 
 
+@pytest.fixture(scope="module")
+def whole_gold(spark, whole_silver):
+    return session.materialize(gold.gold(whole_silver))
+
+
 @pytest.mark.parametrize("name, most", [
     ("stats_summary", 4), ("sort_table", 6), ("score_scatter", 5), ("apply_status_updates", 4), ("merge_status_updates", 6),
     ("stats_incremental", 8), ("pred_viz", 28), ("write_predictions", 28), ("check_tables", 28), ("impute_median", 26),
@@ -64,3 +69,34 @@ def test_category_without_rank_is_the_same(spark):
     plain = risk.categorize(rows, ranked=False)
     assert "score_percentile_rank" not in plain.columns
     assert plain.exceptAll(risk.categorize(rows).drop("score_percentile_rank")).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["score_scatter", "sort_table", "apply_status_updates"])
+def test_category_takes_only_the_rolling_deviation_and_the_median(spark, monkeypatch, name):
+    widths, store, joins = [], silver.materialize, []
+
+    def counted(df):
+        widths.append(set(df.columns))
+        return store(df)
+
+    monkeypatch.setattr(silver, "materialize", counted)
+    monkeypatch.setattr(gold, "driver_spending", lambda df: joins.append(df))
+    registry.QUERIES[name](spark, SF_DIR)
+    unread = {"route_name", "agency", "driver_amount_last_30txn_max", "driver_amount_last_30txn_avg"}
+    assert len(widths) == 1 and not widths[0] & unread and not joins
+
+
+@pytest.mark.parametrize("column", [*gold.MADE_OF, "route_amount_med", "driver_daily_txn_count"])
+def test_part_of_gold_equals_the_whole(spark, whole_gold, column):
+    bronze, holidays = adapter.bronze(adapter.events(spark, SF_DIR)), adapter.holidays(spark)
+    columns = ["transaction_id", column]
+    part = gold.gold(silver.silver(bronze, holidays, columns=gold.silver_inputs(columns)), columns)
+    whole = whole_gold.select(*columns)
+    assert part.dtypes == whole.dtypes and part.exceptAll(whole).isEmpty() and whole.exceptAll(part).isEmpty()
+
+
+@pytest.mark.parametrize("columns", [["amount", "ml_predicted_score"], ["status", "last_updated"], ["rule_based_score"], ["is_anomaly"]])
+def test_part_of_master_without_rules_equals_the_whole(spark, columns):
+    whole = registry._master(spark, SF_DIR).select(*columns)
+    part = registry._master_part(spark, SF_DIR, *columns)
+    assert part.columns == columns and part.exceptAll(whole).isEmpty() and whole.exceptAll(part).isEmpty()
