@@ -500,3 +500,26 @@ def test_no_column_name_clashes(spark):
     assert got == want and all(r["_pieces"] == "_pieces" for r in coded.collect())
     upper = plain.select("*", F.lit(1).alias("_PIECES"))
     assert tokens.encode_documents(upper, *BPE).count() == 5
+
+
+def test_pages_are_matched_with_the_wrapper_of_their_host(spark):
+    # same path and same words: only the place in the wrapper tells the site's line from the story's
+    page = "<body><div>{0}</div><ul><li>x</ul><div>{1}</div>{2}</body>"
+    lines = [("Site", f"Story {i}", "<table><tr><td>t</table>" * (i % 2)) for i in range(9)] + [("Site", "Site", "")]
+    rows = [(i, "http://a.example/", page.format(*line)) for i, line in enumerate(lines)]
+    found = {r.page_id: r.main_text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[9] == "Site"
+    assert all(found[i] == f"Story {i}" for i in range(9))  # "t" stands on all pages that have the table
+
+
+def test_match_finds_optional_and_repeated_slots():
+    def read(page):
+        elements, blocks = wrappers.slots(page)
+        found = {b: slot for slot, _, held in wrappers.match(wrapper, wrappers._nodes(elements)) for b in held}
+        return {text: found[b] for b, (_, text) in enumerate(blocks)}
+
+    wrapper = json.dumps([["body", [["?", [["div", ["#"]]]], ["ul", [["+", [["li", ["#"]]]]]], ["+", [["h2", ["#"]], ["?", [["p", ["#"]]]]]], ["div", ["#"]]]]])
+    one = read("<body><div>a</div><ul><li>b<li>c</ul><h2>d</h2><p>e</p><h2>f</h2><h2>g</h2><p>h</p><div>i</div>")
+    assert one["b"] == one["c"] and one["d"] == one["f"] == one["g"] and one["e"] == one["h"] and one["a"] != one["i"]
+    two = read("<body><ul><li>b</ul><section>s</section><h2>d</h2><div>i</div>")
+    assert {k: one[k] for k in "bdi"} == {k: two[k] for k in "bdi"} and two["s"] not in one.values()
