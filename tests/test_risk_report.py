@@ -265,3 +265,21 @@ def test_only_the_first_of_equal_requests_is_accepted(spark):
     want = [("a", True, "Needs Review", None)] + [("a", False, "Investigating", invalid)] * 2
     want += [("b", True, None, None), ("b", False, "Confirmed Fraud", invalid)]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("name", quality.CHECKED)
+def test_check_table_computes_its_table_once(spark, name):
+    ids = F.when(F.col("id") % 10 != 3, F.col("id") % 7)
+    table = spark.range(100).select(
+        ids.cast("string").alias("transaction_id"), F.when(F.col("id") > 4, F.lit("2024-01-01")).cast("date").alias("transaction_date"),
+        F.when(F.col("id") > 1, F.lit("t")).alias("tag_plate_number"), F.col("id").alias("amount"),
+        F.get(F.array(F.lit("XX"), F.lit("PTC"), F.lit(None), F.lit("YY")), (F.col("id") % 4).cast("int")).alias("agency"),
+    )
+    found = quality.check_table(name, table)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    nulls = {"transaction_id": 10, "transaction_date": 5, "tag_plate_number": 2, "agency": 25, "amount": 0}
+    want = [(name, "not_null", c, nulls[c]) for c in quality.NOT_NULL[name]]
+    want += [(name, "unique", "transaction_id", 7)] if name in quality.UNIQUE else []
+    want += [(name, "accepted_values", "agency", 2)] if name in quality.ACCEPTED else []
+    assert rows(found) == sorted(want, key=lambda r: [str(v) for v in r])
+    assert {r.failures for r in quality.check_table(name, table.limit(0)).collect()} == {0}

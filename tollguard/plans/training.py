@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,4 +46,9 @@ def frequency_encode(
 
 def gold_train(gold: DataFrame) -> DataFrame:
     """The training table: three ids and 23 features."""
-    return frequency_encode(gold).select(*TRAIN_COLUMNS)
+    return train_part(gold, TRAIN_COLUMNS)
+
+
+def train_part(gold: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """These columns of all rows of the training table; ``gold`` needs only what they and the codes are made of."""
+    return frequency_encode(gold).select(*columns)
