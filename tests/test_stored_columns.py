@@ -1,10 +1,12 @@
 """What queries store between their stages: the columns that their results are made of, and no others."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tollguard import adapter, session
-from tollguard.plans import gold, risk, silver
+from tollguard.plans import gold, risk, silver, training
 from tollguard.schemas import GOLD_COLUMNS
+from tollguard.sources import sinks
 from verification import queries as registry
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -100,3 +102,30 @@ def test_part_of_master_without_rules_equals_the_whole(spark, columns):
     whole = registry._master(spark, SF_DIR).select(*columns)
     part = registry._master_part(spark, SF_DIR, *columns)
     assert part.columns == columns and part.exceptAll(whole).isEmpty() and whole.exceptAll(part).isEmpty()
+
+
+def test_training_table_does_not_store_gold(spark, monkeypatch):
+    stored, store = [], registry.materialize
+
+    def kept(df):
+        stored.append(df.columns)
+        return store(df)
+
+    monkeypatch.setattr(registry, "materialize", kept)
+    train = registry._train(spark, SF_DIR)
+    assert stored == [["column", "value", "rows"]]
+    whole = training.gold_train(gold.gold(silver.silver(registry._bronze(spark, SF_DIR), adapter.holidays(spark))))
+    assert train.columns == whole.columns and train.exceptAll(whole).isEmpty() and whole.exceptAll(train).isEmpty()
+
+
+def test_predictions_are_written_without_a_shuffle(spark, monkeypatch, tmp_path):
+    rebalanced = []
+    monkeypatch.setattr(sinks, "write_partitioned", lambda *a, **k: rebalanced.append(a))
+    rows = spark.range(20, numPartitions=2).select(
+        F.col("id").cast("string").alias("transaction_id"), F.date_add(F.lit("2024-01-01"), (F.col("id") % 3).cast("int")).cast("timestamp").alias("prediction_timestamp"))
+    for _ in range(2):
+        sinks.write_predictions(rows, str(tmp_path / "p"))
+    sinks.write_predictions(rows.filter("id % 3 = 1").limit(1), str(tmp_path / "p"))
+    assert not rebalanced
+    counts = dict(spark.read.parquet(str(tmp_path / "p")).groupBy(F.col("prediction_date").cast("string")).count().collect())
+    assert counts == {"2024-01-01": 7, "2024-01-02": 1, "2024-01-03": 6}

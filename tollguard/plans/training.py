@@ -22,14 +22,14 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def frequency_encode(
-    df: DataFrame, features: Mapping[str, str] = FREQUENCY_FEATURES
+    df: DataFrame, features: Mapping[str, str] = FREQUENCY_FEATURES, counts: DataFrame | None = None
 ) -> DataFrame:
     """How often each row's value occurs, per text column; a missing value counts 0.
 
-    One pass counts all columns. If the counts are small, as codes are, they are broadcast and
+    One pass counts all columns, unless their ``value_counts`` are given. If the counts are small, as codes are, they are broadcast and
     the rows are not shuffled; otherwise every column is checked and joined on its own.
     """
-    counts = value_counts(df, list(features))
+    counts = value_counts(df, list(features)) if counts is None else counts
     small = bounded(counts)
     source = counts if small is None else small
     for column, feature in features.items():
@@ -44,11 +44,14 @@ def frequency_encode(
     return df
 
 
-def gold_train(gold: DataFrame) -> DataFrame:
+def gold_train(gold: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """The training table: three ids and 23 features."""
-    return train_part(gold, TRAIN_COLUMNS)
+    return train_part(gold, TRAIN_COLUMNS, counts)
 
 
-def train_part(gold: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """These columns of all rows of the training table; ``gold`` needs only what they and the codes are made of."""
-    return frequency_encode(gold).select(*columns)
+def train_part(gold: DataFrame, columns: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
+    """These columns of all rows of the training table; ``gold`` needs only what they and the codes are made of.
+
+    With the ``value_counts`` of silver, whose rows are gold's, gold is computed once.
+    """
+    return frequency_encode(gold, counts=counts).select(*columns)

@@ -39,11 +39,11 @@ def write_predictions(df: DataFrame, path: str) -> list[str]:
     """Write predictions by day of prediction; returns the expected columns ``df`` lacks.
 
     A day that is written again is replaced, so running a training twice does not double it;
-    other days stay.
+    other days stay. A run has one day or two: rows are written where they are, without a shuffle.
     """
     known = [c for c in PREDICTION_COLUMNS if c in df.columns]
     dated = df.select(*known).withColumn("prediction_date", F.to_date("prediction_timestamp"))
-    write_partitioned(
-        dated, path, ["transaction_id"], "prediction_date", partition_overwrite="dynamic"
-    )
+    dated.sortWithinPartitions("prediction_date", "transaction_id").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("prediction_date").parquet(path)
     return [c for c in PREDICTION_COLUMNS if c not in df.columns]
