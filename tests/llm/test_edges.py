@@ -523,3 +523,29 @@ def test_match_finds_optional_and_repeated_slots():
     assert one["b"] == one["c"] and one["d"] == one["f"] == one["g"] and one["e"] == one["h"] and one["a"] != one["i"]
     two = read("<body><ul><li>b</ul><section>s</section><h2>d</h2><div>i</div>")
     assert {k: one[k] for k in "bdi"} == {k: two[k] for k in "bdi"} and two["s"] not in one.values()
+
+
+def test_wrappers_choose_within_articles_too(spark):
+    story = "<body><article><h1>Title {0}</h1><p>Story {0}</p><p class=x7>Subscribe now</p></article><article><p>Read also</p></article></body>"
+    inner = "<body><main><div class=x7>Our motto</div><p>Story {0}</p></main></body>"
+    teaser = "<body><article><p>Join us</p></article><div><p>A story told at length, number {0}</p></div></body>"
+    copied = "<body><article><p>One article that all of these pages show</p></article><div>{0} views</div></body>"
+    rows = [(i, "http://a.example/", story.format(i)) for i in range(6)]
+    rows += [(6, "http://a.example/", story.format(6).replace("<p class=x7>Subscribe now</p>", "")), (7, "http://a.example/", None)]
+    rows += [(8, "http://a.example/", "<body><article><p>Read also</p></article></body>")]  # the template alone
+    rows += [(i, "http://b.example/", inner.format(i)) for i in range(10, 13)]
+    rows += [(i, "http://c.example/", teaser.format(i)) for i in range(20, 23)]
+    rows += [(i, "http://d.example/", copied.format(i)) for i in range(30, 33)]
+    rows += [(i, "http://e.example/", story.format(1)) for i in range(40, 43)]  # copies of one page
+    # pages of another kind on the host are no evidence
+    rows += [(i, "http://f.example/", f"<body><div>Site</div><p>Story {i}</p></body>") for i in range(50, 53)]
+    rows += [(i, "http://f.example/", f"<body><div>Topic {i}</div><article><p>Story {i}</p></article></body>") for i in range(60, 80)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.main_text for r in wrappers.extract(pages).collect()}
+    assert [found[i] for i in range(7)] == [f"Title {i}\nStory {i}" for i in range(7)]
+    assert found[7] == "" and found[8] == "Read also"
+    assert [found[i] for i in range(10, 13)] == [f"Story {i}" for i in range(10, 13)]
+    assert [found[i] for i in range(20, 23)] == [f"A story told at length, number {i}" for i in range(20, 23)]
+    assert all(found[i] == "One article that all of these pages show" for i in range(30, 33))
+    assert all(found[i] == "Title 1\nStory 1\nSubscribe now\nRead also" for i in range(40, 43))
+    assert [found[i] for i in (*range(50, 53), *range(60, 80))] == [f"Story {i}" for i in (*range(50, 53), *range(60, 80))]
