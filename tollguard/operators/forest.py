@@ -178,15 +178,17 @@ def pack(nodes: pd.DataFrame, features: list[str], taken: int, depth: int) -> Fo
 def raw_scores(forest: Forest, x: np.ndarray) -> np.ndarray:
     """Minus 2 to the minus relative path length: -1 is most isolated, near -0.5 is ordinary."""
     depths = np.zeros(len(x))
-    every = np.arange(len(x))
+    values = np.ascontiguousarray(x).ravel()
+    start = np.arange(len(x)) * x.shape[1]
     for tree in range(len(forest.path)):
         node = np.zeros(len(x), dtype=np.int64)
         feature, threshold = forest.feature[tree], forest.threshold[tree]
-        left, right = forest.left[tree], forest.right[tree]
+        # the children of a node side by side, the left one second
+        child = np.stack([forest.right[tree], forest.left[tree]], axis=1).ravel()
         for _ in range(forest.depth):
-            goes_left = x[every, feature[node]] <= threshold[node]
-            node = np.where(goes_left, left[node], right[node])
-        depths += forest.path[tree][node]
+            goes_left = values.take(start + feature.take(node)) <= threshold.take(node)
+            node = child.take(2 * node + goes_left)
+        depths += forest.path[tree].take(node)
     usual = expected_path(forest.sample_rows) or 1.0
     return -np.exp2(-depths / (len(forest.path) * usual))
 

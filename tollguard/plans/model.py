@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tollguard.operators.forest import SEED, TREES, Forest, fit_forest, score_forest
 from tollguard.operators.medians import exact_medians, present
-from tollguard.operators.ranks import rank_values
+from tollguard.operators.ranks import Ranking, rank_values
 from tollguard.schemas import METRICS_SCHEMA, PREDICTION_COLUMNS
 from tollguard.session import materialize
 
@@ -120,9 +120,10 @@ def training_metrics(
     n_features: int,
     n_estimators: int = TREES,
     contamination: float = CONTAMINATION,
+    ranking: Ranking | None = None,
 ) -> DataFrame:
-    """One row on a training run, in the layout of the metrics table."""
-    median = rank_values(predictions, "ml_anomaly_score").interpolated(0.5)
+    """One row on a training run, in the layout of the metrics table. ``ranking`` is that of the scores."""
+    median = (ranking or rank_values(predictions, "ml_anomaly_score")).interpolated(0.5)
     score, flagged = F.col("ml_anomaly_score"), F.col("is_anomaly")
     row = predictions.agg(
         F.count(F.lit(1)).alias("n_samples"),

@@ -55,17 +55,17 @@ def anomaly_category() -> Column:
     )
 
 
-def categorize(predictions: DataFrame, ranked: bool = True) -> DataFrame:
+def categorize(predictions: DataFrame, ranked: bool = True, ranking: Ranking | None = None) -> DataFrame:
     """Thresholds, category and, if ``ranked``, percentile rank from one ranking of the scores."""
-    ranking = rank_values(predictions, SCORE)
+    ranking = ranking or rank_values(predictions, SCORE)
     limits = score_percentiles(predictions, ranking)
     placed = score_threshold_cross(predictions, limits).withColumn("anomaly_category", anomaly_category())
     return score_percentile_rank(placed, ranking) if ranked else placed
 
 
-def pred_viz(predictions: DataFrame) -> DataFrame:
+def pred_viz(predictions: DataFrame, ranking: Ranking | None = None) -> DataFrame:
     renamed = {p: f"score_{p}_threshold" for p in THRESHOLDS}
-    return categorize(predictions).withColumnsRenamed(renamed).select(*PRED_VIZ_COLUMNS)
+    return categorize(predictions, ranking=ranking).withColumnsRenamed(renamed).select(*PRED_VIZ_COLUMNS)
 
 
 def review_status(category: Column) -> Column:

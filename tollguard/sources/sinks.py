@@ -20,15 +20,17 @@ def write_partitioned(
     partition_by: str = "transaction_date",
     mode: str = "overwrite",
     partition_overwrite: str = "static",
+    balanced: bool = False,
 ) -> None:
     """One directory per date, rows sorted by ``cluster_by`` inside each file.
 
     The rebalance hint lets adaptive execution split a hot date over several writers and put
-    small dates together, so files come out evenly sized.
+    small dates together, so files come out evenly sized. Where ``df`` is ``balanced``, as columns of
+    a table that was written so are, its rows are written where they are read, without a shuffle.
     """
     order = [partition_by, *[c for c in cluster_by if c != partition_by]]
     (
-        df.hint("rebalance", partition_by)
+        (df if balanced else df.hint("rebalance", partition_by))
         .sortWithinPartitions(*order)
         .write.mode(mode).option("partitionOverwriteMode", partition_overwrite)
         .partitionBy(partition_by).parquet(path)
